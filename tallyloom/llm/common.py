@@ -21,6 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text in a block; bounds what a task holds of the corpus at a time.
 BLOCK_BYTES = 8 << 20
@@ -134,27 +136,25 @@ def each_block(blocks: DataFrame, work, schema: str) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
-    """Bring the answers back to their blocks: ``work(block, table, {kind: [blobs]}) -> pa.Table``.
+def with_answers(blocks: DataFrame, answers: DataFrame, work, schema: str | StructType) -> DataFrame:
+    """Bring the answers back to their blocks: ``work(block, table, answer table) -> pa.Table``.
 
-    ``answers`` has BLOB_SCHEMA. Each side is shuffled once by block; a block's answers are bounded by its own words.
+    Each side is shuffled once by block; a block's answers are bounded by its own words.
     """
+    empty = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[int, list[bytes]] = {}
-        for kind, blob in zip(right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True):
-            found.setdefault(kind, []).append(blob)
-        out = [work(b, unpack(blob), found) for b, blob in zip(left.column("block").to_pylist(), left.column("rows_ipc").to_pylist(), strict=True)]
-        return pa.concat_tables(out) if out else None
+        return work(left.column("block")[0].as_py(), unpack(left.column("rows_ipc")[0].as_py()), right) if left.num_rows else empty
 
-    def guarded(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right) if left.num_rows else empty
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(guarded, schema)
+def blobs_of(answer: pa.Table) -> dict[int, list[bytes]]:
+    """Blobs of a BLOB_SCHEMA table by kind."""
+    found: dict[int, list[bytes]] = {}
+    for kind, blob in zip(answer.column("kind").to_pylist(), answer.column("blob").to_pylist(), strict=True):
+        found.setdefault(kind, []).append(blob)
+    return found
 
 
 # -------------------------------------------------------------------------------------------- arrays in blobs
@@ -220,6 +220,82 @@ def joined(found: dict[int, list[bytes]], kind: int, name: str, dtype) -> np.nda
     return np.concatenate([read_arrays(b)[name] for b in found[kind]]) if kind in found else np.empty(0, dtype)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Ascending uint64 values in few bytes: differences, by byte plane, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return pa.compress(np.ascontiguousarray(steps.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+# --------------------------------------------------------------------------- counts of hashes over the whole corpus
+#
+# A block sends its distinct hashes, ascending, with its own counts, cut into equal hash ranges; a range's totals come
+# back in the same order, so no hash travels twice. Every block sends a hash once: a hot one costs a row a block.
+
+COUNT_SCHEMA = "part int, block long, n int, blob binary, counts binary"
+TOTAL_SCHEMA = "block long, part int, n int, totals binary, distinct long, entries long"
+
+
+def ranges_of(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
+    """parts + 1 positions at which the equal hash ranges begin."""
+    width = (1 << 64) // parts
+    return np.r_[0, np.searchsorted(sorted_hashes, np.arange(1, parts, dtype=np.uint64) * np.uint64(width)), len(sorted_hashes)].astype(np.int64)
+
+
+def count_rows(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, base: int = 0) -> Iterator[pa.RecordBatch]:
+    cuts = ranges_of(hashes, parts)
+    some = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
+    if some:
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([base + i for i in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([int(cuts[i + 1] - cuts[i]) for i in some], pa.int32()),
+                pa.array([squeeze(hashes[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()),
+                pa.array([pa.compress(counts[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for i in some], pa.binary()),
+            ],
+            names=["part", "block", "n", "blob", "counts"],
+        )
+
+
+def totals(counted: DataFrame, alone: int | None = None) -> DataFrame:
+    """Sum of every hash over all blocks. ``alone``: what to tell of hashes that one block alone has, instead of the sum."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ns = group.column("n").to_pylist()
+        hashes = np.concatenate([expand(b, n) for b, n in zip(group.column("blob").to_pylist(), ns, strict=True)])
+        counts = np.concatenate([np.frombuffer(pa.decompress(c, 4 * n, codec="zstd", asbytes=True), np.uint32) for c, n in zip(group.column("counts").to_pylist(), ns, strict=True)]).astype(np.int64)
+        order = np.argsort(hashes, kind="stable")
+        first = np.r_[True, np.diff(hashes[order]) != 0]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(first) - 1
+        starts = np.flatnonzero(first)
+        sums = np.add.reduceat(counts[order], starts)
+        told = sums if alone is None else np.where(np.diff(np.r_[starts, len(order)]) == 1, alone, sums)
+        told, cuts = told[which].astype(np.uint32), np.cumsum([0, *ns])
+        used = len(ns)
+        return pa.table(
+            {
+                "block": group.column("block").cast(pa.int64()), "part": group.column("part").cast(pa.int32()), "n": group.column("n").cast(pa.int32()),
+                "totals": pa.array([pa.compress(told[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                "distinct": pa.array([int((sums > 0).sum())] + [0] * (used - 1), pa.int64()), "entries": pa.array([int(sums.sum())] + [0] * (used - 1), pa.int64()),
+            }
+        )
+
+    return counted.groupBy("part").applyInArrow(run, TOTAL_SCHEMA)
+
+
+def told_totals(answer: pa.Table, hashes: np.ndarray, parts: range) -> np.ndarray:
+    """The totals of a block's ascending hashes, as ``totals`` has sent them back for these ranges."""
+    rows = sorted(x for x in zip(answer.column("part").to_pylist(), answer.column("n").to_pylist(), answer.column("totals").to_pylist(), strict=True) if x[0] in parts)
+    out = np.concatenate([np.frombuffer(pa.decompress(t, 4 * n, codec="zstd", asbytes=True), np.uint32) for _, n, t in rows]) if rows else np.empty(0, np.uint32)
+    if len(out) != len(hashes):
+        raise ValueError(f"{len(out)} totals for {len(hashes)} hashes")
+    return out.astype(np.int64)
+
+
 # ------------------------------------------------------------------------------------------------ words and hashes
 
 
