@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and let Spark clear shuffle files of finished steps."""
+    for table in tables:
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(total: int, each: int) -> int:
     """How many hash ranges keep a range near ``each`` entries; at least 16, so that small inputs spread as well."""
     return int(max(16, -(-total // each)))
