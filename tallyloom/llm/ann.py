@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 40, bi
     right = index.select(F.lit(0).alias("is_query"), "ids", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(code, F.lit(blocks)).cast("int").alias("b"), "size")
 
     def meet(group: pa.Table) -> pa.Table:
-        query = group.filter(pa.compute.equal(group.column("is_query"), 1))
-        store = group.filter(pa.compute.equal(group.column("is_query"), 0))
+        query = group.filter(pc.equal(group.column("is_query"), 1))
+        store = group.filter(pc.equal(group.column("is_query"), 0))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if query.num_rows and store.num_rows:
             asks, norms = _units(query.column("v").to_pylist())

@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
+            lengths = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
             ends, start = np.cumsum(lengths + 64), 0
             while start < batch.num_rows:
                 done = ends[start - 1] if start else 0
@@ -132,6 +133,19 @@ def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
     return save(df.mapInArrow(cut, BLOCK_SCHEMA), "blocks")
 
 
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each: what is worked out of a text can be many times its size."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False) + 64)
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, places = batch.column("tokens"), batch.column("places")
-            sizes = pa.compute.list_value_length(tokens).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
             token, place = tokens.flatten().to_numpy(), places.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), sizes)
             part = (token >> 33) % parts
