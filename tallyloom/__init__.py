@@ -1,0 +1 @@
+"""Spark-native record linkage, reconciliation and audit analytics."""
