@@ -15,7 +15,7 @@ small-star steps on written tables.
 
 64-bit hashes stand for shingles. Defined results: null and empty texts, and texts of white space, have empty sets, link
 with nothing and are their own component; below five words the whole sequence is the one shingle; null ids count as the
-smallest integer; rows that repeat an id are one document with the links of all its rows; extra columns are ignored
+smallest integer; rows that repeat an id are one document with the links of all its texts; extra columns are ignored
 (``deduplicate`` keeps them); an empty table gives an empty table.
 """
 
@@ -262,7 +262,11 @@ def link_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str
     members = placed.select("id", "doc_id")
     expanded = pairs.join(members.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("doc_id").alias("y")), "b")
     second = save(verified(expanded.select(F.col("x").alias("a"), F.col("y").alias("b")), sets, percent), "links")
-    everything = first.unionByName(second)
+    # an id that several classes have is one document
+    held = sets.where("n > 0").select("doc_id", "cls").join(classes, "cls").select("doc_id", "rep").distinct()
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    same_id = held.join(least, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    everything = first.unionByName(second).unionByName(same_id)
     final = save(components(everything), "components")
     let_go(spark, pairs, own, nodes)
 

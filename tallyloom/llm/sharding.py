@@ -26,7 +26,7 @@ from tallyloom.llm.common import save
 #: Ranges in a shard, and sampled keys in a range.
 RANGES, SAMPLES = 128, 16
 #: Groups of equal texts stay together up to this part of a shard.
-WHOLE_GROUP = 0.002
+WHOLE_GROUP = 0.01
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,15 +44,16 @@ def weighted_sample(rows: DataFrame, expected: int, total: int, salt: int) -> li
     return [(r["at"], r["weight"]) for r in rows.where(draw < chance).select("at", (F.col("size") / chance).alias("weight")).collect()]
 
 
-def quantiles(sample: list[tuple[int, float]], ranges: int) -> list[int]:
+def quantiles(sample: list[tuple[int, float]], ranges: int, whole: float) -> list[int]:
+    """Weighted quantiles; a border inside a group of equal texts moves to its start, unless the group is over ``whole``."""
     if not sample:
         return []
     at, weight = (np.array(x) for x in zip(*sorted(sample), strict=True))
     upto = np.cumsum(weight)
     cuts = at[np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges).clip(0, len(at) - 1)]
-    group = (cuts >> 32) << 32  # borders go between groups of equal texts, unless one group spans several ranges
-    twice = np.isin(group, group[1:][group[1:] == group[:-1]])
-    return sorted({int(x) for x in np.where(twice, cuts, group)})
+    _, member = np.unique(at >> 32, return_inverse=True)
+    large = np.unique((at >> 32)[np.bincount(member, weights=weight)[member] > whole])
+    return sorted({int(x) for x in np.where(np.isin(cuts >> 32, large), cuts, (cuts >> 32) << 32)})
 
 
 def in_ranges(rows: DataFrame, splits: list[int]) -> DataFrame:
@@ -67,9 +68,9 @@ def in_ranges(rows: DataFrame, splits: list[int]) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("range", LongType())]))
 
 
-def splitters(rows: DataFrame, ranges: int, total: int, rounds: int = 3) -> tuple[list[int], dict[int, tuple[int, int]]]:
+def splitters(rows: DataFrame, ranges: int, total: int, whole: float, rounds: int = 3) -> tuple[list[int], dict[int, tuple[int, int]]]:
     """Boundaries, and (bytes, rows) of every range, after overfull ranges were sampled again and subdivided."""
-    splits, sizes = quantiles(weighted_sample(rows, ranges * SAMPLES, total, 0), ranges), {}
+    splits, sizes = quantiles(weighted_sample(rows, ranges * SAMPLES, total, 0), ranges, whole), {}
     for salt in range(1, rounds + 1):
         ranged = in_ranges(rows, splits)
         sizes = {r["range"]: (r["b"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
@@ -82,7 +83,7 @@ def splitters(rows: DataFrame, ranges: int, total: int, rounds: int = 3) -> tupl
         wanted = int(-(-2 * bytes_over * ranges // total))
         sample = weighted_sample(heavy, wanted * SAMPLES, bytes_over, salt)
         if sample:
-            finer |= set(quantiles(sample, wanted))
+            finer |= set(quantiles(sample, wanted, whole))
         if finer == set(splits):
             break
         splits = sorted(finer)
@@ -93,7 +94,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``."""
     rows = save(records(docs, key, text), "records")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    splits, sizes = splitters(rows, shards * RANGES, total)
+    limit = WHOLE_GROUP * total / shards
+    splits, sizes = splitters(rows, shards * RANGES, total, limit)
     before, offsets = 0, []
     for k in sorted(sizes):
         offsets.append((k, before))
@@ -105,7 +107,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     group = Window.partitionBy("range", F.shiftright("at", 32))
     start = F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0))
     ranged = in_ranges(rows, splits).join(place, "range").withColumn("start", start).withColumn("g_size", F.sum("size").over(group)).withColumn("g_start", F.min("start").over(group))
-    whole = F.col("g_size") <= WHOLE_GROUP * total / shards
+    whole = F.col("g_size") <= limit
     middle = F.when(whole, F.col("g_start") * 2 + F.col("g_size")).otherwise(F.col("start") * 2 + F.col("size"))
     placed = save(ranged.withColumn("shard", F.least(F.floor(middle * shards / (2 * max(total, 1))), F.lit(shards - 1)).cast("int")).select(key, "size", "text_crc32", "at", "range", "shard"), "placed")
     counts = sorted((r["shard"], r["range"], r["n"]) for r in placed.groupBy("shard", "range").agg(F.count("*").alias("n")).collect())
