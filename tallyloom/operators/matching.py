@@ -7,6 +7,7 @@ so no pair outside the window is formed, and each distinct pair of texts is scor
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,15 @@ from tallyloom.functions import text as T
 from tallyloom.functions.similarity import scored_pairs
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the session's checkpoint folder, which all executors share: later tiers read it there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
+    return df.checkpoint()
+
+
 @dataclass
 class Matches:
     links: DataFrame
@@ -73,7 +83,7 @@ def window_pairs(source: DataFrame, target: DataFrame, days: int) -> DataFrame:
 def tier3(source: DataFrame, target: DataFrame, rule: PairRule, scorer: str = "weighted") -> tuple[DataFrame, DataFrame]:
     """(links, ambiguous): one candidate at or above the least score is a link, several are ambiguous in candidate order."""
     pairs = scored_pairs(window_pairs(source, target, rule.fuzzy.date_window_days), "s_text", "t_text", scorer).where(F.col("score") >= rule.fuzzy.min_similarity_score)
-    found = pairs.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("t_pos", "target_id", "score", "fuzzy_field", "t_field"))).alias("c"))
+    found = cut(pairs.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("t_pos", "target_id", "score", "fuzzy_field", "t_field"))).alias("c")))
     one = F.col("c")[0]
     links = _links(
         found.where("size(c) = 1").select("source_id", one["target_id"].alias("target_id"), one["score"].alias("score"), one["fuzzy_field"].alias("sf"), one["t_field"].alias("tf")),
@@ -84,12 +94,15 @@ def tier3(source: DataFrame, target: DataFrame, rule: PairRule, scorer: str = "w
 
 
 def cascade(source: DataFrame, target: DataFrame, rule: PairRule, run_id: str = "", scorer: str = "weighted") -> Matches:
-    """Every source leaves at the first tier that hits; what is left over is unmatched for this target type."""
+    """Every source leaves at the first tier that hits; what is left over is unmatched for this target type.
+
+    The tiers' hits are thin and computed once each, so a plan doesn't grow with the tiers before it.
+    """
     types = {"source_type": F.lit(rule.source_type), "target_type": F.lit(rule.target_type)}
-    one = tier1(source, target, rule.exact_keys[0])
+    one = cut(tier1(source, target, rule.exact_keys[0]))
     rest = source.join(one.select(F.col("source_id").alias("entity_id")), "entity_id", "left_anti")
-    two = tier2(rest, target, rule.composite)
-    rest = rest.join(two.select(F.col("source_id").alias("entity_id")), "entity_id", "left_anti")
+    two = cut(tier2(rest, target, rule.composite))
+    rest = source.join(one.unionByName(two).select(F.col("source_id").alias("entity_id")), "entity_id", "left_anti")
     three, ambiguous = tier3(rest, target, rule, scorer)
     links = one.unionByName(two).unionByName(three).withColumns(types | {"match_type": F.lit("deterministic"), "rule_version": F.lit(RULE_VERSION)})
     links = links.withColumn("link_id", T.stable_id(F.col("source_id"), F.col("target_id"), F.col("target_type"), F.col("match_tier")))
@@ -114,15 +127,15 @@ def match_all(transactions: DataFrame, emails: DataFrame, events: DataFrame, run
     def ready(df: DataFrame, kind: str, rule: PairRule, side: int) -> DataFrame:
         fields = rule.fuzzy.fields if side == 0 else tuple(dict.fromkeys(rule.fuzzy.field_map.get(f, f) for f in rule.fuzzy.fields))
         want = (kind, fields, rule.exact_keys[side])
-        if want not in prepared:  # thin, and read by every tier; recomputed where lost
-            prepared[want] = prepare(df, *want).persist()
+        if want not in prepared:  # thin, and read by every tier
+            prepared[want] = cut(prepare(df, *want))
         return prepared[want]
 
     te, tc, ec = rules["transaction", "email"], rules["transaction", "calendar_event"], rules["email", "calendar_event"]
     first = cascade(ready(transactions, "transaction", te, 0), ready(emails, "email", te, 1), te, run_id, scorer)
     second = cascade(ready(transactions, "transaction", tc, 0), ready(events, "calendar_event", tc, 1), tc, run_id, scorer)
     taken = first.links.select(F.col("target_id").alias("entity_id")).unionByName(first.ambiguous.select(F.explode("candidate_ids").alias("entity_id"))).distinct()
-    free = ready(emails, "email", ec, 0).join(taken, "entity_id", "left_anti")
+    free = cut(ready(emails, "email", ec, 0).join(taken, "entity_id", "left_anti"))
     third = cascade(free, ready(events, "calendar_event", ec, 1), ec, run_id, scorer)
     third.unmatched = third.unmatched.withColumn("target_type", F.lit("transaction"))
     parts = (first, second, third)

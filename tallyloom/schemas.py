@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+
+_TYPES: dict[str, DataType] = {
+    "string": StringType(), "double": DoubleType(), "long": LongType(), "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType(),
+    "array<string>": ArrayType(StringType()), "array<double>": ArrayType(DoubleType()), "decimal": DecimalType(10, 4),
+}
+
+
+def _schema(fields: str) -> StructType:
+    """A schema of ``name type`` pairs; unlike DDL it needs no running session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
 
 _ETL = ", source string, ingested_at timestamp, raw_file_ref string"
-TRANSACTION = StructType.fromDDL("transaction_id string, account_id string, amount double, date date, merchant_name string, name string, payment_channel string, category array<string>" + _ETL)
-EMAIL = StructType.fromDDL("message_id string, received_at timestamp, sender string, recipients array<string>, subject string, body_preview string, thread_id string" + _ETL)
-CALENDAR_EVENT = StructType.fromDDL("event_id string, start_time timestamp, end_time timestamp, organizer string, subject string, attendees array<string>, location string" + _ETL)
+TRANSACTION = _schema("transaction_id string, account_id string, amount double, date date, merchant_name string, name string, payment_channel string, category array<string>" + _ETL)
+EMAIL = _schema("message_id string, received_at timestamp, sender string, recipients array<string>, subject string, body_preview string, thread_id string" + _ETL)
+CALENDAR_EVENT = _schema("event_id string, start_time timestamp, end_time timestamp, organizer string, subject string, attendees array<string>, location string" + _ETL)
 RECORDS = {"transaction": TRANSACTION, "email": EMAIL, "calendar_event": CALENDAR_EVENT}
 
-LINK = StructType.fromDDL(
+LINK = _schema(
     "link_id string, source_id string, target_id string, source_type string, target_type string, match_type string, match_tier string, confidence double, linkage_key string, rule_version string, "
     "created_at timestamp, effective_from timestamp, effective_to timestamp, is_current boolean, superseded_by string"
 )
-UNMATCHED = StructType.fromDDL("entity_id string, entity_type string, target_type string, reason_code string, run_id string, created_at timestamp")
-AMBIGUOUS = StructType.fromDDL("ambiguity_id string, source_entity_id string, source_type string, target_type string, candidate_ids array<string>, candidate_scores array<double>, status string, resolved_by string, created_at timestamp")
-FEEDBACK = StructType.fromDDL("feedback_id string, link_id string, signal string, source string, reason string, created_at timestamp, processed boolean")
-RUN_LOG = StructType.fromDDL("run_id string, run_type string, status string, start_time timestamp, end_time timestamp, error string")
-WATERMARK = StructType.fromDDL("entity_type string, last_ingested_at timestamp, last_run_id string")
-INTENT = StructType.fromDDL("id long, run_id string, operation string, payload string, committed boolean, created_at timestamp")
-DELETION_AUDIT = StructType.fromDDL("entity_id string, requested_by string, rows_deleted long, deleted_at timestamp")
-CONSENT = StructType.fromDDL("user_hash string, consent_type string, granted boolean, granted_at timestamp, expires_at timestamp")
-PREFERENCE = StructType.fromDDL("user_hash string, preference string, value string, updated_at timestamp")
-ACCESS_AUDIT = StructType.fromDDL("actor string, method string, entity_hash string, at timestamp")
-FLAG = StructType.fromDDL("flag_id string, txn_id string, vendor string, amount double, audit_run_id string, severity string, confidence double, explanation string, evidence string, created_at timestamp")
-AUDIT_TRAIL = StructType.fromDDL(
-    "audit_run_id string, log_sequence_number long, agent string, tool string, input string, output string, decision string, confidence double, model string, tokens long, llm_cost_dollars decimal(10,4), duration_ms long, human boolean, created_at timestamp"
+UNMATCHED = _schema("entity_id string, entity_type string, target_type string, reason_code string, run_id string, created_at timestamp")
+AMBIGUOUS = _schema("ambiguity_id string, source_entity_id string, source_type string, target_type string, candidate_ids array<string>, candidate_scores array<double>, status string, resolved_by string, created_at timestamp")
+FEEDBACK = _schema("feedback_id string, link_id string, signal string, source string, reason string, created_at timestamp, processed boolean")
+RUN_LOG = _schema("run_id string, run_type string, status string, start_time timestamp, end_time timestamp, error string")
+WATERMARK = _schema("entity_type string, last_ingested_at timestamp, last_run_id string")
+INTENT = _schema("id long, run_id string, operation string, payload string, committed boolean, created_at timestamp")
+DELETION_AUDIT = _schema("entity_id string, requested_by string, rows_deleted long, deleted_at timestamp")
+CONSENT = _schema("user_hash string, consent_type string, granted boolean, granted_at timestamp, expires_at timestamp")
+PREFERENCE = _schema("user_hash string, preference string, value string, updated_at timestamp")
+ACCESS_AUDIT = _schema("actor string, method string, entity_hash string, at timestamp")
+FLAG = _schema("flag_id string, txn_id string, vendor string, amount double, audit_run_id string, severity string, confidence double, explanation string, evidence string, created_at timestamp")
+AUDIT_TRAIL = _schema(
+    "audit_run_id string, log_sequence_number long, agent string, tool string, input string, output string, decision string, confidence double, model string, tokens long, llm_cost_dollars decimal, duration_ms long, human boolean, created_at timestamp"
 )
-WORKFLOW_STATE = StructType.fromDDL("audit_run_id string, workflow_status string, current_agent string, completed_agents array<string>, pending_agents array<string>, intermediate_results string, created_at timestamp, updated_at timestamp")
+WORKFLOW_STATE = _schema("audit_run_id string, workflow_status string, current_agent string, completed_agents array<string>, pending_agents array<string>, intermediate_results string, created_at timestamp, updated_at timestamp")
 TABLES = {
     "entity_links": LINK, "unmatched_entities": UNMATCHED, "ambiguous_matches": AMBIGUOUS, "link_feedback": FEEDBACK, "run_log": RUN_LOG, "watermarks": WATERMARK, "intent_log": INTENT,
     "deletion_audit": DELETION_AUDIT, "user_consents": CONSENT, "user_preferences": PREFERENCE, "access_audit_log": ACCESS_AUDIT, "flags": FLAG, "audit_trail": AUDIT_TRAIL, "workflow_state": WORKFLOW_STATE,
