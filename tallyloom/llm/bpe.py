@@ -27,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from tallyloom.llm.common import gathered, small_batches, trimmed
+
 #: Entries of the memo from white-space-delimited chunks to token ids, in one Python worker.
-MEMO = 200_000
+MEMO = 160_000
+#: Bytes of text that share one traversal.
+TOGETHER = 10 << 20
 OPEN, CLOSED = "open", "closed"
 
 
@@ -48,7 +52,8 @@ def _byte_symbols() -> list[str]:
 class WordTrie:
     """Token ids of distinct words by depth-first traversal with a last-token state at every prefix."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> None:
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, code: str = "I") -> None:
+        self.code = code
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
         self.made = {vocab[a + b]: (r, vocab[a], vocab[b]) for r, (a, b) in reversed([*enumerate(merges)])}
         self.apart: dict[tuple[int, int], bool] = {}
@@ -119,7 +124,7 @@ class WordTrie:
 
         path[k]: last token of the first k symbols, where it starts, and the vocabulary nodes that go on from there.
         """
-        out, path, before, tokens, closing = {}, [(-1, 0, [])], "", self.tokens, self.closing
+        out, path, before, tokens, closing, code, apart = {}, [(-1, 0, [])], "", self.tokens, self.closing, self.code, self.apart
         for word in sorted(words):
             same, most = 0, min(len(before), len(word), len(path) - 1)
             while same < most and before[same] == word[same]:
@@ -131,16 +136,26 @@ class WordTrie:
                 if symbol in tokens:
                     alive.append((end, tokens[symbol]))
                 if end + 1 < len(word):
-                    path.append((*self.last(alive, OPEN, path), alive))
+                    for start, node in alive:
+                        if OPEN in node and (not start or apart.get((path[start][0], node[OPEN]))):
+                            path.append((node[OPEN], start, alive))
+                            break
+                    else:  # a pair that has not been met
+                        path.append((*self.last(alive, OPEN, path), alive))
             if len(path) > len(word):  # the word is a prefix of the one before: its last symbol is closed here
                 alive = path[len(word)][2]
-            token, at = self.last(alive, closing, path)
+            for at, node in alive:
+                token = node.get(closing)
+                if token is not None and (not at or apart.get((path[at][0], token))):
+                    break
+            else:
+                token, at = self.last(alive, closing, path)
             ids = [token]
             while at:
                 token, at, _ = path[at]
                 ids.append(token)
             ids.reverse()
-            out[word] = array("I", ids).tobytes()
+            out[word] = array(code, ids).tobytes()
             before = word
         return out
 
@@ -155,7 +170,9 @@ class Encoder:
             spec = json.load(file)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.trie = WordTrie(model["vocab"], merges, model["end_of_word_suffix"] or "")
+        #: Array code of token ids: two bytes where they suffice.
+        self.code = "H" if max([*model["vocab"].values(), *(x["id"] for x in spec["added_tokens"])], default=0) < 1 << 16 else "I"
+        self.trie = WordTrie(model["vocab"], merges, model["end_of_word_suffix"] or "", self.code)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {v: k for k, v in model["vocab"].items()} | {v: k for k, v in self.special.items()}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -165,22 +182,17 @@ class Encoder:
         self.stand_in = dict(enumerate(_byte_symbols()))
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.ends = self.trie.encode(set(".,;:!?"))  # the signs that most often follow a word
 
     def words(self, chunk: str) -> list[str]:
-        """Normalised words of a chunk without white space, in byte symbols."""
+        """Words of a normalised chunk without white space, in byte symbols."""
+        found = self.pieces(chunk)
         if chunk.isascii():
-            chunk = chunk.lower()
-            if chunk.isalpha():
-                return [chunk]
-            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-                return [chunk[:-1], chunk[-1]]
-            found = self.pieces(chunk)
             return found if chunk.isprintable() else [p.translate(self.stand_in) for p in found]
-        # lower-casing is letter by letter: the Greek final sigma doesn't arise
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [p.encode().decode("latin-1").translate(self.stand_in) for p in self.pieces(chunk)]
+        return [p.encode().decode("latin-1").translate(self.stand_in) for p in found]
 
     def chunks(self, text: str) -> list[str]:
+        """White-space-delimited parts of the normalised text, and special tokens as they stand."""
         if self.special and any(s in text for s in self.special):
             out, between = [], self.found(text)
             for i, part in enumerate(self.cut(text)):
@@ -191,39 +203,59 @@ class Encoder:
         return self.plain_chunks(text)
 
     def plain_chunks(self, text: str) -> list[str]:
+        if not text.isascii():  # lower-casing is letter by letter: the Greek final sigma doesn't arise
+            text = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+        text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split(), signs to the vocabulary's pattern
             return [c for c in self.blank(text) if c]
         return text.split()
 
     def learn(self, chunks: set[str]) -> None:
         """Put the unknown chunks into the memo: one trie traversal over their distinct new words."""
-        if len(self.memo) + len(chunks) > 2 * MEMO:
-            self.memo.clear()
-        if len(self.known) > 2 * MEMO:
-            self.known.clear()
+        if len(self.memo) + len(chunks) > 2 * MEMO:  # what is met again stays
+            self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
         memo, known, special, words = self.memo, self.known, self.special, {}
         collecting = gc.isenabled()
         gc.disable()  # millions of small lasting objects, none in a cycle
         try:
+            one, ends = {}, self.ends
             for c in chunks:
+                if c in memo:
+                    continue
+                if c.isascii():
+                    if c.isalpha():
+                        if c in known:
+                            memo[c] = known[c]
+                        else:
+                            one[c] = c, b""
+                        continue
+                    if c[-1] in ends and c[:-1].isalpha():
+                        one[c] = c[:-1], ends[c[-1]]
+                        continue
                 if c in special:
-                    memo[c] = array("I", [special[c]]).tobytes()
-                elif c not in memo:
+                    memo[c] = array(self.code, [special[c]]).tobytes()
+                else:
                     words[c] = self.words(c)
-            known.update(self.trie.encode({w for ws in words.values() for w in ws if w not in known}))
+            distinct = {w for w, _ in one.values()}
+            distinct.update(w for ws in words.values() for w in ws)
+            if len(known) + len(distinct) > 2 * MEMO:
+                known = self.known = {w: known[w] for w in distinct if w in known}
+            known.update(self.trie.encode(distinct.difference(known)))
+            for c, (w, end) in one.items():
+                memo[c] = known[w] + end
             for c, ws in words.items():
-                memo[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+                memo[c] = b"".join([known[w] for w in ws])
         finally:
             if collecting:
                 gc.enable()
 
-    def batches(self, texts: list[str | None], most: int = MEMO) -> Iterator[tuple[list[str], dict[str, bytes]]]:
+    def batches(self, texts: list[str | None], most: int = 2 * MEMO) -> Iterator[tuple[list[str], dict[str, bytes]]]:
         """Chunks of every text with a memo of their ids (unsigned 32-bit) that is good until the next item."""
         held: list[list[str]] = []
         fresh: set[str] = set()
 
         def known() -> Iterator[tuple[list[str], dict[str, bytes]]]:
-            self.learn({c for x in held for c in x} if len(self.memo) + len(fresh) > 2 * MEMO else fresh)
+            self.learn(fresh)
             for x in held:
                 yield x, self.memo
 
@@ -237,7 +269,7 @@ class Encoder:
         yield from known()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [array("I", b"".join([memo[c] for c in chunks])).tolist() for chunks, memo in self.batches(texts)]
+        return [array(self.code, b"".join([memo[c] for c in chunks])).tolist() for chunks, memo in self.batches(texts)]
 
     def decode(self, ids) -> str:
         """Names of all tokens, special ones too, joined by a space: this vocabulary names no decoder."""
@@ -256,9 +288,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def id_type(path: str) -> np.dtype:
+    """How ``encoded_bytes`` stores ids: unsigned little-endian, as narrow as the vocabulary allows."""
+    return np.dtype("<u2" if encoder(path).code == "H" else "<u4")
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``df`` and the token ids of ``text`` as array<int> (a column of that name is replaced)."""
     kept = [c for c in df.columns if c != ids]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,27 +319,30 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 
 def encoded_bytes(df: DataFrame, path: str, end: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens long, ids binary): ids as little-endian unsigned 32-bit numbers, with ``end`` after each text."""
-    closing = b"" if end is None else np.array([end], "<u4").tobytes()
+    """(key, n_tokens long, ids binary): ids as ``id_type(path)`` numbers, with ``end`` after each text."""
+    width = id_type(path)
+    small_batches(df.sparkSession)
+    closing = b"" if end is None else np.array([end], width).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [b"".join([memo[c] for c in chunks]) + closing for chunks, memo in encoder(path).batches(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
+        for batch in gathered(batches, text, TOGETHER):
+            out = [b"".join(map(memo.__getitem__, chunks)) + closing for chunks, memo in encoder(path).batches(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width.itemsize for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
 
-    return df.select(key, text).mapInArrow(run, StructType([df.schema[key], StructField("n_tokens", LongType()), StructField("ids", BinaryType())]))
+    return df.select(key, text).mapInArrow(trimmed(run), StructType([df.schema[key], StructField("n_tokens", LongType()), StructField("ids", BinaryType())]))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text; (key, n_tokens long, ids_sha256, decoded_sha256 string), one row for each row."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, text, TOGETHER):
             enc, counts, codes, texts, shown = encoder(path), [], [], [], {}
             for chunks, memo in enc.batches(batch.column(1).to_pylist()):
                 for c in chunks:
                     if c not in shown:
-                        ids = array("I", memo[c])
+                        ids = array(enc.code, memo[c])
                         shown[c] = (" ".join(map(str, ids)), enc.decode(ids), len(ids))
                 found = [x for c in chunks if (x := shown[c])[2]]
                 counts.append(sum([x[2] for x in found]))
@@ -311,4 +352,4 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
                     shown.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, StructType([df.schema[key], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
+    return df.select(key, text).mapInArrow(trimmed(run), StructType([df.schema[key], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))

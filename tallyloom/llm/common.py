@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -27,7 +28,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text in a block; bounds what a task holds of the corpus at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
 BLOCK_SCHEMA = "block long, rows_ipc binary"
 BLOB_SCHEMA = "part int, block long, kind int, blob binary"
 
@@ -102,6 +108,8 @@ def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
     A row longer than a block gets a block of its own. No shuffle: a task cuts its own input.
     """
 
+    small_batches(df.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -130,7 +138,47 @@ def pack_blocks(df: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
         if held:
             yield flush()
 
-    return save(df.mapInArrow(cut, BLOCK_SCHEMA), "blocks")
+    return save(df.mapInArrow(trimmed(cut), BLOCK_SCHEMA), "blocks")
+
+
+def trim() -> None:
+    """Give memory that Python, numpy and Arrow hold but don't use back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(run):
+    """``run`` over the batches of a task, with a trim at the task's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most 1000 rows, unless the session has its own setting: a batch exists
+    several times over, in the JVM, in transfer and in Python."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``most`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(text)))).as_py() or 0
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -157,6 +205,7 @@ def each_block(blocks: DataFrame, work, schema: str) -> DataFrame:
         for batch in batches:
             for block, blob in zip(batch.column("block"), batch.column("rows_ipc"), strict=True):
                 yield from work(block.as_py(), unpack(blob.as_py()))
+                trim()
 
     return blocks.mapInArrow(run, schema)
 
@@ -169,7 +218,9 @@ def with_answers(blocks: DataFrame, answers: DataFrame, work, schema: str | Stru
     empty = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).empty_table()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left.column("block")[0].as_py(), unpack(left.column("rows_ipc")[0].as_py()), right) if left.num_rows else empty
+        out = work(left.column("block")[0].as_py(), unpack(left.column("rows_ipc")[0].as_py()), right) if left.num_rows else empty
+        trim()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
@@ -224,6 +275,7 @@ def gather_parts(blobs: DataFrame, work) -> DataFrame:
         merged = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
         sizes = [len(next(iter(x.values()))) for x in found]
         rows = [(0, int(b), kind, pack_arrays(a)) for b, kind, a in work(merged, np.repeat(np.array(blocks, np.int64), sizes))]
+        trim()
         return pa.Table.from_batches([blob_rows(rows)])
 
     return blobs.groupBy("part").applyInArrow(run, BLOB_SCHEMA)
@@ -301,6 +353,8 @@ def totals(counted: DataFrame, alone: int | None = None) -> DataFrame:
         told = sums if alone is None else np.where(np.diff(np.r_[starts, len(order)]) == 1, alone, sums)
         told, cuts = told[which].astype(np.uint32), np.cumsum([0, *ns])
         used = len(ns)
+        del hashes, counts, order, first, which
+        trim()
         return pa.table(
             {
                 "block": group.column("block").cast(pa.int64()), "part": group.column("part").cast(pa.int32()), "n": group.column("n").cast(pa.int32()),

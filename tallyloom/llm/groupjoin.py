@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import COUNT_SCHEMA, RunHashes, Tokens, count_rows, each_block, expand, let_go, mix, pack_arrays, pack_blocks, parts_for, save, squeeze, texts_of, told_totals, totals, with_answers
+from tallyloom.llm.common import COUNT_SCHEMA, RunHashes, Tokens, count_rows, each_block, expand, let_go, mix, pack_arrays, pack_blocks, parts_for, save, squeeze, texts_of, told_totals, totals, trimmed, with_answers
 
 #: Shingles in a hash range of the counting step; postings in a range of the candidate step.
 SHINGLES, POSTINGS = 2_000_000, 1_000_000
@@ -150,7 +150,7 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
         whole = pa.concat_tables(found)
         return work(*(whole.column(k).to_numpy() for k in ("token", "id", "comp", "n", "place")))
 
-    return rows.select("id", "comp", "n", "tokens", "places").mapInArrow(cut, "part int, blob binary").groupBy("part").applyInArrow(run, schema)
+    return rows.select("id", "comp", "n", "tokens", "places").mapInArrow(trimmed(cut), "part int, blob binary").groupBy("part").applyInArrow(run, schema)
 
 
 def leaders(percent: int):
@@ -211,7 +211,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(whole.withColumnRenamed("doc_id", "a"), "a")
     both = one.join(whole.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("members").alias("others")), "b")
-    return both.select("a", "b", "n", "members", "m", "others").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "n", "members", "m", "others").mapInArrow(trimmed(check), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

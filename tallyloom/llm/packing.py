@@ -8,7 +8,7 @@
 3. Every block of encoded documents is packed where it lies, without a shuffle: the program's solution is scaled to the
    block and rounded down, patterns take the ranked documents of their classes, and patterns are used again while they
    fit. What is over - rounding leftovers, and the few tokens by which class lengths understate real ones - is cut
-   freely to fill the remaining room, and the very last open sequence is cut at powers of two.
+   freely to fill the remaining room, and the very last tokens of a block make sequences of powers of two.
 
 Defined results: a null or empty text is the end id alone; repeated rows (also of one id) are packed each for itself;
 an empty table gives no pieces; extra columns are ignored. Blocks hold ``BLOCK_TOKENS``, so memory is bounded.
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyloom.llm import bpe
-from tallyloom.llm.common import save
+from tallyloom.llm.common import save, trimmed
 
 GRAIN = 16
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Column generation ends at the optimum, or after so many columns; any solution on the way is a valid packing.
 MOST_COLUMNS = 1500
 
@@ -98,12 +98,12 @@ def pack_lengths(lengths: list[int], patterns: Patterns, share: float, room: int
             loose.append((d, whole * room, rest))
     for queue in ranked.values():
         queue.reverse()
-    open_room: list[tuple[int, int]] = []
+    open_room: list[tuple[int, int, int, int]] = []  # fill, sequence, and where its pieces stand
 
     def use(pattern: dict[int, int], times: int) -> None:
         nonlocal sequences
         for _ in range(times):
-            at = 0
+            at, begin = 0, len(pieces)
             for size, count in sorted(pattern.items(), reverse=True):
                 for _ in range(count):
                     d, start, length = ranked[size].pop()
@@ -114,7 +114,7 @@ def pack_lengths(lengths: list[int], patterns: Patterns, share: float, room: int
                     if length > fits:
                         loose.append((d, start + fits, length - fits))
             if at < room:
-                open_room.append((sequences, at))
+                open_room.append((at, sequences, begin, len(pieces)))
             sequences += 1
 
     def most(pattern: dict[int, int]) -> int:
@@ -128,9 +128,18 @@ def pack_lengths(lengths: list[int], patterns: Patterns, share: float, room: int
     for size in sorted(ranked, reverse=True):
         loose += ranked[size][::-1]
 
-    left = sum(x[2] for x in loose)
-    targets = [(seq, at, room) for seq, at in open_room]
-    extra = max(0, left - sum(room - at for _, at in open_room))
+    # sequences that stay open are filled by loose pieces; while those don't suffice, the emptiest is taken apart
+    left, gaps = sum(x[2] for x in loose), sum(room - x[0] for x in open_room)
+    open_room.sort(reverse=True)
+    apart: set[int] = set()
+    while open_room and left < gaps:
+        at, _, begin, end = open_room.pop()
+        left, gaps = left + at, gaps - (room - at)
+        loose += [p[:3] for p in pieces[begin:end]]
+        apart.update(range(begin, end))
+    pieces = [p for i, p in enumerate(pieces) if i not in apart] if apart else pieces
+    targets = [(seq, at, room) for at, seq, _, _ in open_room]
+    extra = left - gaps
     while extra >= room:
         targets.append((sequences, 0, room))
         sequences, extra = sequences + 1, extra - room
@@ -151,15 +160,16 @@ def pack_lengths(lengths: list[int], patterns: Patterns, share: float, room: int
     return pieces
 
 
-def pack(docs: DataFrame, path: str, length: int = 4096, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 4096, end: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids binary): the pieces of all documents.
 
-    ``ids`` has the piece's token ids as little-endian unsigned 32-bit numbers. Sequences are full, or padded by the
+    ``ids`` (on demand) has the piece's token ids as little-endian unsigned 32-bit numbers. Sequences are full, or padded by the
     reader to ``length``, or hold exactly a power of two of tokens and need no padding.
     """
     coded = save(bpe.encoded_bytes(docs, path, end, key, text), "coded")
     rest = (F.col("n_tokens") % length / GRAIN).cast("int")
     demand = {r["size"]: r["n"] for r in coded.groupBy(rest.alias("size")).agg(F.count("*").alias("n")).collect()}
+    width = bpe.id_type(path)
     patterns, classed = solve(demand, length // GRAIN), sum(v for k, v in demand.items() if k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +182,13 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end: int = 2, key: str
             nonlocal next_id, held
             keys = pa.concat_arrays([b.column(0) for b in held])
             counts = [n for b in held for n in b.column(1).to_pylist()]
-            ids = [x for b in held for x in b.column(2)]
+            ids = [np.frombuffer(x.as_buffer(), width) for b in held for x in b.column(2)]
             share = sum(1 for n in counts if n % length >= GRAIN) / max(1, classed)
             pieces = pack_lengths(counts, patterns, share, length)
             for i in range(0, len(pieces), 4096):
                 d, start, size, seq, at = zip(*pieces[i : i + 4096], strict=True)
-                cut = [memoryview(ids[k].as_buffer())[4 * s : 4 * (s + n)] for k, s, n in zip(d, start, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(d, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, [zlib.crc32(x) for x in cut], [counts[k] for k in d], [next_id + s for s in seq], at)), pa.array([bytes(x) for x in cut], pa.binary())], names=out.names)
+                cut = [ids[k][s : s + n].astype("<u4").tobytes() for k, s, n in zip(d, start, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(d, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, [zlib.crc32(x) for x in cut], [counts[k] for k in d], [next_id + s for s in seq], at)), *([pa.array(cut, pa.binary())] if with_ids else [])], names=out.names)
             next_id += max((p[3] for p in pieces), default=-1) + 1
             held = []
 
@@ -199,5 +209,5 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end: int = 2, key: str
             yield from close()
 
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    out = StructType([coded.schema[key], *(StructField(n, LongType()) for n in names), coded.schema["ids"]])
-    return coded.mapInArrow(run, out)
+    out = StructType([coded.schema[key], *(StructField(n, LongType()) for n in names), *([coded.schema["ids"]] if with_ids else [])])
+    return coded.mapInArrow(trimmed(run), out)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyloom.llm.common import held_out
+from tallyloom.llm.common import held_out, small_batches, trimmed
 
 SAMPLE, TREES, DEPTH, BINS = 20_000, 30, 3, 32
 STATISTICS = ("log_words", "mean_word", "upper", "digit", "symbol", "loud", "punct", "letter", "line_words", "distinct", "adjacent", "same_lines")
@@ -70,13 +70,14 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, and ``stat_*`` of the text."""
     kept = [c for c in docs.columns if c != text]
     names = [f"stat_{s}" for s in STATISTICS]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = statistics(b.column(b.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *(pa.array(values[:, k]) for k in range(len(names)))], names=[*kept, *names])
 
-    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in kept), *(StructField(n, DoubleType()) for n in names)]))
+    return docs.mapInArrow(trimmed(run), StructType([*(docs.schema[c] for c in kept), *(StructField(n, DoubleType()) for n in names)]))
 
 
 # ------------------------------------------------------------------------------------------------- learning

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), bpe.default_vocabulary(), length=4096, end=2).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), bpe.default_vocabulary(), length=4096, end=2, with_ids=False)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
