@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from tallyloom.llm.common import gathered, small_batches, trimmed
 
 #: Entries of the memo from white-space-delimited chunks to token ids, in one Python worker.
-MEMO = 160_000
+MEMO = 130_000
 #: Bytes of text that share one traversal.
 TOGETHER = 10 << 20
 OPEN, CLOSED = "open", "closed"
@@ -192,13 +192,13 @@ class Encoder:
         return [p.encode().decode("latin-1").translate(self.stand_in) for p in found]
 
     def chunks(self, text: str) -> list[str]:
-        """White-space-delimited parts of the normalised text, and special tokens as they stand."""
+        """White-space-delimited parts of the normalised text, and special tokens after a space, which no part holds."""
         if self.special and any(s in text for s in self.special):
             out, between = [], self.found(text)
             for i, part in enumerate(self.cut(text)):
                 out += self.plain_chunks(part)
                 if i < len(between):
-                    out.append(between[i])
+                    out.append(" " + between[i])
             return out
         return self.plain_chunks(text)
 
@@ -212,16 +212,15 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Put the unknown chunks into the memo: one trie traversal over their distinct new words."""
-        if len(self.memo) + len(chunks) > 2 * MEMO:  # what is met again stays
+        new = chunks.difference(self.memo)
+        if len(self.memo) + len(new) > 2 * MEMO:  # what is met again stays
             self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
         memo, known, special, words = self.memo, self.known, self.special, {}
         collecting = gc.isenabled()
         gc.disable()  # millions of small lasting objects, none in a cycle
         try:
             one, ends = {}, self.ends
-            for c in chunks:
-                if c in memo:
-                    continue
+            for c in new:
                 if c.isascii():
                     if c.isalpha():
                         if c in known:
@@ -232,15 +231,16 @@ class Encoder:
                     if c[-1] in ends and c[:-1].isalpha():
                         one[c] = c[:-1], ends[c[-1]]
                         continue
-                if c in special:
-                    memo[c] = array(self.code, [special[c]]).tobytes()
+                if c[0] == " ":
+                    memo[c] = array(self.code, [special[c[1:]]]).tobytes()
                 else:
                     words[c] = self.words(c)
             distinct = {w for w, _ in one.values()}
             distinct.update(w for ws in words.values() for w in ws)
-            if len(known) + len(distinct) > 2 * MEMO:
+            unknown = distinct.difference(known)
+            if len(known) + len(unknown) > 2 * MEMO:
                 known = self.known = {w: known[w] for w in distinct if w in known}
-            known.update(self.trie.encode(distinct.difference(known)))
+            known.update(self.trie.encode(unknown))
             for c, (w, end) in one.items():
                 memo[c] = known[w] + end
             for c, ws in words.items():

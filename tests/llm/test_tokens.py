@@ -13,7 +13,7 @@ from tallyloom.llm import bpe, packing
 PATH = bpe.default_vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
 OURS = bpe.Encoder(PATH)
-ODD = ["", " ", "<|endoftext|> a<|startoftext|>b", "It's WE'LL don't 'sfoo", "Σίσυφος ΣΑΣ İ é", "a\x1cb\x1fc\u2003d\xa0e", "１２3 ²½ 漢字 😀👍🏽 a_b--c", "<|endoftext", "x" * 3000, "aaaa" * 200, "\ufeffzero\u200bwidth", "a\x00b \x7f"]
+ODD = ["", " ", "<|endoftext|> a<|startoftext|>b", "It's WE'LL don't 'sfoo", "Σίσυφος ΣΑΣ İ é", "a\x1cb\x1fc\u2003d\xa0e", "１２3 ²½ 漢字 😀👍🏽 a_b--c", "<|endoftext", "<|EndOfText|> a<|endoftext|>", "<|ENDOFTEXT|>", "x" * 3000, "aaaa" * 200, "\ufeffzero\u200bwidth", "a\x00b \x7f"]
 
 
 def library(text):
