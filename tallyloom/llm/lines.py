@@ -5,8 +5,9 @@ documents with a line are counted; a line is boilerplate above ``share`` of the
 ``least`` of them. Boilerplate lines are removed, and a document that keeps less than ``keep`` of its words is rejected
 as depleted, as is one that fails the base rules.
 
-Copies are not many documents: a document is known by the least line hash of its other lines, so exact copies count
-once and near copies nearly so; a page that was copied a thousand times is not boilerplate of itself.
+Exact copies are not many documents: a document is known by the hash of its whole text, for every line and for the
+host's total alike, so a page that was copied a thousand times is not boilerplate of itself. Texts that differ, near
+copies included, are distinct documents.
 
 Boilerplate lines of a host number at most (lines in a document) / share. They are given to all tasks if there are at
 most ``BROADCAST`` of them in all; beyond that they are joined to the documents' lines by host and line.
@@ -49,10 +50,9 @@ def shared_lines(docs: DataFrame, host: str, text: str, share: float, least: int
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (t or "").encode()
                 codes = sorted({c for x in raw.split(b"\n") if (c := line_code(x))})
-                first, second = codes[0] if codes else 0, codes[1] if len(codes) > 1 else xxhash.xxh3_64_intdigest(raw) - (1 << 63)
                 hosts += [h] * (len(codes) + 1)
                 lines += [0, *codes]
-                known += [xxhash.xxh3_64_intdigest(raw) - (1 << 63), *(second if c == first else first for c in codes)]
+                known += [xxhash.xxh3_64_intdigest(raw) - (1 << 63)] * (len(codes) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, b.schema.field(0).type), pa.array(lines, pa.int64()), pa.array(known, pa.int64())], names=["host", "line", "doc"])
 
     small_batches(docs.sparkSession)

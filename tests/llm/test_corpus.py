@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -200,6 +201,28 @@ def test_boilerplate_goes_and_depleted_documents_are_rejected(spark, monkeypatch
     assert clean[3] == body(3, 60) and clean[101].startswith("Welcome") and 100 not in clean and lines.clean(df).columns == df.columns
 
 
+def test_shared_lines_of_a_template_count_distinct_documents(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = []
+    for host in "abcdef":
+        template = [" ".join(word() for _ in range(6)) for _ in range(8)]
+        texts = ["\n".join([*template[:4], *(" ".join(word() for _ in range(40)) for _ in range(1 + i % 2)), *template[4:]]) for i in range(60)]
+        texts += ["\n".join(" ".join(word() for _ in range(60)) for _ in range(3)) for _ in range(40)]
+        rows += [(len(rows) + i, t, host) for i, t in enumerate([*texts, *texts[:30], *[texts[-1]] * 90])]
+    held = defaultdict(set)
+    for _, t, h in rows:
+        for x in {lines.line_code(x) for x in t.encode().split(b"\n")} | {0}:
+            held[h, x].add(t)
+    want = {k for k, v in held.items() if k[1] and len(v) > 10 and len(v) > 0.05 * len(held[k[0], 0])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {tuple(r) for r in lines.shared_lines(docs, "source", "text", 0.05, 10).collect()} == want and len(want) == 48
+    for r in lines.judge(docs).collect():
+        i = r["doc_id"] % 220
+        page = i < 60 or 100 <= i < 130  # its 48 template words outweigh one own line of 40, but not two
+        assert r["n_shared_words"] == (48 if page else 0) and r["kept"] == (not page or i % 2 == 1)
+
+
 def test_quality_rules_on_an_empty_table(none):
     assert lines.judge(none).count() == 0
 
