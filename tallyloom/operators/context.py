@@ -9,26 +9,36 @@ from tallyloom.functions.text import APPROVALS
 
 
 def _near(transactions: DataFrame, others: DataFrame, other_date: str, days: int) -> DataFrame:
-    around = F.explode(F.sequence(F.date_sub(F.to_date("date"), days), F.date_add(F.to_date("date"), days)))
-    t = transactions.where("vendor <> ''").select("txn_id", F.lower("vendor").alias("__v"), F.to_date("date").alias("__d"), around.alias("__day"))
-    return t.join(others.withColumn("__day", F.to_date(other_date)), "__day")
+    """Each vendor and day of the transactions, once, with the others within ``days``."""
+    around = F.explode(F.sequence(F.date_sub("__d", days), F.date_add("__d", days)))
+    keys = _keyed(transactions).select("__v", "__d").distinct().select("__v", "__d", around.alias("__day"))
+    return keys.join(others.withColumn("__day", F.to_date(other_date)), "__day")
+
+
+def _keyed(transactions: DataFrame) -> DataFrame:
+    return transactions.where("vendor <> ''").select("txn_id", F.lower("vendor").alias("__v"), F.to_date("date").alias("__d"))
 
 
 def email_evidence(transactions: DataFrame, emails: DataFrame, days: int = 3, most: int = 5) -> DataFrame:
     """(txn_id, message_id, confidence, rank): messages within ``days`` that name the vendor; 0.9 in the subject, else 0.7."""
     in_subject, in_body = (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("__v")) for c in ("subject", "body_preview"))
     hits = _near(transactions, emails, "received_at", days).where(in_subject | in_body).withColumn("confidence", F.when(in_subject, 0.9).otherwise(0.7))
-    return _first(hits, "pos", "message_id", most).select("txn_id", "message_id", "confidence", "rank")
+    return _first(transactions, hits.select("__v", "__d", "pos", "message_id", "confidence"), "pos", "message_id", most).select("txn_id", "message_id", "confidence", "rank")
 
 
 def event_evidence(transactions: DataFrame, events: DataFrame, days: int = 3, most: int = 5) -> DataFrame:
     """(txn_id, event_id, rank): events within ``days`` whose subject names the vendor."""
     hits = _near(transactions, events, "start_time", days).where(F.contains(F.lower(F.coalesce("subject", F.lit(""))), F.col("__v")))
-    return _first(hits, "pos", "event_id", most).select("txn_id", "event_id", "rank")
+    return _first(transactions, hits.select("__v", "__d", "pos", "event_id"), "pos", "event_id", most).select("txn_id", "event_id", "rank")
+
+
+def _first(transactions: DataFrame, hits: DataFrame, order: str, ident: str, most: int) -> DataFrame:
+    """The first hits of each vendor and day, given to its transactions, and of those the first of each transaction."""
 
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, ident))).where(F.col("rank") <= most)
 
-def _first(hits: DataFrame, order: str, ident: str, most: int) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("txn_id").orderBy(order, ident))).where(F.col("rank") <= most)
+    return first(_keyed(transactions).join(first(hits, "__v", "__d").drop("rank"), ["__v", "__d"]), "txn_id")
 
 
 def approvals(emails: DataFrame, thread: str, at: list[str], sender: str, body: str, keywords: tuple[str, ...] = APPROVALS) -> DataFrame:

@@ -367,15 +367,24 @@ def u1_suspicious(spark, sf):
     return severity.suspicious(g, [s.where(c) for c in ("is_unmatched", "is_incomplete", "is_duplicate")]).select("txn_id")
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 600000, 2) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 600000, 2) DESC, 'O' || o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 3 = 0),
+_AMBIGUITY = """WITH a AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 600000, 2) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 600000, 2) DESC, 'O' || o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 3 = 0),
     p AS (SELECT o_custkey, max(n) AS n, max(s) FILTER (r = 1) AS a, max(s) FILTER (r = 2) AS b, max('O' || o_orderkey) FILTER (r = 1) AS id FROM a GROUP BY o_custkey)
-    SELECT o_custkey AS source, round(CASE WHEN n = 1 THEN 0 ELSE a - b END, 6) AS gap, CASE WHEN n = 1 OR a - b >= 0.15 THEN 'resolve' ELSE 'escalate' END AS decision, CASE WHEN n = 1 OR a - b >= 0.15 THEN id END AS target_id FROM p""")
-def w6_ambiguity(spark, sf):
-    o = C.table(spark, sf, "orders").where("o_custkey % 3 = 0").selectExpr("o_custkey AS source", "struct(o_orderkey, concat('O', o_orderkey) AS i, round(o_totalprice / 600000, 2) AS s) AS c").groupBy("source").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    SELECT o_custkey AS source, round(CASE WHEN n = 1 THEN 0 ELSE a - b END, 6) AS gap, CASE WHEN n = 1 OR a - b >= 0.15 THEN 'resolve' ELSE 'escalate' END AS decision, CASE WHEN n = 1 OR a - b >= 0.15 THEN id END AS target_id FROM p"""
+
+
+@query(_AMBIGUITY)
+def w6_ambiguity(spark, sf, which="o_custkey % 3 = 0"):
+    o = C.table(spark, sf, "orders").where(which).selectExpr("o_custkey AS source", "struct(o_orderkey, concat('O', o_orderkey) AS i, round(o_totalprice / 600000, 2) AS s) AS c").groupBy("source").agg(F.sort_array(F.collect_list("c")).alias("c"))
     amb = o.select("source", F.col("c.i").alias("candidate_ids"), F.col("c.s").alias("candidate_scores"))
     return severity.resolve_ambiguity(amb).select("source", F.round("gap", 6).alias("gap"), "decision", "target_id")
 
 
+@query(_AMBIGUITY.replace(" WHERE o_custkey % 3 = 0", ""))
+def w6_ambiguity_whole(spark, sf):
+    """All customers; w6_ambiguity and its SQL rank one in three."""
+    return w6_ambiguity(spark, sf, "true")
+
+
 # ---------------------------------------------------------------------------------------- reconciliation, evidence
 
 
@@ -405,7 +414,7 @@ def j9_known_entities(spark, sf):
 @query()
 def j10_receipts(spark, sf):
     g = C.gold(spark, sf).where("vendor IS NOT NULL AND amount IS NOT NULL AND date IS NOT NULL")
-    found = g.where("pos % 10 = 0").selectExpr("concat('R', pos) AS receipt_id", "vendor", "amount * 1.01 AS amount", "date_add(date, 2) AS date")
+    found = g.selectExpr("concat('R', pos) AS receipt_id", "vendor", "amount * 1.01 AS amount", "date_add(date, 2) AS date")
     return reconcile.receipts(found, g)
 
 
@@ -413,8 +422,11 @@ _EVIDENCE = """t AS (SELECT 'E' || event_id AS txn_id, CAST(ts AS date) AS d, CA
     m AS (SELECT conv_id || '-' || turn AS message_id, conv_id * 1000 + turn AS pos, DATE '2024-01-01' + CAST(conv_id % 30 AS int) AS d, substr(text, 1, 20) AS s, text AS b FROM conversations)"""
 
 
-def _evidence(spark, sf):
-    t = C.table(spark, sf, "events").where("event_id % 50 = 0").selectExpr("concat('E', event_id) AS txn_id", "CAST(ts AS date) AS date", "CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS vendor")
+_ALL_EVIDENCE = _EVIDENCE.replace(" WHERE event_id % 50 = 0", "")
+
+
+def _evidence(spark, sf, which="event_id % 50 = 0"):
+    t = C.table(spark, sf, "events").where(which).selectExpr("concat('E', event_id) AS txn_id", "CAST(ts AS date) AS date", "CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS vendor")
     m = C.table(spark, sf, "conversations").selectExpr("concat(conv_id, '-', turn) AS message_id", "concat(conv_id, '-', turn) AS event_id", "conv_id * 1000 + turn AS pos", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS received_at", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS start_time", "substring(text, 1, 20) AS subject", "text AS body_preview")
     return t, m
 
@@ -430,6 +442,18 @@ def j12_event_evidence(spark, sf):
     return context.event_evidence(*_evidence(spark, sf))
 
 
+@query(f"""WITH {_ALL_EVIDENCE}, h AS (SELECT txn_id, message_id, CASE WHEN contains(lower(s), lower(v)) THEN 0.9 ELSE 0.7 END::double AS confidence, row_number() OVER (PARTITION BY txn_id ORDER BY pos, message_id) AS rank FROM t JOIN m ON abs(t.d - m.d) <= 3 WHERE contains(lower(s), lower(v)) OR contains(lower(b), lower(v)))
+    SELECT txn_id, message_id, confidence, rank FROM h WHERE rank <= 5""")
+def j11_email_evidence_whole(spark, sf):
+    """All transactions; j11_email_evidence and its SQL judge one in fifty."""
+    return context.email_evidence(*_evidence(spark, sf, "true"))
+
+
+@query(f"""WITH {_ALL_EVIDENCE}, h AS (SELECT txn_id, message_id AS event_id, row_number() OVER (PARTITION BY txn_id ORDER BY pos, message_id) AS rank FROM t JOIN m ON abs(t.d - m.d) <= 3 WHERE contains(lower(s), lower(v))) SELECT * FROM h WHERE rank <= 5""")
+def j12_event_evidence_whole(spark, sf):
+    return context.event_evidence(*_evidence(spark, sf, "true"))
+
+
 @query("""WITH k AS (SELECT conv_id, turn, role, CASE WHEN contains(lower(text), 'with') THEN 'with' WHEN contains(lower(text), 'from') THEN 'from' END AS k FROM conversations),
     f AS (SELECT conv_id, arg_min(role, turn) AS approver, min(turn) AS approved_at, arg_min(k, turn) AS keyword FROM k WHERE k IS NOT NULL GROUP BY conv_id)
     SELECT c.conv_id AS thread_id, f.conv_id IS NOT NULL AS approved, approver, approved_at::varchar AS approved_at, keyword FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)""")

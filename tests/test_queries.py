@@ -56,3 +56,47 @@ def test_against_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if k not in entry.oracle_sql() and k not in SLOW and not k.startswith("op")))
 def test_runs(spark, tables, name):
     assert entry.queries()[name](spark, tables[0]).count() >= 0
+
+
+def test_receipts_of_every_transaction(spark, tables):
+    from tallyloom.functions.similarity import sequence_ratio
+
+    at, con = tables
+    rows = con.sql("SELECT o_orderkey, 'Vendor ' || (o_custkey % 50), o_totalprice, CAST(o_orderdate AS date) FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0").fetchall()
+    want = {}
+    for k, v, a, d in rows:
+        r, day = a * 1.01, d + timedelta(days=2)
+        near = [(t, x, y, e) for t, x, y, e in rows if abs((e - day).days) <= 7 and r * 0.95 <= y <= r * 1.05]
+        want[f"R{k}"] = max(((1 - abs(y - r) / r) * 0.4 + (1 - abs((e - day).days) / 7) * 0.3 + 0.3 * sequence_ratio(x, v), f"T{t}") for t, x, y, e in near)
+    got = {r["receipt_id"]: r for r in entry.queries()["j10_receipts"](spark, at).collect()}
+    assert got.keys() == want.keys() and len(got) > 250
+    assert all(got[k]["txn_id"] == t and got[k]["confidence"] == pytest.approx(s, abs=0.001) for k, (s, t) in want.items())
+
+
+def test_evidence_and_ambiguity_of_all_rows(spark, tables):
+    at, con = tables
+    count = lambda name: entry.queries()[name](spark, at).select("txn_id" if name[0] == "j" else "source").distinct().count()
+    days = "(SELECT DISTINCT DATE '2024-01-01' + CAST(conv_id % 30 AS int) AS d, contains(lower({}), 'the') AS a, contains(lower({}), 'and') AS b, contains(lower({}), 'with') AS c FROM conversations)"
+    for name, text in (("j11_email_evidence_whole", "text"), ("j12_event_evidence_whole", "substr(text, 1, 20)")):
+        hit = con.sql(f"SELECT count(*) FROM events e WHERE EXISTS (FROM {days.replace('{}', text)} m WHERE abs(CAST(e.ts AS date) - m.d) <= 3 AND CASE e.event_id % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END)").fetchall()[0][0]
+        assert count(name) == hit > 60
+    assert count("w6_ambiguity_whole") == con.sql("SELECT count(DISTINCT o_custkey) FROM orders").fetchall()[0][0] > 50
+
+
+def test_evidence_of_repeated_transactions(spark):
+    from tallyloom.operators import context
+
+    t0 = datetime(2024, 1, 1).date()
+    txns = [("t1", "The", t0), ("t1", "The", t0), ("t1", "and", t0 + timedelta(days=4)), ("t2", "the", t0), ("t3", "", t0), ("t4", "the", None), (None, "the", t0), ("t5", None, t0)]
+    mails = [(f"m{i}", i % 7, t0 + timedelta(days=i % 9), ["the x", "land", None, "y"][i % 4], ["and", "THE end", "z"][i % 3]) for i in range(40)]
+    want = []
+    for ident in {t[0] for t in txns}:
+        hits = []
+        for _, v, d in (t for t in txns if t[0] == ident and t[1] and t[2]):
+            for m, pos, day, s, b in mails:
+                s = (s or "").lower()
+                if abs((d - day).days) <= 3 and (v.lower() in s or v.lower() in b.lower()):
+                    hits.append((pos, m, 0.9 if v.lower() in s else 0.7))
+        want += [(ident, k + 1, m) for k, (_, m, _) in enumerate(sorted(hits)[:5])]
+    out = context.email_evidence(spark.createDataFrame(txns, "txn_id string, vendor string, date date"), spark.createDataFrame(mails, "message_id string, pos long, received_at date, subject string, body_preview string"))
+    assert sorted(((r["txn_id"], r["rank"], r["message_id"]) for r in out.collect()), key=str) == sorted(want, key=str)
