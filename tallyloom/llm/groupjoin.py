@@ -22,6 +22,7 @@ smallest integer; rows that repeat an id are one document with the links of all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -275,7 +276,16 @@ def link_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of one document for each component, all columns: that of the smallest id; of rows that repeat it, all."""
-    found = link_classes(docs, shingle, percent, key, text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(docs[key].cast("long"), F.lit(LEAST_ID)) == F.col("__gone"), "left_anti")
+    """The rows of one document for each component, all columns: that of the smallest id; of its rows with the same words, one.
+
+    Rows without an id are documents of their own, known by their words, and come before all ids.
+    """
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase)
+    words = F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " "))
+    ident = F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID) + F.xxhash64(words).bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = docs.withColumn("__id", ident)
+    found = save(link_classes(rows, shingle, percent, "__id", text), "classes")
+    states = found.groupBy(F.col("doc_id").alias("__id")).agg((F.min("component_id") == F.col("doc_id")).alias("__stays"), F.count("*").alias("__n"))
+    kept = rows.join(states.where("NOT __stays OR __n > 1"), "__id", "left").where("coalesce(__stays, true)")
+    repeated = kept.where("__n > 1").withColumn("__rank", F.row_number().over(Window.partitionBy("__id", words).orderBy(F.to_json(F.struct(*docs.columns)))))
+    return kept.where("__n IS NULL").select(*docs.columns).unionByName(repeated.where("__rank = 1").select(*docs.columns))

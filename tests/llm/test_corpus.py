@@ -104,6 +104,18 @@ def test_one_document_of_each_class_stays(docs, rows, none):
     assert groupjoin.link_classes(none).count() == 0
 
 
+def test_one_row_of_repeated_and_missing_ids_stays(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    rows = [(5, text["a"], 1), (5, text["a"], 1), (5, text["a"].upper() + "\n", 2), (5, text["b"], 3), (6, text["a"], 4), (6, text["b"], 4)]
+    rows += [(None, text["c"], 5), (None, text["c"], 6), (None, text["c"] + " end", 7), (None, text["d"], 8), (9, text["d"], 9), (10, text["e"], 10), (None, None, 11), (None, "", 11), (11, text["f"], 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    out = [tuple(r) for r in groupjoin.deduplicate(docs).collect()]
+    same = lambda t: " ".join((t or "").lower().split())
+    left = sorted(((i, same(t)[:5]) for i, t, _ in out), key=str)
+    assert left == sorted([(5, text["a"][:5]), (5, text["b"][:5]), (None, text["c"][:5]), (None, text["d"][:5]), (10, text["e"][:5]), (None, ""), (11, text["f"][:5])], key=str)
+    assert out and all(r in rows for r in out) and sorted(out, key=str) == sorted(map(tuple, groupjoin.deduplicate(docs.repartition(2)).collect()), key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)] + [(200, k) for k in range(201, 230)]
     got = {r["node"]: r["comp"] for r in groupjoin.components(spark.createDataFrame(edges, "a long, b long")).collect()}
