@@ -203,7 +203,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: i
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns, in one pass over the texts."""
+    """The rows of ``docs`` that the classifier accepts, all columns, in one pass over the texts.
+
+    Without labels of both kinds there is no model, and all rows are accepted.
+    """
     model = learn(docs, labels, modulus, key=key, text=text)
+    if model is None:
+        return docs
     named = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     return with_statistics(named, "__text").where(compiled(model) >= threshold).select("__row.*")

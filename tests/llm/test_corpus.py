@@ -267,6 +267,12 @@ def test_classifier_without_labels(docs, none, spark):
     assert quality.score(none, lab).count() == 0
 
 
+def test_without_a_model_all_documents_are_accepted(docs, rows, spark):
+    for labels in ([], [(r[0], 1, 0) for r in rows if r[0] is not None]):
+        out = quality.accepted(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert out.columns == docs.columns and out.count() == len(rows)
+
+
 def test_compiled_rules_agree_with_the_model(spark):
     import numpy as np
 
