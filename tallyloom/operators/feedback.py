@@ -62,8 +62,11 @@ def rule_false_positives(flags: DataFrame, least: float = AUDIT.rule_fp) -> Data
 
 
 def tuned(flags: DataFrame, rules: AuditRules = AUDIT) -> AuditRules:
-    """Rules after a review: noisy vendors whitelisted, the global sigma raised by half for each noisy amount rule."""
-    vendors = [r["vendor"] for r in vendor_false_positives(flags).where("whitelist").select("vendor").orderBy("vendor").limit(10_000).collect()]
+    """Rules after a review: noisy vendors whitelisted, the global sigma raised by half for each noisy amount rule.
+
+    All noisy vendors are listed, however many; the names are held by the driver, as rules are.
+    """
+    vendors = [r["vendor"] for r in vendor_false_positives(flags).where("whitelist").select("vendor").collect()]
     steps = rule_false_positives(flags).where("raise_sigma").count()
     return replace(rules, whitelisted=tuple(sorted({*rules.whitelisted, *vendors})), sigma_global=rules.sigma_global + 0.5 * steps)
 

@@ -123,6 +123,15 @@ def test_feedback_tuning(spark):
     assert rules.whitelisted == ("v1",) and rules.sigma_global == 2.5
 
 
+def test_feedback_tuning_lists_all_noisy_vendors(spark):
+    flags = spark.range(10_500).select(F.format_string("v%05d", "id").alias("vendor"), F.lit("other").alias("explanation"), F.lit("false_positive").alias("human_decision"))
+    rules = feedback.tuned(flags)
+    assert rules.whitelisted == tuple(f"v{i:05d}" for i in range(10_500))
+    last = spark.createDataFrame([("v10499",), ("v99999",)], "vendor string")
+    got = last.select(severity.escalated(F.lit("WARNING"), F.lit(500.0), F.col("vendor"), rules).alias("s")).collect()
+    assert [r["s"] for r in got] == ["INFO", "WARNING"]
+
+
 def store_with_links(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     t = datetime(2026, 1, 1)
