@@ -25,7 +25,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"), lm.default_held_out(), order=2)
+    return lm.score(_table(spark, sf_dir, "documents"), lm.default_held_out(), order=3)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,15 @@ def test_language_model(docs, rows, order):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_registered_language_model_has_trigrams(spark, tmp_path):
+    from tallyloom.llm import queries
+
+    spark.createDataFrame([(i, "a b c d a b e c a b c") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_lm_scoring(spark, str(tmp_path))
+    want = lm.score(spark.read.parquet(f"{tmp_path}/documents.parquet"), lm.default_held_out(), order=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_language_model_without_text(none):
     assert lm.score(none, lm.default_held_out()).count() == 0
 
