@@ -21,9 +21,12 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -36,6 +39,12 @@ TOGETHER = 10 << 20
 OPEN, CLOSED = "open", "closed"
 
 
+#: Letters below this one are letters in every version of Unicode's tables.
+LATIN = "\u0250"
+#: White space to ``str.split``, signs to the vocabulary's pattern.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -160,19 +169,33 @@ class WordTrie:
         return out
 
 
+#: First letter of the chunk of a special token, and of a chunk whose separators are written as capitals; the chunk that
+#: stands for a text's end. No normalised chunk has a capital.
+SPECIAL, ESCAPED, END = "S", "X", "E"
+_ESCAPE = dict(zip(map(ord, SEPARATORS), "CDFG", strict=True))
+_PLAIN = {ord(v): k for k, v in _ESCAPE.items()}
+
+
 class Encoder:
-    """Whole texts to token ids and back, for a vocabulary file of the ``tokenizers`` library."""
+    """Whole texts to token ids and back, for a vocabulary file of the ``tokenizers`` library.
 
-    def __init__(self, path: str) -> None:
+    vocabulary: the file's contents. Distinct words are encoded by the trie, or, with ``library``, by that library's model.
+    """
+
+    def __init__(self, vocabulary: bytes, library: bool = False) -> None:
         import regex
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        spec = json.loads(vocabulary)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: Array code of token ids: two bytes where they suffice.
         self.code = "H" if max([*model["vocab"].values(), *(x["id"] for x in spec["added_tokens"])], default=0) < 1 << 16 else "I"
-        self.trie = WordTrie(model["vocab"], merges, model["end_of_word_suffix"] or "", self.code)
+        self.contents = vocabulary
+        if library:
+            self.tokenize = self.library.model.tokenize
+            self.encode_words, self.learn = self.by_library, self.learn_each
+        else:
+            self.encode_words = WordTrie(model["vocab"], merges, model["end_of_word_suffix"] or "", self.code).encode
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {v: k for k, v in model["vocab"].items()} | {v: k for k, v in self.special.items()}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -182,34 +205,73 @@ class Encoder:
         self.stand_in = dict(enumerate(_byte_symbols()))
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.ends = self.trie.encode(set(".,;:!?"))  # the signs that most often follow a word
+        self.ends = self.encode_words(set(".,;:!?"))  # the signs that most often follow a word
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.contents.decode())
 
     def words(self, chunk: str) -> list[str]:
-        """Words of a normalised chunk without white space, in byte symbols."""
+        """Words of a normalised chunk without white space, in byte symbols.
+
+        Signs that Python's tables don't know yet may be letters to the library: it cuts such chunks itself.
+        """
+        if not chunk.isascii() and any(category(c) == "Cn" for c in chunk):
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
         found = self.pieces(chunk)
         if chunk.isascii():
             return found if chunk.isprintable() else [p.translate(self.stand_in) for p in found]
         return [p.encode().decode("latin-1").translate(self.stand_in) for p in found]
 
     def chunks(self, text: str) -> list[str]:
-        """White-space-delimited parts of the normalised text, and special tokens after a space, which no part holds."""
+        """White-space-delimited parts of the normalised text, and special tokens after ``SPECIAL``, which no part holds."""
         if self.special and any(s in text for s in self.special):
             out, between = [], self.found(text)
             for i, part in enumerate(self.cut(text)):
                 out += self.plain_chunks(part)
                 if i < len(between):
-                    out.append(" " + between[i])
+                    out.append(SPECIAL + between[i])
             return out
         return self.plain_chunks(text)
 
-    def plain_chunks(self, text: str) -> list[str]:
+    def normalised(self, text: str) -> str:
         if not text.isascii():  # lower-casing is letter by letter: the Greek final sigma doesn't arise
             text = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).replace("Σ", "σ")
-        text = text.lower()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split(), signs to the vocabulary's pattern
+        return text.lower()
+
+    def plain_chunks(self, text: str) -> list[str]:
+        text = self.normalised(text)
+        if any(c in text for c in SEPARATORS):
             return [c for c in self.blank(text) if c]
         return text.split()
 
+    def escaped(self, text: str) -> str:
+        """Normalised, with chunks that only spaces divide."""
+        return " ".join([ESCAPED + c.translate(_ESCAPE) if any(s in c for s in SEPARATORS) else c for c in self.chunks(text)])
+
+    def flat(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by ``end``; where each text's ids stop), with ``library``.
+
+        Arrow splits the texts and numbers their chunks; Python meets distinct chunks alone.
+        """
+        odd, close = (*self.special, *SEPARATORS), "" if end is None else " " + END
+        plain = [(self.escaped(t) if any(s in t for s in odd) else self.normalised(t)) + close for t in (x or "" for x in texts)]
+        split = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct, index, stops = coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        self.learn(set(distinct) - {"", END})
+        memo, fixed = self.memo, {"": b"", END: b"" if end is None else array(self.code, [end]).tobytes()}
+        blobs = [fixed[c] if c in fixed else memo[c] for c in distinct]
+        ids = np.frombuffer(b"".join(blobs), np.dtype(f"<u{array(self.code).itemsize}"))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // ids.itemsize
+        starts, counts = np.cumsum(sizes) - sizes, sizes[index]
+        upto = np.cumsum(counts)
+        at = np.repeat(starts[index] - (upto - counts), counts)
+        at += np.arange(len(at))
+        return ids[at], np.r_[0, upto][stops[1:]]
+
     def learn(self, chunks: set[str]) -> None:
         """Put the unknown chunks into the memo: one trie traversal over their distinct new words."""
         new = chunks.difference(self.memo)
@@ -231,7 +293,7 @@ class Encoder:
                     if c[-1] in ends and c[:-1].isalpha():
                         one[c] = c[:-1], ends[c[-1]]
                         continue
-                if c[0] == " ":
+                if c[0] == SPECIAL:
                     memo[c] = array(self.code, [special[c[1:]]]).tobytes()
                 else:
                     words[c] = self.words(c)
@@ -240,7 +302,7 @@ class Encoder:
             unknown = distinct.difference(known)
             if len(known) + len(unknown) > 2 * MEMO:
                 known = self.known = {w: known[w] for w in distinct if w in known}
-            known.update(self.trie.encode(unknown))
+            known.update(self.encode_words(unknown))
             for c, (w, end) in one.items():
                 memo[c] = known[w] + end
             for c, ws in words.items():
@@ -249,6 +311,39 @@ class Encoder:
             if collecting:
                 gc.enable()
 
+    def by_library(self, words: set[str]) -> dict[str, bytes]:
+        return {w: array(self.code, [t.id for t in self.tokenize(w)]).tobytes() for w in words}
+
+    def learn_each(self, chunks: set[str]) -> None:
+        """``learn`` for the library's model, one word after another: a word that was met as a chunk of its own is known."""
+        new = chunks.difference(self.memo)
+        if len(self.memo) + len(new) > 2 * MEMO:
+            self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
+        memo, ends, tokenize, code, stand_in = self.memo, self.ends, self.tokenize, self.code, self.stand_in
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            for c in new:
+                if c[0] == SPECIAL:
+                    memo[c] = array(code, [self.special[c[1:]]]).tobytes()
+                    continue
+                if c[0] == ESCAPED:
+                    memo[c] = array(code, [t.id for w in self.words(c[1:].translate(_PLAIN)) for t in tokenize(w)]).tobytes()
+                    continue
+                close = ends.get(c[-1])
+                word = c if close is None else c[:-1]
+                if word.isalpha() and (word.isascii() or max(word) < LATIN):  # one word, and perhaps one sign
+                    found = memo.get(word)
+                    if found is None:
+                        symbols = word if word.isascii() else word.encode().decode("latin-1").translate(stand_in)
+                        found = array(code, [t.id for t in tokenize(symbols)]).tobytes()
+                    memo[c] = found if close is None else found + close
+                else:
+                    memo[c] = array(code, [t.id for w in self.words(c) for t in tokenize(w)]).tobytes()
+        finally:
+            if collecting:
+                gc.enable()
+
     def batches(self, texts: list[str | None], most: int = 2 * MEMO) -> Iterator[tuple[list[str], dict[str, bytes]]]:
         """Chunks of every text with a memo of their ids (unsigned 32-bit) that is good until the next item."""
         held: list[list[str]] = []
@@ -277,30 +372,39 @@ class Encoder:
         return " ".join([names[i] for i in ids])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[bytes, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def vocabulary(path: str) -> bytes:
+    """The file's contents, read by the driver; tasks get them with the function, so executors need no such file."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def encoder(contents: bytes, library: bool = False) -> Encoder:
     """One for each vocabulary in a Python worker."""
-    if path not in _encoders:
+    at = hashlib.sha256(contents).digest(), library
+    if at not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[at] = Encoder(contents, library)
+    return _encoders[at]
 
 
 def id_type(path: str) -> np.dtype:
     """How ``encoded_bytes`` stores ids: unsigned little-endian, as narrow as the vocabulary allows."""
-    return np.dtype("<u2" if encoder(path).code == "H" else "<u4")
+    spec = json.loads(vocabulary(path))
+    most = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])], default=0)
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``df`` and the token ids of ``text`` as array<int> (a column of that name is replaced)."""
-    kept = [c for c in df.columns if c != ids]
+    kept, contents = [c for c in df.columns if c != ids], vocabulary(path)
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = encoder(path).encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            out = encoder(contents).encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, n in enumerate(batch.schema.names) if n in kept), pa.array(out, pa.list_(pa.int32()))], names=[*(n for n in batch.schema.names if n in kept), ids])
 
     return df.select(*kept).mapInArrow(run, StructType([*df.select(*kept).schema.fields, StructField(ids, ArrayType(IntegerType()))]))
@@ -308,37 +412,42 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the text of the token ids; null ids give the empty string."""
-    kept = [c for c in df.columns if c != text]
+    kept, contents = [c for c in df.columns if c != text], vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [encoder(path).decode(x or ()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            out = [encoder(contents).decode(x or ()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, n in enumerate(batch.schema.names) if n in kept), pa.array(out, pa.string())], names=[*(n for n in batch.schema.names if n in kept), text])
 
     return df.select(*kept).mapInArrow(run, StructType([*df.select(*kept).schema.fields, StructField(text, StringType())]))
 
 
 def encoded_bytes(df: DataFrame, path: str, end: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens long, ids binary): ids as ``id_type(path)`` numbers, with ``end`` after each text."""
-    width = id_type(path)
+    """(key, n_tokens long, ids binary): ids as ``id_type(path)`` numbers, with ``end`` after each text.
+
+    Distinct words are encoded by the ``tokenizers`` library's model, which takes a sixth of the trie's time.
+    """
+    contents = vocabulary(path)
     small_batches(df.sparkSession)
-    closing = b"" if end is None else np.array([end], width).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, text, TOGETHER):
-            out = [b"".join(map(memo.__getitem__, chunks)) + closing for chunks, memo in encoder(path).batches(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width.itemsize for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
+            ids, stops = encoder(contents, library=True).flat(batch.column(1).to_pylist(), end)
+            borders = np.r_[0, stops]
+            blobs = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(borders * ids.itemsize), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(borders)), blobs.cast(pa.binary())], names=[key, "n_tokens", "ids"])
 
     return df.select(key, text).mapInArrow(trimmed(run), StructType([df.schema[key], StructField("n_tokens", LongType()), StructField("ids", BinaryType())]))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text; (key, n_tokens long, ids_sha256, decoded_sha256 string), one row for each row."""
+    contents = vocabulary(path)
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, text, TOGETHER):
-            enc, counts, codes, texts, shown = encoder(path), [], [], [], {}
+            enc, counts, codes, texts, shown = encoder(contents), [], [], [], {}
             for chunks, memo in enc.batches(batch.column(1).to_pylist()):
                 for c in chunks:
                     if c not in shown:

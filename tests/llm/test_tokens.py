@@ -12,7 +12,9 @@ from tallyloom.llm import bpe, packing
 
 PATH = bpe.default_vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
-OURS = bpe.Encoder(PATH)
+VOCABULARY = bpe.vocabulary(PATH)
+OURS = bpe.Encoder(VOCABULARY)
+FLAT = bpe.Encoder(VOCABULARY, library=True)
 ODD = ["", " ", "<|endoftext|> a<|startoftext|>b", "It's WE'LL don't 'sfoo", "Σίσυφος ΣΑΣ İ é", "a\x1cb\x1fc\u2003d\xa0e", "１２3 ²½ 漢字 😀👍🏽 a_b--c", "<|endoftext", "<|EndOfText|> a<|endoftext|>", "<|ENDOFTEXT|>", "x" * 3000, "aaaa" * 200, "\ufeffzero\u200bwidth", "a\x00b \x7f"]
 
 
@@ -31,11 +33,36 @@ def test_odd_texts(text):
 @given(st.text(alphabet=st.sampled_from("abcdeinorstéßñÀ'’.,!0179 \n\t-_漢Σ"), max_size=60))
 def test_any_text(text):
     assert OURS.encode([text])[0] == library(text)
+    assert flat([text, None, text]) == [[*library(text), 2], [2], [*library(text), 2]]
+
+
+def flat(texts, encoder=FLAT):
+    ids, stops = encoder.flat(texts, 2)
+    return [x.tolist() for x in np.split(ids, stops[:-1])]
+
+
+def test_flat_encoding_of_odd_texts():
+    assert flat([*ODD, *ODD]) == [[*library(t), 2] for t in [*ODD, *ODD]]
+    assert flat(["aCbX c", "a\x1cb<|endoftext|>\x1d!"]) == [[*library(t), 2] for t in ["aCbX c", "a\x1cb<|endoftext|>\x1d!"]]
+
+
+def test_white_space_and_unassigned_signs():
+    signs = [f"a{chr(c)}B" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or c % 97 == 0 or 0x500 < c < 0x600)]
+    assert flat(signs) == [[*library(t), 2] for t in signs]
+    assert OURS.encode(signs) == [library(t) for t in signs]
+
+
+def test_flat_memo_overflow_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    small = bpe.Encoder(VOCABULARY, library=True)
+    for i in range(5):
+        texts = [f"word{i} other{i % 7}, thing{k}. ünder" for k in range(30)]
+        assert flat(texts, small) == [[*library(t), 2] for t in texts]
 
 
 def test_memo_overflow_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 20)
-    small = bpe.Encoder(PATH)
+    small = bpe.Encoder(VOCABULARY)
     texts = [f"word{i} other{i % 7} thing{i}." for i in range(200)]
     got = [b"".join(memo[c] for c in chunks) for chunks, memo in small.batches(texts, most=10)]
     assert [np.frombuffer(x, bpe.id_type(PATH)).tolist() for x in got] == [library(t) for t in texts]
