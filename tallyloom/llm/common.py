@@ -317,14 +317,14 @@ COUNT_SCHEMA = "part int, block long, n int, blob binary, counts binary"
 TOTAL_SCHEMA = "block long, part int, n int, totals binary, distinct long, entries long"
 
 
-def ranges_of(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    """parts + 1 positions at which the equal hash ranges begin."""
-    width = (1 << 64) // parts
+def ranges_of(sorted_hashes: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
+    """parts + 1 positions at which the equal ranges of hashes of so many bits begin."""
+    width = (1 << bits) // parts
     return np.r_[0, np.searchsorted(sorted_hashes, np.arange(1, parts, dtype=np.uint64) * np.uint64(width)), len(sorted_hashes)].astype(np.int64)
 
 
-def count_rows(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, base: int = 0) -> Iterator[pa.RecordBatch]:
-    cuts = ranges_of(hashes, parts)
+def count_rows(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, base: int = 0, bits: int = 64) -> Iterator[pa.RecordBatch]:
+    cuts = ranges_of(hashes, parts, bits)
     some = [i for i in range(parts) if cuts[i + 1] > cuts[i]]
     if some:
         yield pa.RecordBatch.from_arrays(
