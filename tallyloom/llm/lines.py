@@ -9,8 +9,9 @@ Exact copies are not many documents: a document is known by the hash of its whol
 host's total alike, so a page that was copied a thousand times is not boilerplate of itself. Texts that differ, near
 copies included, are distinct documents.
 
-Boilerplate lines of a host number at most (lines in a document) / share. They are given to all tasks if there are at
-most ``BROADCAST`` of them in all; beyond that they are joined to the documents' lines by host and line.
+Lines are coded, counted and looked up in DataFrame operations; Python works out the base rules alone. The boilerplate
+lines of a host, at most (lines in a document) / share, are one array that is joined to the host's documents: Spark
+broadcasts the hosts' arrays where they are small and parts a hot host's documents where they aren't.
 
 Defined results: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated
 rows get one result each; an empty table gives an empty table; extra columns pass through ``clean``.
@@ -20,44 +21,39 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tallyloom.llm.common import RunHashes, Tokens, mix, save, slices, small_batches, trimmed
 
-BROADCAST = 500_000
-_DIGITS = re.compile(rb"[0-9]+")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def line_code(line: bytes) -> int:
     """Hash of a normalised line, as a signed long; 0 for a line without a word."""
-    words = _DIGITS.sub(b"0", line).lower().split()
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else 0
+    words = re.sub(rb"[0-9]+", b"0", line).lower().split()
+    code = xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+    return code - (1 << 64) if code >> 63 else code
 
 
-def shared_lines(docs: DataFrame, host: str, text: str, share: float, least: int) -> DataFrame:
-    """(host, line): the boilerplate lines. Distinct (host, line, document) first, then counts: no key is hot."""
+def line_codes(text: Column) -> Column:
+    """``line_code`` of every line of a text: array<long>."""
+    plain = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "0"), ascii_uppercase, ascii_lowercase)
+    lines = F.split(F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1)
+    return F.transform(F.transform(lines, F.trim), lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in slices(whole, text)):
-            hosts, lines, known = [], [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (t or "").encode()
-                codes = sorted({c for x in raw.split(b"\n") if (c := line_code(x))})
-                hosts += [h] * (len(codes) + 1)
-                lines += [0, *codes]
-                known += [xxhash.xxh3_64_intdigest(raw) - (1 << 63)] * (len(codes) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, b.schema.field(0).type), pa.array(lines, pa.int64()), pa.array(known, pa.int64())], names=["host", "line", "doc"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(host).alias("host"), F.col(text)).mapInArrow(trimmed(run), StructType([StructField("host", docs.schema[host].dataType), StructField("line", LongType()), StructField("doc", LongType())]))
-    counts = save(rows.groupBy("host", "line", "doc").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") > least) | (F.col("line") == 0)), "lines")
+def shared_lines(docs: DataFrame, host: str, text: str, share: float, least: int) -> DataFrame:
+    """(host, line): the boilerplate lines. Distinct (host, line, document) first, then counts: no key is hot."""
+    codes = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), line_codes(F.col(text))))
+    rows = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc"), F.explode(codes).alias("line")).distinct()
+    counts = save(rows.groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") > least) | (F.col("line") == 0)), "lines")
     sizes = counts.where("line = 0").select(F.col("host").alias("h"), F.col("n").alias("size"))
     return counts.where("line <> 0").join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.col("size") * share).select("host", "line")
 
@@ -91,25 +87,10 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     """(key, host, COUNTS, n_shared_words, base_failed, kept); ``cleaned``: with all columns of ``docs``, whose names must
     differ from these, and the text without its boilerplate lines."""
     docs = docs if cleaned else docs.select(key, host, text)
-    found = save(shared_lines(docs, host, text, share, least), "shared-lines")
-    given: dict | None = None
-    if found.count() <= BROADCAST:
-        given = {}
-        for r in found.collect():
-            given.setdefault(r["host"], set()).add(r["line"])
-        rows = docs.withColumn("__lines", F.lit(None).cast("array<long>"))
-    else:
-        coded = F.xxhash64(F.col(text))
-
-        def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                each = [sorted({c for x in (t or "").encode().split(b"\n") if (c := line_code(x))}) for t in b.column(2).to_pylist()]
-                take = np.repeat(np.arange(b.num_rows), [len(x) for x in each])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array([c for x in each for c in x], pa.int64())], names=["h", "code", "line"])
-
-        source = docs.select(F.col(host).alias("h"), coded.alias("code"), F.col(text).alias("t")).mapInArrow(lines_of, StructType([StructField("h", docs.schema[host].dataType), StructField("code", LongType()), StructField("line", LongType())]))
-        own = source.join(found.withColumnRenamed("line", "l"), F.col("h").eqNullSafe(F.col("host")) & (F.col("line") == F.col("l"))).groupBy("h", "code").agg(F.collect_set("line").alias("__lines"))
-        rows = docs.join(own, docs[host].eqNullSafe(F.col("h")) & (coded == F.col("code")), "left").drop("h", "code")
+    found = save(shared_lines(docs, host, text, share, least).groupBy("host").agg(F.collect_list("line").alias("__shared")).withColumnRenamed("host", "__host"), "shared-lines")
+    at = F.filter(F.transform(line_codes(F.col(text)), lambda x, i: F.when(F.array_contains("__shared", x), i)), lambda i: i.isNotNull())
+    rows = docs.join(found, F.col(host).eqNullSafe(F.col("__host")), "left").select(*docs.columns, F.when(F.col("__shared").isNotNull(), at).alias("__lines"))
+    small_batches(docs.sparkSession)
 
     others = [c for c in docs.columns if c != text]
 
@@ -118,14 +99,11 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
             column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             texts = column[text].to_pylist()
             counts, gone, clean = base_counts(texts), np.zeros(len(texts), np.int64), []
-            for i, (t, h, mine) in enumerate(zip(texts, column[host].to_pylist(), column["__lines"].to_pylist(), strict=True)):
-                bad = given.get(h, ()) if given is not None else set(mine or ())
-                if bad and t:
-                    parts = t.encode().split(b"\n")
-                    keeps = [line_code(x) not in bad for x in parts]
-                    if not all(keeps):
-                        gone[i] = sum(len(x.split()) for x, k in zip(parts, keeps, strict=True) if not k)
-                        t = b"\n".join(x for x, k in zip(parts, keeps, strict=True) if k).decode()
+            for i, (t, mine) in enumerate(zip(texts, column["__lines"].to_pylist(), strict=True)):
+                if mine:
+                    bad, parts = set(mine), t.split("\n")
+                    gone[i] = sum(len(parts[k].encode().split()) for k in bad)
+                    t = "\n".join(x for k, x in enumerate(parts) if k not in bad)
                 clean.append(t)
             failed = (counts[0] < 50) | (100 * counts[4] > 50 * counts[0])
             kept = ~failed & (counts[0] - gone >= keep * counts[0])
