@@ -41,9 +41,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local temporary one only where that is unset (single machine, tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine, an error on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", known)
         _written.append((spark, known))
@@ -82,6 +84,15 @@ def let_go(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Partitions of a shuffle at most; blocks of documents in a task where blocks and answers meet.
+MOST_PARTITIONS, BLOCKS_TOGETHER = 20_000, 16
+
+
+def spread(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to as many partitions as there are ranges, so that tasks don't grow with the data."""
+    return df.repartition(min(parts, MOST_PARTITIONS), key)
+
+
 def parts_for(total: int, each: int) -> int:
     """How many hash ranges keep a range near ``each`` entries; at least 16, so that small inputs spread as well."""
     return int(max(16, -(-total // each)))
@@ -222,6 +233,9 @@ def with_answers(blocks: DataFrame, answers: DataFrame, work, schema: str | Stru
         trim()
         return out
 
+    wanted = -(-blocks.count() // BLOCKS_TOGETHER)  # a count of blocks, of which a row has megabytes, reads no block
+    if wanted > int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        blocks, answers = spread(blocks, wanted, "block"), spread(answers, wanted, "block")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -246,8 +260,11 @@ def read_arrays(blob: bytes) -> dict[str, np.ndarray]:
     return {k: table.column(k).to_numpy() for k in table.column_names}
 
 
-def blobs_by_part(block: int, kind: int, key: np.ndarray, parts: int, arrays: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row for each hash range that ``key`` (uint64, spread evenly) meets, with the arrays' entries of that range."""
+def blobs_by_part(block: int, kind: int, key: np.ndarray, parts: int, arrays: dict[str, np.ndarray], base: int = 0) -> Iterator[pa.RecordBatch]:
+    """One row for each hash range that ``key`` (uint64, spread evenly) meets, with the arrays' entries of that range.
+
+    base: number of the first range.
+    """
     if not len(key):
         return
     part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
@@ -256,7 +273,7 @@ def blobs_by_part(block: int, kind: int, key: np.ndarray, parts: int, arrays: di
     cuts = np.flatnonzero(np.diff(part)) + 1
     starts, stops = np.r_[0, cuts], np.r_[cuts, len(part)]
     sorted_arrays = {k: v[order] for k, v in arrays.items()}
-    yield blob_rows([(int(part[a]), block, kind, pack_arrays({k: v[a:b] for k, v in sorted_arrays.items()})) for a, b in zip(starts, stops, strict=True)])
+    yield blob_rows([(base + int(part[a]), block, kind, pack_arrays({k: v[a:b] for k, v in sorted_arrays.items()})) for a, b in zip(starts, stops, strict=True)])
 
 
 def blob_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -264,10 +281,10 @@ def blob_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "block", "kind", "blob"])
 
 
-def gather_parts(blobs: DataFrame, work) -> DataFrame:
+def gather_parts(blobs: DataFrame, work, parts: int) -> DataFrame:
     """All blobs of a hash range meet in one task: ``work({name: array}, source) -> [(block, kind, arrays)]``.
 
-    ``source`` has the block of every entry. A range is bounded by the caller's choice of ``parts``.
+    ``source`` has the block of every entry. A range is bounded by the caller's choice of ``parts``, the number of ranges.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -278,7 +295,7 @@ def gather_parts(blobs: DataFrame, work) -> DataFrame:
         trim()
         return pa.Table.from_batches([blob_rows(rows)])
 
-    return blobs.groupBy("part").applyInArrow(run, BLOB_SCHEMA)
+    return spread(blobs, parts, "part").groupBy("part").applyInArrow(run, BLOB_SCHEMA)
 
 
 def by_block(block: np.ndarray, kind: int, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
@@ -337,8 +354,8 @@ def count_rows(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, b
         )
 
 
-def totals(counted: DataFrame, alone: int | None = None) -> DataFrame:
-    """Sum of every hash over all blocks. ``alone``: what to tell of hashes that one block alone has, instead of the sum."""
+def totals(counted: DataFrame, parts: int) -> DataFrame:
+    """Sum of every hash over all blocks, in ``parts`` hash ranges."""
 
     def run(group: pa.Table) -> pa.Table:
         ns = group.column("n").to_pylist()
@@ -350,8 +367,7 @@ def totals(counted: DataFrame, alone: int | None = None) -> DataFrame:
         which[order] = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
         sums = np.add.reduceat(counts[order], starts)
-        told = sums if alone is None else np.where(np.diff(np.r_[starts, len(order)]) == 1, alone, sums)
-        told, cuts = told[which].astype(np.uint32), np.cumsum([0, *ns])
+        told, cuts = sums[which].astype(np.uint32), np.cumsum([0, *ns])
         used = len(ns)
         del hashes, counts, order, first, which
         trim()
@@ -363,7 +379,7 @@ def totals(counted: DataFrame, alone: int | None = None) -> DataFrame:
             }
         )
 
-    return counted.groupBy("part").applyInArrow(run, TOTAL_SCHEMA)
+    return spread(counted, parts, "part").groupBy("part").applyInArrow(run, TOTAL_SCHEMA)
 
 
 def told_totals(answer: pa.Table, hashes: np.ndarray, parts: range) -> np.ndarray:

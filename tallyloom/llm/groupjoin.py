@@ -10,13 +10,18 @@
 
 No group of near copies is expanded to all pairs. Round one pairs each class with one leader (the earliest class of the
 postings they share most) and contracts what is verified. Round two takes every remaining pair of a posting whose sides
-are in different components, so no link between components is lost. Components come from alternating large-star and
-small-star steps on written tables.
+are in different components, so no link between components is lost: first the heads of the entries are verified, then
+those members that the symmetric differences to their heads leave within reach of each other. Components come from
+alternating large-star and small-star steps on written tables.
+
+A posting of more than ``HOT`` entries is divided by a hash of the entry: each part has a leader of its own, and each
+pair of parts is one tile of round two. Copies meet by block and class, so a class of any size is one row a block.
 
 64-bit hashes stand for shingles. Defined results: null and empty texts, and texts of white space, have empty sets, link
-with nothing and are their own component; below five words the whole sequence is the one shingle; null ids count as the
-smallest integer; rows that repeat an id are one document with the links of all its texts; extra columns are ignored
-(``deduplicate`` keeps them); an empty table gives an empty table.
+with nothing and are their own component; below five words the whole sequence is the one shingle; ids are integers; rows
+that repeat an id are one document with the links of all its texts, and so are the rows without an id, which come before
+all ids: theirs, and a component's that has them, is null; extra columns are ignored (``deduplicate`` keeps them); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import COUNT_SCHEMA, RunHashes, Tokens, count_rows, each_block, expand, let_go, mix, pack_arrays, pack_blocks, parts_for, save, squeeze, texts_of, told_totals, totals, trimmed, with_answers
+from tallyloom.llm.common import COUNT_SCHEMA, RunHashes, Tokens, count_rows, each_block, expand, let_go, mix, pack_arrays, pack_blocks, parts_for, save, spread, squeeze, texts_of, told_totals, totals, trimmed, with_answers
 
 #: Shingles in a hash range of the counting step; postings in a range of the candidate step.
 SHINGLES, POSTINGS = 2_000_000, 1_000_000
+#: Entries of a posting that are not divided; postings that are divided, the longest first (others stay whole).
+HOT, MOST_HOT = 20_000, 100_000
 LEAST_ID = -(1 << 63)
-SETS = "doc_id long, n long, cls long, lead boolean, grp long, tokens array<long>, places array<int>, members binary"
+SETS = "block long, doc_id long, n long, cls long, first boolean, lead boolean, grp long, tokens array<long>, places array<int>, members binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,7 +89,8 @@ class Sets:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """One row a document (SETS): size, class, and for classes with possible partners group, prefix postings and set."""
+    """One row a document (SETS): size, class, whether it is the block's first of its class, and for classes with possible
+    partners group, prefix postings and set."""
     docs = docs.select(key, text)
     blocks = pack_blocks(docs, text)
     parts = parts_for(int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 7, SHINGLES)
@@ -91,7 +99,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: in
         distinct, counts, _ = Sets(table, key, text, shingle).frequencies()
         yield from count_rows(block, distinct, counts, parts)
 
-    frequencies = save(totals(each_block(blocks, count, COUNT_SCHEMA)), "frequencies")
+    frequencies = save(totals(each_block(blocks, count, COUNT_SCHEMA), parts), "frequencies")
     let_go(docs.sparkSession)
 
     def finish(block: int, table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -113,7 +121,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: in
             columns["members"].append(squeeze(sets.codes[s:e]) if lead[i] else None)
         return pa.table(
             {
-                "doc_id": pa.array(sets.doc_id), "n": pa.array(sets.n), "cls": pa.array(sets.cls.view(np.int64)), "lead": pa.array(lead),
+                "block": pa.array(np.full(len(sets.doc_id), block)), "doc_id": pa.array(sets.doc_id), "n": pa.array(sets.n), "cls": pa.array(sets.cls.view(np.int64)), "first": pa.array(sets.lead), "lead": pa.array(lead),
                 "grp": pa.array(columns["grp"], pa.int64()), "tokens": pa.array(columns["tokens"], pa.list_(pa.int64())), "places": pa.array(columns["places"], pa.list_(pa.int32())), "members": pa.array(columns["members"], pa.binary()),
             }
         )
@@ -126,8 +134,22 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: in
 # ----------------------------------------------------------------------------------------------------- candidates
 
 
-def _in_ranges(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
-    """``work(token, id, comp, n, place)`` on all postings of a range of shingles; a range has a bounded share of them."""
+def hot_postings(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles with more than ``HOT`` entries, ascending; into how many parts each is divided)."""
+    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    found = sorted((r["token"], -(-r["n"] // HOT)) for r in counts.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect())
+    return np.array([t for t, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+
+
+def _in_ranges(rows: DataFrame, parts: int, work, schema: str, hot: tuple[np.ndarray, np.ndarray], tiles: bool) -> DataFrame:
+    """``work(token, id, comp, n, place)`` on all postings of a range of shingles; a range has a bounded share of them.
+
+    The parts of a hot posting are ranges of their own, or, with ``tiles``, every pair of its parts is one.
+    """
+    hot_token, divided = hot
+    squares = divided * divided if tiles else divided
+    bases = parts + np.cumsum(squares) - squares
+    ranges = parts + int(squares.sum())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +157,27 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
             sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
             token, place = tokens.flatten().to_numpy(), places.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), sizes)
-            part = (token >> 33) % parts
-            order = np.lexsort((row, part))
-            part = part[order]
+            part, entry = (token >> 33) % parts, np.arange(len(token))
+            if len(hot_token) and len(token):
+                which = np.minimum(np.searchsorted(hot_token, token), len(hot_token) - 1)
+                at = np.flatnonzero(hot_token[which] == token)
+                which = which[at]
+                k = divided[which]
+                ident = batch.column("id").to_numpy(zero_copy_only=False)[row[at]]
+                own = (mix(ident.view(np.uint64) ^ _ODD) % k.astype(np.uint64)).astype(np.int64)
+                if tiles:
+                    other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    at, own, which = np.repeat(at, k), np.repeat(own, k), np.repeat(which, k)
+                    own = np.minimum(own, other) * divided[which] + np.maximum(own, other)
+                cold = np.ones(len(token), bool)
+                cold[at] = False
+                part, entry = np.r_[part[cold], bases[which] + own], np.r_[entry[cold], at]
+            order = np.lexsort((entry, part))
+            part, entry = part[order], entry[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
             if not len(part):
                 continue
-            columns = {k: batch.column(k).to_numpy(zero_copy_only=False)[row][order] for k in ("id", "comp", "n")} | {"token": token[order], "place": place[order]}
+            columns = {k: batch.column(k).to_numpy(zero_copy_only=False)[row[entry]] for k in ("id", "comp", "n")} | {"token": token[entry], "place": place[entry]}
             starts, stops = np.r_[0, cuts], np.r_[cuts, len(part)]
             blobs = [pack_arrays({k: v[a:b] for k, v in columns.items()}) for a, b in zip(starts, stops, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
@@ -151,7 +187,7 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
         whole = pa.concat_tables(found)
         return work(*(whole.column(k).to_numpy() for k in ("token", "id", "comp", "n", "place")))
 
-    return rows.select("id", "comp", "n", "tokens", "places").mapInArrow(trimmed(cut), "part int, blob binary").groupBy("part").applyInArrow(run, schema)
+    return spread(rows.select("id", "comp", "n", "tokens", "places").mapInArrow(trimmed(cut), "part int, blob binary"), ranges, "part").groupBy("part").applyInArrow(run, schema)
 
 
 def leaders(percent: int):
@@ -197,22 +233,48 @@ def crossing(percent: int):
     return work
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, m, common): sizes of the sets of classes a and b, and how many shingles they share."""
     whole = sets.where("lead").select(F.col("doc_id"), "n", "members")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("n", "members", "m", "others")]
-            good = []
-            for n, x, m, y in zip(*columns, strict=True):
-                common = len(np.intersect1d(expand(x, n), expand(y, m), assume_unique=True))
-                good.append(100 * common >= percent * (n + m - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            common = [len(np.intersect1d(expand(x, n), expand(y, m), assume_unique=True)) for n, x, m, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "n", "m")), pa.array(common, pa.int64())], names=["a", "b", "n", "m", "common"])
 
     one = pairs.join(whole.withColumnRenamed("doc_id", "a"), "a")
     both = one.join(whole.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("members").alias("others")), "b")
-    return both.select("a", "b", "n", "members", "m", "others").mapInArrow(trimmed(check), "a long, b long")
+    return both.select("a", "b", "n", "members", "m", "others").mapInArrow(trimmed(check), "a long, b long, n long, m long, common long")
+
+
+def linked(percent: int):
+    """Of measured pairs, whether they reach the threshold."""
+    return F.col("common") * 100 >= F.lit(percent) * (F.col("n") + F.col("m") - F.col("common"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+    return measured(pairs, sets).where(linked(percent)).select("a", "b")
+
+
+def between_members(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between members of entries whose heads (pairs) don't link.
+
+    members: (id, doc_id), the members of entry ``id`` but its head. The symmetric difference of two members is at least
+    that of their heads less those of each member to its head; pairs that cannot come close enough are not formed.
+    """
+    apart = measured(pairs, sets).where(~linked(percent)).select("a", "b", "n", "m", (F.col("n") + F.col("m") - 2 * F.col("common")).alias("gap"))
+    heads = apart.select(F.col("a").alias("id")).union(apart.select("b")).distinct()
+    inner = measured(members.join(heads, "id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")), sets)
+    far = save(heads.select("id", F.col("id").alias("x"), F.lit(0).cast("long").alias("far")).unionByName(inner.select(F.col("a").alias("id"), F.col("b").alias("x"), (F.col("n") + F.col("m") - 2 * F.col("common")).alias("far"))), "members")
+    most = far.groupBy("id").agg(F.max("far").alias("most"))
+    total = F.col("n") + F.col("m")
+    room = total - 2 * F.ceil(total * percent / (100 + percent)).cast("long")  # the largest difference of linked sets
+    reach = apart.withColumn("gap", F.col("gap") - room).join(most.select(F.col("id").alias("a"), F.col("most").alias("most_a")), "a").join(most.select(F.col("id").alias("b"), F.col("most").alias("most_b")), "b").where("most_a + most_b >= gap AND most_a + most_b > 0")
+    one = reach.join(far.select(F.col("id").alias("a"), "x", F.col("far").alias("far_x")), "a").where("far_x + most_b >= gap")
+    both = one.join(far.select(F.col("id").alias("b"), F.col("x").alias("y"), F.col("far").alias("far_y")), "b").where("far_x + far_y >= gap AND (x <> a OR y <> b)")
+    return verified(both.select(F.col("x").alias("a"), F.col("y").alias("b")), sets, percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +283,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     while True:
-        now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
+        now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)")).alias("h")).first()
         if (now["n"], now["h"]) == seen:
             return state.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
         seen = (now["n"], now["h"])
@@ -241,13 +303,15 @@ def link_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str
     """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
     spark = docs.sparkSession
     sets = shingle_sets(docs, key, text, shingle, percent)
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    firsts = sets.where("first").select("block", "cls", "doc_id")  # a class is one row a block
+    classes = firsts.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     leads = sets.where("lead").select("cls", "doc_id", "grp", "n", "tokens", "places")
     own = save(leads.join(classes, (leads["cls"] == classes["cls"]) & (leads["doc_id"] == classes["rep"]), "left_semi").select("doc_id", "grp", "n", "tokens", "places"), "leads")
     groups = own.groupBy("grp").agg(F.min("doc_id").alias("id"))
     heads = own.join(groups, (own["grp"] == groups["grp"]) & (own["doc_id"] == groups["id"]), "left_semi").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("comp"), "n", "tokens", "places")
     parts = parts_for(int(own.agg(F.sum(F.size("tokens"))).first()[0] or 0), POSTINGS)
-    met = _in_ranges(heads, parts, leaders(percent), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    hot = hot_postings(own)
+    met = _in_ranges(heads, parts, leaders(percent), "a long, b long, shared long", hot, tiles=False).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     inside = own.select(F.col("doc_id").alias("a"), "grp").join(groups, "grp").where("a <> id").select("a", F.col("id").alias("b"))
     first = save(verified(best.unionByName(inside), sets, percent), "links")
@@ -255,24 +319,27 @@ def link_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str
 
     nodes = save(components(first), "components")
     placed = own.join(nodes, own["doc_id"] == nodes["node"], "left").select("doc_id", "grp", "n", "tokens", "places", F.coalesce("comp", "doc_id").alias("comp"))
-    # one entry for each group and component; its members are expanded only where it meets another component
-    entry = Window.partitionBy("grp", "comp")
-    placed = placed.withColumn("id", F.min("doc_id").over(entry))
+    # one entry for each group and component; its members are met only where its head meets another component's
+    entries = placed.groupBy("grp", "comp").agg(F.min("doc_id").alias("id"))
+    placed = placed.join(entries, ["grp", "comp"])
     heads = placed.where("doc_id = id").select("id", "comp", "n", "tokens", "places")
-    pairs = save(_in_ranges(heads, parts, crossing(percent), "a long, b long").distinct(), "pairs")
-    members = placed.select("id", "doc_id")
-    expanded = pairs.join(members.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("doc_id").alias("y")), "b")
-    second = save(verified(expanded.select(F.col("x").alias("a"), F.col("y").alias("b")), sets, percent), "links")
+    pairs = save(_in_ranges(heads, parts, crossing(percent), "a long, b long", hot, tiles=True).distinct(), "pairs")
+    second = save(verified(pairs, sets, percent), "links")
+    third = save(between_members(pairs, placed.where("doc_id <> id").select("id", "doc_id"), sets, percent), "links")
     # an id that several classes have is one document
-    held = sets.where("n > 0").select("doc_id", "cls").join(classes, "cls").select("doc_id", "rep").distinct()
-    least = held.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    several = sets.where("n > 0").groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("doc_id")
+    held = sets.where("n > 0").select("doc_id", "cls").join(several, "doc_id").distinct().join(classes, "cls").select("doc_id", "rep").distinct()
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("low"))
     same_id = held.join(least, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    everything = first.unionByName(second).unionByName(same_id)
+    everything = first.unionByName(second).unionByName(third).unionByName(same_id)
     final = save(components(everything), "components")
     let_go(spark, pairs, own, nodes)
 
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
-    return sets.select("doc_id", "n", "cls").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_block = firsts.select("block", "cls").join(of_class, "cls")
+    placed = sets.select("block", "doc_id", "n", "cls").join(of_block, ["block", "cls"], "left")
+    known = lambda c: F.when(c != LEAST_ID, c)
+    return placed.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:

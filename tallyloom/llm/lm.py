@@ -172,7 +172,7 @@ def score(docs: DataFrame, is_held_out: Column, order: int = 2, mass: float = 20
         for k, own in enumerate(Grams(table, text, order, bits).orders):
             yield from count_rows(block, own.hashes, own.counts, parts, ranges[k].start, bits if k else 64)
 
-    answers = save(totals(each_block(blocks, count, COUNT_SCHEMA)), "grams")
+    answers = save(totals(each_block(blocks, count, COUNT_SCHEMA), parts * order), "grams")
     words = answers.where(F.col("part") < parts).agg(F.sum("entries").alias("n"), F.sum("distinct").alias("v")).first()
     n_train, types = words["n"] or 0, words["v"] or 0
 

@@ -9,8 +9,10 @@ one candidate, a run. Only runs whose half window is repeated are extended to fu
 * runs that are equal as a whole go together - all but the earliest are repeats, window by window;
 * where one half window has several different runs, their earliest ones are compared window by window.
 
-Blocks of documents send, for each distinct run or window, their earliest occurrence to its hash range and get back
-which of them start earlier elsewhere. So a passage that a third of all documents share costs one row a block. 64-bit
+Blocks of documents send, for each distinct run or window, their earliest occurrence to its own hash range and get back
+which of them start earlier elsewhere; for each distinct half window they send one row that tells its run, or that it has
+several, and get back which have several. So nothing meets in one place more than once a block: of a passage that a third
+of all documents share, the runs at its edges differ from document to document and part by their own hashes. 64-bit
 hashes of word runs stand for their words.
 
 Defined results: null and empty texts have no words and nothing removed; texts below ``window`` words are untouched;
@@ -34,7 +36,7 @@ from tallyloom.llm.common import BLOB_SCHEMA, RunHashes, Tokens, blob_rows, blob
 
 #: Runs in a hash range, at most about so many in a task.
 RUNS = 1_500_000
-EARLIER, COMPARE, WINDOWS = 0, 1, 2
+EARLIER, SEVERAL, WINDOWS = 0, 1, 2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -98,9 +100,15 @@ class Block:
         """One run for each distinct one: the block's earliest."""
         return np.unique(self.run_first) if len(self.first) else self.first
 
-    def compared(self, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, window hash, document, place, first) of the windows of the earliest runs that are to be compared."""
-        runs = np.flatnonzero(np.isin(self.whole, hashes) & self.same_place) if len(self.first) else self.first
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct half windows, the run that each stands in; 0 where it has several)."""
+        lead = self.leaders()
+        half, first, count = np.unique(self.half[lead], return_index=True, return_counts=True)
+        return half, np.where(count == 1, self.whole[lead][first], np.uint64(0))
+
+    def compared(self, earlier: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, window hash, document, place, first) of the windows of the earliest runs whose half window has several."""
+        runs = np.flatnonzero(np.isin(self.half, several) & self.same_place & ~np.isin(self.whole, earlier)) if len(self.first) else self.first
         sizes = self.last[runs] - self.first[runs] + 1
         start = np.repeat(self.first[runs], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         if not len(start):
@@ -109,14 +117,14 @@ class Block:
         at = start - self.tokens.starts[self.doc[start]]
         return start, code, doc, at, earliest(code, doc, at)[1]
 
-    def removed(self, earlier: np.ndarray, compare: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    def removed(self, earlier: np.ndarray, several: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Of every word, whether a window around it starts earlier somewhere."""
         edge = np.zeros(self.tokens.n + 1, np.int64)
         if len(self.first):
             gone = np.isin(self.whole, earlier) | ~self.same_place
             np.add.at(edge, self.first[gone], 1)
             np.add.at(edge, self.last[gone] + self.window, -1)
-            start, code, doc, at, first = self.compared(compare)
+            start, code, doc, at, first = self.compared(earlier, several)
             late = np.isin(code, windows) | (doc != doc[first]) | (at != at[first])
             np.add.at(edge, start[late], 1)
             np.add.at(edge, start[late] + self.window, -1)
@@ -124,15 +132,19 @@ class Block:
 
 
 def level_one(found: dict[str, np.ndarray], block: np.ndarray) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    """Runs of one hash range: which have an equal earlier one, and which earliest ones share a half window."""
-    half, whole, doc, at = found["half"], found["whole"], found["doc"], found["at"]
+    """Of a hash range of runs, which have an equal earlier one; of a range of half windows, which have several runs."""
+    if "half" in found:
+        order = np.argsort(found["half"], kind="stable")
+        half, whole, block = found["half"][order], found["whole"][order], block[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(half) != 0]) if len(half) else np.empty(0, np.int64)
+        low, high = np.minimum.reduceat(whole, starts), np.maximum.reduceat(whole, starts)
+        several = np.repeat((low != high) | (low == 0), np.diff(np.r_[starts, len(half)]))
+        yield from by_block(block[several], SEVERAL, {"h": half[several]})
+        return
+    whole, doc, at = found["whole"], found["doc"], found["at"]
     _, first = earliest(whole, doc, at)
     late = (doc != doc[first]) | (at != at[first])
     yield from by_block(block[late], EARLIER, {"h": whole[late]})
-    lead = np.unique(first)
-    several, count = np.unique(half[lead], return_counts=True)
-    compare = ~late & np.isin(half, several[count > 1])
-    yield from by_block(block[compare], COMPARE, {"h": whole[compare]})
 
 
 def level_two(found: dict[str, np.ndarray], block: np.ndarray) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
@@ -150,25 +162,28 @@ def mark(docs: DataFrame, window: int, key: str, text: str, finish, schema) -> D
     def send_runs(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         b = Block(table, key, text, window)
         lead = b.leaders()
-        yield from blobs_by_part(block, 0, b.half[lead], runs, {"half": b.half[lead], "whole": b.whole[lead], "doc": b.run_doc[lead], "at": b.run_at[lead].astype(np.int32)})
+        yield from blobs_by_part(block, 0, b.whole[lead], runs, {"whole": b.whole[lead], "doc": b.run_doc[lead], "at": b.run_at[lead].astype(np.int32)})
+        half, whole = b.halves()
+        yield from blobs_by_part(block, 0, half, runs, {"half": half, "whole": whole}, base=runs)
 
-    first = save(gather_parts(each_block(blocks, send_runs, BLOB_SCHEMA), level_one), "runs")
+    first = save(gather_parts(each_block(blocks, send_runs, BLOB_SCHEMA), level_one, 2 * runs), "runs")
 
     def send_windows(block: int, table: pa.Table, answer: pa.Table) -> pa.Table:
-        compare = joined(blobs_of(answer), COMPARE, "h", np.uint64)
+        found = blobs_of(answer)
+        several = joined(found, SEVERAL, "h", np.uint64)
         rows = []
-        if len(compare):
-            _, code, doc, at, lead = Block(table, key, text, window).compared(compare)
+        if len(several):
+            _, code, doc, at, lead = Block(table, key, text, window).compared(joined(found, EARLIER, "h", np.uint64), several)
             lead = np.unique(lead)
             rows = list(blobs_by_part(block, 0, code[lead], runs, {"code": code[lead], "doc": doc[lead], "at": at[lead].astype(np.int32)}))
         return pa.Table.from_batches(rows or [blob_rows([])])
 
-    second = gather_parts(with_answers(blocks, first.where(F.col("kind") == COMPARE), send_windows, BLOB_SCHEMA), level_two)
+    second = gather_parts(with_answers(blocks, first, send_windows, BLOB_SCHEMA), level_two, runs)
 
     def end(block: int, table: pa.Table, answer: pa.Table) -> pa.Table:
         found = blobs_of(answer)
         b = Block(table, key, text, window)
-        return finish(table, b, b.removed(*(joined(found, kind, "h", np.uint64) for kind in (EARLIER, COMPARE, WINDOWS))))
+        return finish(table, b, b.removed(*(joined(found, kind, "h", np.uint64) for kind in (EARLIER, SEVERAL, WINDOWS))))
 
     return with_answers(blocks, first.unionByName(second), end, schema)
 
