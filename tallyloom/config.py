@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+import uuid
+from dataclasses import asdict, dataclass, field
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,7 @@ class AuditRules:
     sigma_vendor: float = 3.0
     rolling_percent: float = 20.0
     contamination: float = 0.05
+    decision_below: float = -0.5
     high_amount: float = 5000.0
     tool_high_amount: float = 10000.0
     critical: int = 70
@@ -75,3 +79,21 @@ class AuditRules:
 
 
 AUDIT = AuditRules()
+
+
+def save_rules(rules: AuditRules, path: str) -> None:
+    """Write rules as JSON to a file of the driver, in place of what is there."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with open(beside, "w", encoding="utf-8") as file:
+        json.dump(asdict(rules), file, indent=1)
+    os.replace(beside, path)
+
+
+def load_rules(path: str) -> AuditRules:
+    """Rules that ``save_rules`` has written; the defaults if there is no such file."""
+    if not os.path.exists(path):
+        return AUDIT
+    with open(path, encoding="utf-8") as file:
+        kept = json.load(file)
+    return AuditRules(**kept | {"whitelisted": tuple(kept["whitelisted"]), "domains": {k: tuple(v) for k, v in kept["domains"].items()}})

@@ -98,27 +98,37 @@ class _Visible(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self.body: list[str] | None = None
+        self.inside = False
         self.hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.hidden += tag in ("script", "style")
+        if tag == "body" and self.body is None:
+            self.body, self.inside = [], True
 
     def handle_endtag(self, tag: str) -> None:
         self.hidden -= tag in ("script", "style") and self.hidden > 0
+        self.inside = self.inside and tag != "body"
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
+            if self.inside:
+                self.body.append(data)
 
 
-def visible_text(html: str | None) -> str | None:
-    """Text between tags joined by a space, white space squeezed; scripts and styles are not text."""
-    if html is None:
-        return None
+def visible_text(html: str | None) -> str:
+    """Text of the body, or of the whole page without one, between tags joined by a space, white space squeezed.
+
+    Scripts and styles are not text; null and empty pages give the empty string.
+    """
+    if not html:
+        return ""
     parser = _Visible()
     parser.feed(html)
     parser.close()
-    return " ".join(" ".join(parser.parts).split())
+    return " ".join(" ".join(parser.parts if parser.body is None else parser.body).split())
 
 
 @F.pandas_udf(DoubleType())

@@ -132,7 +132,7 @@ def fuzzy_key(source_field: Column, target_field: Column, score: Column) -> Colu
 
 def calendar_features(amount: Column, day: Column, vendor: Column) -> list[Column]:
     """log of the amount, weekday (Monday 0), day of month, and a stable vendor bucket."""
-    return [F.log1p(F.greatest(amount, F.lit(0.0))).alias("log_amount"), F.weekday(day).cast("double").alias("weekday"), F.dayofmonth(day).cast("double").alias("day"), (F.crc32(F.coalesce(vendor, F.lit("")).cast("binary")) % 1000).cast("double").alias("vendor_bucket")]
+    return [F.log1p(F.greatest(amount, F.lit(0.0))).alias("log_amount"), F.weekday(day).cast("double").alias("weekday"), F.dayofmonth(day).cast("double").alias("day"), (F.conv(F.substring(F.md5(F.coalesce(vendor, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 1000).cast("double").alias("vendor_bucket")]
 
 
 def unknown_slug(name: Column) -> Column:
@@ -148,3 +148,16 @@ def token_cost(model: Column, tokens: Column, prices: dict[str, float]) -> Colum
     """Tokens times the model's price; unknown models cost nothing."""
     pairs = [F.lit(x) for kv in prices.items() for x in kv]
     return (F.coalesce(F.element_at(F.create_map(*pairs), model), F.lit(0.0)) * tokens).cast("decimal(10,4)") if pairs else F.lit(0).cast("decimal(10,4)")
+
+
+def gram_key(c: Column) -> Column:
+    """The first three characters: a text that contains ``c`` has them among its ``grams``."""
+    return F.substring(c, 1, 3)
+
+
+def grams(c: Column) -> Column:
+    """The distinct runs of at most three characters of a text, the empty one too: keys for an equi-join before ``contains``."""
+    text = F.coalesce(c, F.lit(""))
+    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(text, i, n))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), runs))

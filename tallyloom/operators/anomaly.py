@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from tallyloom.config import AUDIT
 from tallyloom.functions import text as T
+from tallyloom.session import cut
 
 
 def _z(x: Column, mean: Column, std: Column) -> Column:
@@ -61,9 +62,12 @@ def _path_norm(n: float) -> float:
 
 
 def grow_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> list[list[tuple]]:
-    """Isolation trees on subsamples; a tree is a list of nodes (feature, cut, left, right) or (-1, depth + norm)."""
+    """Isolation trees on subsamples; a tree is a list of nodes (feature, cut, left, right) or (-1, depth + norm).
+
+    x: rows in random order. Where they suffice every tree has rows of its own.
+    """
     draw, out = np.random.default_rng(seed), []
-    for _ in range(trees):
+    for t in range(trees):
         nodes: list[tuple] = []
         limit = int(np.ceil(np.log2(max(2, min(sample, len(x))))))
 
@@ -82,7 +86,8 @@ def grow_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int =
             nodes[at] = (k, cut, left, build(rows[~below], depth + 1))
             return at
 
-        build(draw.choice(len(x), size=min(sample, len(x)), replace=False), 0)
+        own = np.arange(t * sample, (t + 1) * sample) if len(x) >= trees * sample else draw.choice(len(x), size=min(sample, len(x)), replace=False)
+        build(own, 0)
         out.append(nodes)
     return out
 
@@ -103,25 +108,27 @@ def forest_scores(forest: list[list[tuple]], x: np.ndarray, sample: int) -> np.n
     return 2.0 ** (-depth / len(forest) / max(_path_norm(sample), 1e-9))
 
 
-def isolation_forest(df: DataFrame, ident: str, amount: str, date: str, vendor: str, contamination: float = AUDIT.contamination, fit_rows: int = 20_000) -> DataFrame:
-    """Add isolation_score (0 to 1) and is_anomaly_if: above the contamination quantile of the scores.
+def isolation_forest(df: DataFrame, ident: str, amount: str, date: str, vendor: str, contamination: float = AUDIT.contamination, below: float = AUDIT.decision_below, trees: int = 100, sample: int = 256) -> DataFrame:
+    """Add isolation_score (0 to 1), decision_score and is_anomaly_if: decision_score < ``below``.
 
-    The forest is grown on at most ``fit_rows`` rows of least id hash; every row is scored.
+    The decision score is the contamination quantile of the scores less the row's score, so that part of the rows has
+    one below 0; the contract's limit of -0.5 flags far fewer. Every tree's ``sample`` rows are drawn from all rows, by
+    least id hash; every row is scored, once, and written to the checkpoint folder.
     """
     rows = df.withColumn("__f", F.array(*T.calendar_features(F.coalesce(F.col(amount), F.lit(0.0)), F.col(date), F.col(vendor)))).withColumn("__f", F.transform("__f", lambda v: F.coalesce(v, F.lit(0.0))))
-    fit = rows.orderBy(F.xxhash64(ident), ident).limit(fit_rows).select("__f").toPandas()["__f"]
+    fit = rows.orderBy(F.xxhash64(ident), ident).limit(trees * sample).select("__f").toPandas()["__f"]
     if not len(fit):
-        return df.withColumns({"isolation_score": F.lit(None).cast("double"), "is_anomaly_if": F.lit(False)})
+        return df.withColumns({"isolation_score": F.lit(None).cast("double"), "decision_score": F.lit(None).cast("double"), "is_anomaly_if": F.lit(False)})
     x = np.stack(fit.to_numpy())
-    forest, sample = grow_forest(x), min(256, len(x))
+    forest, sample = grow_forest(x, trees, sample), min(sample, len(x))
 
     @F.pandas_udf(DoubleType())
     def scores(features: pd.Series) -> pd.Series:
         return pd.Series(forest_scores(forest, np.stack(features.to_numpy()), sample))
 
-    scored = rows.withColumn("isolation_score", scores("__f")).drop("__f")
-    cut = F.broadcast(scored.agg(F.percentile_approx("isolation_score", 1 - contamination, 10_000).alias("__cut")))
-    return scored.crossJoin(cut).withColumn("is_anomaly_if", F.col("isolation_score") > F.col("__cut")).drop("__cut")
+    scored = cut(rows.withColumn("isolation_score", scores("__f")).drop("__f"))
+    quantile = F.broadcast(scored.agg(F.percentile_approx("isolation_score", 1 - contamination, 10_000).alias("__cut")))
+    return scored.crossJoin(quantile).withColumn("decision_score", F.col("__cut") - F.col("isolation_score")).withColumn("is_anomaly_if", F.col("decision_score") < below).drop("__cut")
 
 
 def seasonal_naive(df: DataFrame, vendor: str, date: str, late_days: int = 5) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def draw(ident: str, seed: int) -> Column:
-    """Uniform in [0, 1) from the id."""
-    return F.crc32(F.concat(F.col(ident).cast("string"), F.lit(f"#{seed}")).cast("binary")) / F.lit(float(1 << 32))
+    """Uniform in [0, 1) from the id: the first 32 bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(ident).cast("string"), F.lit(f"#{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def missing_fields(df: DataFrame, ident: str = "txn_id", rate: float = 0.15, vendor: str = "vendor", amount: str = "amount", date: str = "date") -> DataFrame:

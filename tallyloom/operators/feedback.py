@@ -48,6 +48,21 @@ def feedback_row(link_id: Column, signal: Column, source: Column, reason: Column
     return [T.stable_id(link_id, signal, source, at).alias("feedback_id"), link_id.alias("link_id"), signal.alias("signal"), source.alias("source"), F.substring(reason, 1, 1000).alias("reason"), at.alias("created_at"), F.lit(False).alias("processed")]
 
 
+def confirmed(resolved: DataFrame, links: DataFrame, at: Column) -> DataFrame:
+    """(feedback row): ``confirmed`` for each ambiguity that was resolved to a target with a current link.
+
+    resolved: (source_entity_id, target_id, decision), as ``severity.resolve_ambiguity`` gives it.
+    """
+    chosen = resolved.where("decision = 'resolve'").select(F.col("source_entity_id").alias("source_id"), "target_id").distinct()
+    live = links.where("is_current").select("source_id", "target_id", "link_id")
+    return chosen.join(live, ["source_id", "target_id"]).select(*feedback_row(F.col("link_id"), F.lit("confirmed"), F.lit("autonomous"), F.concat(F.lit("resolved to "), F.col("target_id")), at))
+
+
+def recent(flags: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Flags made after midnight ``days`` days before ``now``."""
+    return flags.where(F.col("created_at") > F.date_sub(F.to_date(now), days))
+
+
 def vendor_false_positives(flags: DataFrame, least: float = AUDIT.vendor_fp) -> DataFrame:
     """(vendor, flags, false_positives, fp_rate, whitelist); vendors without false positives are never selected."""
     n, fp = F.count("*"), F.count_if(F.col("human_decision") == "false_positive")
@@ -61,11 +76,13 @@ def rule_false_positives(flags: DataFrame, least: float = AUDIT.rule_fp) -> Data
     return rows.withColumn("raise_sigma", (F.col("fp_rate") > least) & F.contains("explanation", F.lit("amount_outlier")))
 
 
-def tuned(flags: DataFrame, rules: AuditRules = AUDIT) -> AuditRules:
+def tuned(flags: DataFrame, rules: AuditRules = AUDIT, now: Column | None = None, days: int = 7) -> AuditRules:
     """Rules after a review: noisy vendors whitelisted, the global sigma raised by half for each noisy amount rule.
 
-    All noisy vendors are listed, however many; the names are held by the driver, as rules are.
+    now: judge the flags of the last ``days`` days before it; all flags if left out. All noisy vendors are listed,
+    however many; the names are held by the driver, as rules are. ``config.save_rules`` writes the result.
     """
+    flags = flags if now is None else recent(flags, now, days)
     vendors = [r["vendor"] for r in vendor_false_positives(flags).where("whitelist").select("vendor").collect()]
     steps = rule_false_positives(flags).where("raise_sigma").count()
     return replace(rules, whitelisted=tuple(sorted({*rules.whitelisted, *vendors})), sigma_global=rules.sigma_global + 0.5 * steps)

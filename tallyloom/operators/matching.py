@@ -7,7 +7,6 @@ so no pair outside the window is formed, and each distinct pair of texts is scor
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,15 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import CONFIDENCE, ENTITY_DATE, ENTITY_ID, FUZZY_FLOOR, RULE_VERSION, RULES, PairRule
 from tallyloom.functions import text as T
 from tallyloom.functions.similarity import scored_pairs
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the session's checkpoint folder, which all executors share: later tiers read it there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
-    return df.checkpoint()
+from tallyloom.session import cut
 
 
 @dataclass
@@ -58,31 +49,47 @@ def _links(pairs: DataFrame, tier: str, confidence: Column, key: Column) -> Data
     return pairs.select("source_id", "target_id", F.lit(tier).alias("match_tier"), confidence.alias("confidence"), key.alias("linkage_key"))
 
 
+def _first_target(target: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the targets with equal keys the one that stands first: all that a source of these keys can get."""
+    first = F.min(F.struct(F.col("pos").alias("t_pos"), F.col("entity_id").alias("target_id")))
+    return target.groupBy(*keys).agg(first.alias("__t")).select(*keys, "__t.t_pos", "__t.target_id")
+
+
 def tier1(source: DataFrame, target: DataFrame, key_name: str) -> DataFrame:
-    """Equal non-null keys; the first candidate wins."""
+    """Equal non-null keys; the first candidate wins. Targets are reduced to one a key before the join."""
     s = source.where(F.col("exact").isNotNull()).select(F.col("entity_id").alias("source_id"), "exact")
-    t = target.where(F.col("exact").isNotNull()).select(F.col("entity_id").alias("target_id"), F.col("pos").alias("t_pos"), "exact")
+    t = _first_target(target.where(F.col("exact").isNotNull()), ["exact"])
     return _links(first_match(s.join(t, "exact")), "tier1_exact", F.lit(CONFIDENCE["tier1_exact"]), F.concat(F.lit(f"{key_name}:"), F.col("exact")))
 
 
 def tier2(source: DataFrame, target: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Equal normalised names on one day; amounts are not compared; the first candidate wins."""
     s = source.where("composite <> ''").select(F.col("entity_id").alias("source_id"), "composite", "day")
-    t = target.where("composite <> ''").select(F.col("entity_id").alias("target_id"), F.col("pos").alias("t_pos"), "composite", "day")
+    t = _first_target(target.where("composite <> ''"), ["composite", "day"])
     return _links(first_match(s.join(t, ["composite", "day"])), "tier2_composite", F.lit(CONFIDENCE["tier2_composite"]), F.lit("+".join(fields)))
 
 
-def window_pairs(source: DataFrame, target: DataFrame, days: int) -> DataFrame:
-    """Candidate pairs at most ``days`` apart: the days around the source, then an equi-join."""
+def window_pairs(source: DataFrame, target: DataFrame, days: int, least: float, scorer: str) -> DataFrame:
+    """Candidate pairs at most ``days`` apart with a score of at least ``least``.
+
+    The distinct texts of a day meet first, around the source's days, and each pair of texts is scored once, however many
+    rows have them; rows are joined by text and day to the pairs that reach the score. For the edit scorer, texts whose
+    lengths alone keep them below it don't meet.
+    """
     around = F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days)))
     s = source.where(F.col("day").isNotNull() & F.col("fuzzy").isNotNull()).select(F.col("entity_id").alias("source_id"), F.col("fuzzy").alias("s_text"), "fuzzy_field", around.alias("day"))
     t = target.where(F.col("fuzzy").isNotNull()).select(F.col("entity_id").alias("target_id"), F.col("pos").alias("t_pos"), F.col("fuzzy").alias("t_text"), F.col("fuzzy_field").alias("t_field"), "day")
-    return s.join(t, "day").drop("day")
+    met = s.select("s_text", "day").distinct().join(t.select("t_text", "day").distinct(), "day").select("s_text", "t_text")
+    if scorer == "edit":
+        one, two = F.length("s_text"), F.length("t_text")
+        met = met.where(F.least(one, two) >= F.greatest(one, two) * least - 1e-9)
+    hits = scored_pairs(met.distinct(), "s_text", "t_text", scorer).where(F.col("score") >= least)
+    return s.join(hits, "s_text").join(t, ["t_text", "day"]).drop("day")
 
 
 def tier3(source: DataFrame, target: DataFrame, rule: PairRule, scorer: str = "weighted") -> tuple[DataFrame, DataFrame]:
     """(links, ambiguous): one candidate at or above the least score is a link, several are ambiguous in candidate order."""
-    pairs = scored_pairs(window_pairs(source, target, rule.fuzzy.date_window_days), "s_text", "t_text", scorer).where(F.col("score") >= rule.fuzzy.min_similarity_score)
+    pairs = window_pairs(source, target, rule.fuzzy.date_window_days, rule.fuzzy.min_similarity_score, scorer)
     found = cut(pairs.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("t_pos", "target_id", "score", "fuzzy_field", "t_field"))).alias("c")))
     one = F.col("c")[0]
     links = _links(

@@ -47,23 +47,42 @@ def _greedy(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source_1_id", "source_2_id", "confidence", "date_diff", "amount", "vendor"])
 
 
+def islands(pairs: DataFrame, by: list[str], low: str, high: str, name: str) -> DataFrame:
+    """Add ``name``: within ``by``, pairs whose intervals [low, high] overlap, directly or through others, share a number."""
+    order = Window.partitionBy(*by).orderBy(low, high)
+    spans = pairs.select(*by, low, high).distinct()
+    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("__new", F.coalesce((F.col(low) > before).cast("int"), F.lit(0))).withColumn(name, F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return pairs.join(numbered, [*by, low, high])
+
+
 def cross_source(one: DataFrame, two: DataFrame, tolerance: float = AUDIT.amount_tolerance, days: int = AUDIT.date_window_days) -> DataFrame:
     """One-to-one pairs, greedily in row order: each row takes the first partner that is still free.
 
-    Only rows that share a vendor can compete, so vendors are assigned apart; gaps of more than the date window part a
-    vendor's timeline further, so that one vendor with a third of all rows is no single group.
+    Only candidate pairs that are connected can compete. Pairs that share a row overlap in its day and in its amount, so
+    a vendor's pairs are parted where no interval of days, and within that none of amounts, overlaps, and once more: a
+    vendor that is active daily falls apart by its amounts.
     """
-    found = candidates(one, two, tolerance, days)
-    order = Window.partitionBy("vendor").orderBy("day")
-    dates = found.select("vendor", F.to_date("a_date").alias("day")).distinct().withColumn("new", (F.datediff("day", F.lag("day").over(order)) > 2 * days + 2).cast("int"))
-    island = dates.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order)).select(F.col("vendor").alias("v"), "day", "island")
-    grouped = found.join(island, (F.col("vendor") == F.col("v")) & (F.to_date("a_date") == F.col("day"))).drop("v", "day")
-    return grouped.groupBy("vendor", "island").applyInPandas(_greedy, PAIR)
+    a_day, b_day = F.to_date("a_date"), F.to_date("b_date")
+    found = candidates(one, two, tolerance, days).withColumns(
+        {"d0": F.least(a_day, b_day), "d1": F.greatest(a_day, b_day), "m0": F.least("a_amount", "b_amount"), "m1": F.greatest("a_amount", "b_amount")}
+    )
+    by = ["vendor"]
+    for k, (low, high) in enumerate([("d0", "d1"), ("m0", "m1"), ("d0", "d1"), ("m0", "m1")]):
+        found = islands(found, by, low, high, f"island{k}")
+        by = [*by, f"island{k}"]
+    return found.groupBy(*by).applyInPandas(_greedy, PAIR)
 
 
 def left_over(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """Rows without a partner; ``side``: source_1_id or source_2_id."""
-    return df.join(pairs.select(F.col(side).alias("txn_id")), "txn_id", "left_anti")
+    """Rows without a partner, as a multiset difference; ``side``: source_1_id or source_2_id.
+
+    Of rows with one id, as many go as there are pairs of it, the first in order of their columns; the rest stays.
+    """
+    taken = pairs.groupBy(F.col(side).alias("__id")).agg(F.count("*").alias("__taken"))
+    nth = F.row_number().over(Window.partitionBy("txn_id").orderBy(*(c for c in df.columns if c != "txn_id")))
+    ranked = df.withColumn("__nth", nth).join(taken, F.col("txn_id") == F.col("__id"), "left")
+    return ranked.where(F.col("__nth") > F.coalesce("__taken", F.lit(0))).select(*df.columns)
 
 
 def match_rate(one: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -81,11 +100,15 @@ def orphans(df: DataFrame, keys: list[str], source: str = "source") -> DataFrame
 def known_entities(names: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
     """(name, entity_id, canonical_name, confidence): by canonical name or a mention in the aliases; else unknown_<slug>, 0.
 
-    ``entities`` is a curated list; it is broadcast by Spark where small, and names are asked for once each.
+    Two equi-joins, by the canonical name and by the name's first three letters in the aliases; names are asked for once.
     """
     asked = names.select(F.col(name).alias("name")).distinct()
-    hit = (F.col("name") == F.col("canonical_name")) | F.contains(F.coalesce("aliases", F.lit("")), F.col("name"))
-    found = asked.join(entities, hit).withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("entity_id"))).where("__n = 1").select("name", "entity_id", "canonical_name")
+    by_name = asked.join(entities.select("entity_id", "canonical_name"), F.col("name") == F.col("canonical_name"))
+    aliases = F.coalesce("aliases", F.lit(""))
+    mentions = entities.select("entity_id", "canonical_name", "aliases", F.explode(T.grams(aliases)).alias("__g"))
+    by_alias = asked.withColumn("__g", T.gram_key(F.col("name"))).join(mentions, "__g").where(F.contains(aliases, F.col("name")))
+    first = F.min(F.struct("entity_id", "canonical_name"))
+    found = by_name.select("name", "entity_id", "canonical_name").unionByName(by_alias.select("name", "entity_id", "canonical_name")).groupBy("name").agg(first.alias("__e")).select("name", "__e.*")
     return asked.join(found, "name", "left").select("name", F.coalesce("entity_id", T.unknown_slug(F.col("name"))).alias("entity_id"), F.coalesce("canonical_name", "name").alias("canonical_name"), F.when(F.col("entity_id").isNotNull(), 0.95).otherwise(0.0).alias("confidence"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT, AuditRules
 from tallyloom.functions import text as T
+from tallyloom.operators.feedback import best_link, feedback_row
 
 
 def _flag(c: str) -> Column:
@@ -59,14 +60,18 @@ def audit_severity(df: DataFrame, rules: AuditRules = AUDIT) -> DataFrame:
 
 
 def signals(transactions: DataFrame, unmatched: DataFrame, duplicate_keys: list[str], rules: AuditRules = AUDIT) -> DataFrame:
-    """Transactions with is_unmatched (by id, or a high amount), is_incomplete and is_duplicate (their id or key occurs twice)."""
+    """Transactions with is_unmatched (by id, or a high amount), is_incomplete and is_duplicate (their id or key occurs twice).
+
+    A key with a null doesn't make a duplicate; an id that occurs in several rows always does.
+    """
+    repeated = transactions.groupBy("txn_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("txn_id").alias("r_id"))
     gone = unmatched.select(F.col("txn_id").alias("u_id")).distinct()
     incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("vendor", "amount", "date")])
     twice = transactions.groupBy(*duplicate_keys).agg(F.count("*").alias("__n")).where("__n > 1")
     twice = twice.select(*(F.col(k).alias(f"d_{k}") for k in duplicate_keys))
     match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"d_{k}") for k in duplicate_keys])
-    out = transactions.join(gone, transactions["txn_id"] == gone["u_id"], "left").join(twice, match, "left")
-    return out.withColumns({"is_unmatched": F.col("u_id").isNotNull() | F.coalesce(F.col("amount") >= rules.high_amount, F.lit(False)), "is_incomplete": incomplete, "is_duplicate": F.col(f"d_{duplicate_keys[0]}").isNotNull()}).drop("u_id", *(f"d_{k}" for k in duplicate_keys))
+    out = transactions.join(gone, transactions["txn_id"] == gone["u_id"], "left").join(twice, match, "left").join(repeated, F.col("txn_id") == F.col("r_id"), "left")
+    return out.withColumns({"is_unmatched": F.col("u_id").isNotNull() | F.coalesce(F.col("amount") >= rules.high_amount, F.lit(False)), "is_incomplete": incomplete, "is_duplicate": F.col(f"d_{duplicate_keys[0]}").isNotNull() | F.col("r_id").isNotNull()}).drop("u_id", "r_id", *(f"d_{k}" for k in duplicate_keys))
 
 
 def suspicious(transactions: DataFrame, ids: list[DataFrame]) -> DataFrame:
@@ -84,6 +89,12 @@ def resolve_ambiguity(ambiguous: DataFrame, gap: float = AUDIT.gap) -> DataFrame
     return out.withColumns({"gap": width, "decision": F.when(resolved, F.lit("resolve")).otherwise(F.lit("escalate")), "target_id": F.when(resolved, F.col("__r")[0]["i"])}).drop("__r")
 
 
+def flag_feedback(flagged: DataFrame, links: DataFrame, at: Column) -> DataFrame:
+    """(feedback row): ``flagged`` on the best current link of each flagged transaction; those without a link get none."""
+    on = flagged.select("txn_id", "explanation").dropDuplicates(["txn_id"]).join(best_link(links), "txn_id")
+    return on.select(*feedback_row(F.col("link_id"), F.lit("flagged"), F.lit("autonomous"), F.col("explanation"), at))
+
+
 def flags(scored: DataFrame, run_id: str, created_at: Column) -> DataFrame:
     """Flag rows of scored transactions; the id follows from run and transaction."""
     return scored.select(

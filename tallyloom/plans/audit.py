@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT, AuditRules
-from tallyloom.operators import severity
+from tallyloom.operators import control, severity
+from tallyloom.sources.files import numbered
 
 
 def audit(transactions: DataFrame, unmatched: DataFrame, duplicate_keys: list[str], approvals: DataFrame | None = None, ambiguous: DataFrame | None = None, rules: AuditRules = AUDIT) -> DataFrame:
@@ -40,6 +41,15 @@ def lineage(flags: DataFrame, links: DataFrame, transactions: DataFrame) -> Data
     return flags.join(transactions.select("txn_id", "source", "date"), "txn_id", "left").join(live, "txn_id", "left").select("flag_id", "txn_id", "source", "date", "link_id", "linked_id", "linked_type", "match_tier")
 
 
+def logged(scored: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """Audit-trail entries of an audit's decisions, one for each scored transaction, numbered by id."""
+    entries = scored.select(
+        F.lit(run_id).alias("audit_run_id"), F.lit("escalation").alias("agent_name"), F.lit("audit_severity").alias("tool_called"), at.alias("timestamp"),
+        F.struct("txn_id", "vendor", "amount").alias("input_data"), F.struct("score", "severity").alias("output_summary"), F.col("factors").alias("decision_chain"),
+    )
+    return control.trail_entries(numbered(entries.withColumn("__id", F.col("input_data.txn_id")), ["__id"], "log_sequence_number", "%d"))
+
+
 def alerts(metrics: DataFrame, rules: dict[str, tuple[str, float]]) -> DataFrame:
     """(metric, value, threshold, firing) of one metrics row; a rule is (``>`` or ``<``, threshold)."""
     rows = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(t)).alias("threshold"), (F.col(m) > t if op == ">" else F.col(m) < t).alias("firing")) for m, (op, t) in rules.items()]

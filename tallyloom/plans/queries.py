@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tallyloom.config import RULES, FuzzyRule, PairRule
 from tallyloom.functions import similarity as S
 from tallyloom.functions import text as T
-from tallyloom.operators import access, anomaly, context, datagen, etl, feedback, matching, merge, metrics, quality, reconcile, severity
+from tallyloom.operators import access, anomaly, context, control, datagen, etl, feedback, matching, merge, metrics, quality, reconcile, severity
 from tallyloom.plans import audit as A
 from tallyloom.plans import canonical as C
+from tallyloom.schemas import WORKFLOW_STATE
+from tallyloom.session import shared_folder
 from tallyloom.sources import readers
 from tallyloom.streaming import incremental
 
@@ -158,11 +160,11 @@ def c13_redaction(spark, sf):
     return spark.createDataFrame(rows, "id int, m string").select("id", T.redacted(F.lit("ValueError"), F.col("m")).alias("message"))
 
 
-@query("SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS log_amount, (isodow(o_orderdate) - 1)::double AS weekday, day(o_orderdate)::double AS day FROM orders")
+@query("SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS log_amount, (isodow(o_orderdate) - 1)::double AS weekday, day(o_orderdate)::double AS day, (('0x' || substr(md5('V' || o_custkey), 1, 8))::bigint % 1000)::double AS vendor_bucket FROM orders")
 def c18_calendar_features(spark, sf):
     o = C.table(spark, sf, "orders")
-    f = T.calendar_features(F.col("o_totalprice"), F.col("o_orderdate"), F.lit("v"))
-    return o.select("o_orderkey", *f).select("o_orderkey", F.round("log_amount", 6).alias("log_amount"), "weekday", "day")
+    f = T.calendar_features(F.col("o_totalprice"), F.col("o_orderdate"), F.concat(F.lit("V"), F.col("o_custkey").cast("string")))
+    return o.select("o_orderkey", *f).withColumn("log_amount", F.round("log_amount", 6))
 
 
 @query()
@@ -367,24 +369,18 @@ def u1_suspicious(spark, sf):
     return severity.suspicious(g, [s.where(c) for c in ("is_unmatched", "is_incomplete", "is_duplicate")]).select("txn_id")
 
 
-_AMBIGUITY = """WITH a AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 600000, 2) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 600000, 2) DESC, 'O' || o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 3 = 0),
+_AMBIGUITY = """WITH a AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 600000, 2) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 600000, 2) DESC, 'O' || o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
     p AS (SELECT o_custkey, max(n) AS n, max(s) FILTER (r = 1) AS a, max(s) FILTER (r = 2) AS b, max('O' || o_orderkey) FILTER (r = 1) AS id FROM a GROUP BY o_custkey)
     SELECT o_custkey AS source, round(CASE WHEN n = 1 THEN 0 ELSE a - b END, 6) AS gap, CASE WHEN n = 1 OR a - b >= 0.15 THEN 'resolve' ELSE 'escalate' END AS decision, CASE WHEN n = 1 OR a - b >= 0.15 THEN id END AS target_id FROM p"""
 
 
 @query(_AMBIGUITY)
-def w6_ambiguity(spark, sf, which="o_custkey % 3 = 0"):
-    o = C.table(spark, sf, "orders").where(which).selectExpr("o_custkey AS source", "struct(o_orderkey, concat('O', o_orderkey) AS i, round(o_totalprice / 600000, 2) AS s) AS c").groupBy("source").agg(F.sort_array(F.collect_list("c")).alias("c"))
+def w6_ambiguity(spark, sf):
+    o = C.table(spark, sf, "orders").selectExpr("o_custkey AS source", "struct(o_orderkey, concat('O', o_orderkey) AS i, round(o_totalprice / 600000, 2) AS s) AS c").groupBy("source").agg(F.sort_array(F.collect_list("c")).alias("c"))
     amb = o.select("source", F.col("c.i").alias("candidate_ids"), F.col("c.s").alias("candidate_scores"))
     return severity.resolve_ambiguity(amb).select("source", F.round("gap", 6).alias("gap"), "decision", "target_id")
 
 
-@query(_AMBIGUITY.replace(" WHERE o_custkey % 3 = 0", ""))
-def w6_ambiguity_whole(spark, sf):
-    """All customers; w6_ambiguity and its SQL rank one in three."""
-    return w6_ambiguity(spark, sf, "true")
-
-
 # ---------------------------------------------------------------------------------------- reconciliation, evidence
 
 
@@ -395,9 +391,15 @@ def j8_candidates(spark, sf):
     return reconcile.candidates(*C.event_sides(spark, sf)).select(F.col("a_id").alias("source_1_id"), F.col("b_id").alias("source_2_id"))
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT * FROM events WHERE event_type = 'purchase'), b AS (SELECT * FROM events WHERE event_type = 'click'),
+    c AS (SELECT user_id, a.event_id AS x, b.event_id AS y, a.value AS amount, b.value AS other, CAST(abs(floor((epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0)) AS int) AS diff, row_number() OVER (PARTITION BY user_id ORDER BY a.event_id, b.event_id) AS n
+          FROM a JOIN b USING (user_id) WHERE a.value <> 0 AND abs(a.value - b.value) / a.value <= 0.05 AND abs(floor((epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0)) <= 3),
+    g AS (SELECT DISTINCT user_id, 0::bigint AS n, false AS taken, []::bigint[] AS used, []::bigint[] AS gone FROM c
+          UNION ALL SELECT g.user_id, c.n, NOT (list_contains(used, x) OR list_contains(gone, y)), CASE WHEN list_contains(used, x) OR list_contains(gone, y) THEN used ELSE list_append(used, x) END, CASE WHEN list_contains(used, x) OR list_contains(gone, y) THEN gone ELSE list_append(gone, y) END
+          FROM g JOIN c ON c.user_id = g.user_id AND c.n = g.n + 1)
+    SELECT 'E' || x AS source_1_id, 'E' || y AS source_2_id, CASE WHEN diff = 0 AND amount = other THEN 0.95 ELSE 0.85 END::double AS confidence, diff AS date_diff, round(amount, 6) AS amount, 'U' || user_id AS vendor FROM c JOIN g USING (user_id, n) WHERE g.taken""")
 def j8_cross_source(spark, sf):
-    return reconcile.cross_source(*C.event_sides(spark, sf))
+    return reconcile.cross_source(*C.event_sides(spark, sf)).withColumn("amount", F.round("amount", 6))
 
 
 @query("""WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT 'No Such Name'), k AS (SELECT s_suppkey, split_part(p_name, ' ', 1) AS canonical_name, p_name AS aliases FROM supplier JOIN part ON s_suppkey = p_partkey),
@@ -418,15 +420,12 @@ def j10_receipts(spark, sf):
     return reconcile.receipts(found, g)
 
 
-_EVIDENCE = """t AS (SELECT 'E' || event_id AS txn_id, CAST(ts AS date) AS d, CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS v FROM events WHERE event_id % 50 = 0),
+_EVIDENCE = """t AS (SELECT 'E' || event_id AS txn_id, CAST(ts AS date) AS d, CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS v FROM events),
     m AS (SELECT conv_id || '-' || turn AS message_id, conv_id * 1000 + turn AS pos, DATE '2024-01-01' + CAST(conv_id % 30 AS int) AS d, substr(text, 1, 20) AS s, text AS b FROM conversations)"""
 
 
-_ALL_EVIDENCE = _EVIDENCE.replace(" WHERE event_id % 50 = 0", "")
-
-
-def _evidence(spark, sf, which="event_id % 50 = 0"):
-    t = C.table(spark, sf, "events").where(which).selectExpr("concat('E', event_id) AS txn_id", "CAST(ts AS date) AS date", "CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS vendor")
+def _evidence(spark, sf):
+    t = C.table(spark, sf, "events").selectExpr("concat('E', event_id) AS txn_id", "CAST(ts AS date) AS date", "CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS vendor")
     m = C.table(spark, sf, "conversations").selectExpr("concat(conv_id, '-', turn) AS message_id", "concat(conv_id, '-', turn) AS event_id", "conv_id * 1000 + turn AS pos", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS received_at", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS start_time", "substring(text, 1, 20) AS subject", "text AS body_preview")
     return t, m
 
@@ -442,23 +441,16 @@ def j12_event_evidence(spark, sf):
     return context.event_evidence(*_evidence(spark, sf))
 
 
-@query(f"""WITH {_ALL_EVIDENCE}, h AS (SELECT txn_id, message_id, CASE WHEN contains(lower(s), lower(v)) THEN 0.9 ELSE 0.7 END::double AS confidence, row_number() OVER (PARTITION BY txn_id ORDER BY pos, message_id) AS rank FROM t JOIN m ON abs(t.d - m.d) <= 3 WHERE contains(lower(s), lower(v)) OR contains(lower(b), lower(v)))
-    SELECT txn_id, message_id, confidence, rank FROM h WHERE rank <= 5""")
-def j11_email_evidence_whole(spark, sf):
-    """All transactions; j11_email_evidence and its SQL judge one in fifty."""
-    return context.email_evidence(*_evidence(spark, sf, "true"))
-
-
-@query(f"""WITH {_ALL_EVIDENCE}, h AS (SELECT txn_id, message_id AS event_id, row_number() OVER (PARTITION BY txn_id ORDER BY pos, message_id) AS rank FROM t JOIN m ON abs(t.d - m.d) <= 3 WHERE contains(lower(s), lower(v))) SELECT * FROM h WHERE rank <= 5""")
-def j12_event_evidence_whole(spark, sf):
-    return context.event_evidence(*_evidence(spark, sf, "true"))
+_KEYWORDS = ", ".join(f"'{k}'" for k in T.APPROVALS)
 
 
-@query("""WITH k AS (SELECT conv_id, turn, role, CASE WHEN contains(lower(text), 'with') THEN 'with' WHEN contains(lower(text), 'from') THEN 'from' END AS k FROM conversations),
+@query(f"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN text || ' We ' || (['approved', 'PAID it', 'agree', 'will see'])[1 + conv_id % 4] ELSE text END AS body FROM conversations),
+    k AS (SELECT conv_id, turn, role, list_filter([{_KEYWORDS}], lambda x: contains(lower(body), x))[1] AS k FROM c),
     f AS (SELECT conv_id, arg_min(role, turn) AS approver, min(turn) AS approved_at, arg_min(k, turn) AS keyword FROM k WHERE k IS NOT NULL GROUP BY conv_id)
     SELECT c.conv_id AS thread_id, f.conv_id IS NOT NULL AS approved, approver, approved_at::varchar AS approved_at, keyword FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)""")
 def w8_approvals(spark, sf):
-    return context.approvals(C.table(spark, sf, "conversations"), "conv_id", ["turn"], "role", "text", ("with", "from")).withColumn("approved_at", F.col("approved_at").cast("string"))
+    body = F.expr("CASE WHEN turn % 3 = 0 THEN concat(text, ' We ', element_at(array('approved', 'PAID it', 'agree', 'will see'), cast(1 + conv_id % 4 AS int))) ELSE text END")
+    return context.approvals(C.table(spark, sf, "conversations").withColumn("body", body), "conv_id", ["turn"], "role", "body").withColumn("approved_at", F.col("approved_at").cast("string"))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1)
@@ -469,10 +461,10 @@ def r13_semantic_search(spark, sf):
     return context.semantic_search(v, q).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {C.LINKS}, b AS (SELECT source_id AS entity_id, target_id AS other_id, link_id FROM cur WHERE is_current UNION ALL SELECT target_id, source_id, link_id FROM cur WHERE is_current) SELECT entity_id, other_id, link_id FROM b WHERE entity_id IN (SELECT 'C' || c_custkey FROM customer WHERE c_custkey % 5 = 0)""")
+@query(f"""WITH {C.LINKS}, b AS (SELECT source_id AS entity_id, target_id AS other_id, link_id FROM cur WHERE is_current UNION ALL SELECT target_id, source_id, link_id FROM cur WHERE is_current) SELECT entity_id, other_id, link_id FROM b WHERE entity_id IN (SELECT 'C' || c_custkey FROM customer)""")
 def j14_other_end(spark, sf):
     cur, _ = C.links(spark, sf)
-    wanted = C.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("email").alias("entity_type"))
+    wanted = C.table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("email").alias("entity_type"))
     return access.other_end(cur, wanted).select("entity_id", "other_id", "link_id")
 
 
@@ -520,11 +512,11 @@ def a6_confusion(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "accuracy", "f1")})
 
 
-@query("""WITH n AS (SELECT event_type AS source_type, coalesce(CASE WHEN event_id % 5 <> 0 THEN 'email' END, 'unknown') AS target_type, count(*) AS n FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2), t AS (SELECT event_type AS source_type, count(*) AS total FROM events GROUP BY 1)
+@query("""WITH n AS (SELECT event_type AS source_type, coalesce(CASE WHEN event_id % 5 <> 0 THEN 'email' END, 'unknown') AS target_type, count(*) AS n FROM events WHERE value < 20 GROUP BY 1, 2), t AS (SELECT event_type AS source_type, count(*) AS total FROM events GROUP BY 1)
     SELECT source_type, target_type, n, round(n / total::double, 6) AS rate FROM n JOIN t USING (source_type)""")
 def a10_unmatched_rate(spark, sf):
     e = C.table(spark, sf, "events")
-    u = e.where("event_id % 4 = 0").selectExpr("event_type AS entity_type", "CASE WHEN event_id % 5 <> 0 THEN 'email' END AS target_type")
+    u = e.where("value < 20").selectExpr("event_type AS entity_type", "CASE WHEN event_id % 5 <> 0 THEN 'email' END AS target_type")
     return metrics.unmatched_rate(u, e.groupBy(F.col("event_type").alias("entity_type")).agg(F.count("*").alias("total"))).withColumn("rate", F.round("rate", 6))
 
 
@@ -572,27 +564,181 @@ def f12_consent(spark, sf):
     return access.consents(con, pref, F.lit("2024-03-01").cast("timestamp"))
 
 
-@query()
+def _draw(ident: str, seed: int) -> str:
+    """SQL of ``datagen.draw``."""
+    return f"(('0x' || substr(md5({ident} || '#{seed}'), 1, 8))::bigint / 4294967296.0::double)"
+
+
+@query(f"""WITH {C.GOLD}, d AS (SELECT *, {_draw('txn_id', 1)} < 0.15 AS hit, {_draw('txn_id', 2)} AS kind FROM gold),
+    k AS (SELECT *, hit AND (kind < 0.5 OR kind >= 0.8) AS v, hit AND kind >= 0.5 AND kind < 0.8 AS a, hit AND kind >= 0.8 AS e FROM d)
+    SELECT txn_id, pos, CASE WHEN NOT v THEN vendor END AS vendor, CASE WHEN NOT a THEN amount END AS amount, strftime(CASE WHEN NOT e THEN date END, '%Y-%m-%d') AS date, source, concat_ws(',', CASE WHEN v THEN 'vendor' END, CASE WHEN a THEN 'amount' END, CASE WHEN e THEN 'date' END) AS nulled FROM k""")
 def g1_missing_fields(spark, sf):
-    return datagen.missing_fields(C.gold(spark, sf)).withColumn("nulled", F.array_join("nulled", ","))
+    return datagen.missing_fields(C.gold(spark, sf)).withColumn("nulled", F.array_join("nulled", ",")).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
-@query()
+@query(f"""WITH {C.GOLD}, p AS (SELECT *, unnest(range(1, CASE WHEN {_draw('txn_id', 4)} < 0.5 THEN 3 ELSE 4 END)) AS copy FROM gold WHERE {_draw('txn_id', 3)} < 0.10)
+    SELECT txn_id, vendor, round(amount, 2) AS amount, NULL AS copy_of FROM gold UNION ALL
+    SELECT txn_id || '_dup' || copy, vendor, round(amount + CASE WHEN {_draw('txn_id', 5)} < 0.5 THEN round({_draw('txn_id', 6)} * 10 - 5, 2) ELSE 0 END, 2), txn_id FROM p""")
 def g2_duplicates(spark, sf):
-    return datagen.duplicates(C.gold(spark, sf))
+    return datagen.duplicates(C.gold(spark, sf)).select("txn_id", "vendor", F.round("amount", 2).alias("amount"), "copy_of")
 
 
-@query()
+@query(f"""WITH {C.GOLD}, p AS (SELECT 'PHANTOM_' || lpad(i::varchar, 4, '0') AS p FROM range(50) r(i))
+    SELECT txn_id, vendor, round(amount, 2) AS amount, false AS is_phantom FROM gold WHERE source = 'credit_card' UNION ALL
+    SELECT p, 'Phantom Vendor ' || substr(p, 9, 4), round(5000 + {_draw('p', 7)} * 10000, 2), true FROM p""")
 def g3_orphans(spark, sf):
     g = C.gold(spark, sf)
-    return datagen.orphans(g.where("source = 'credit_card'"), g.where("source = 'bank'"))[0]
+    cards, _ = datagen.orphans(g.where("source = 'credit_card'"), g.where("source = 'bank'"))
+    return cards.select("txn_id", "vendor", F.round("amount", 2).alias("amount"), "is_phantom")
 
 
-@query()
+@query(f"""WITH {C.GOLD}, g AS (SELECT * FROM gold WHERE source = 'bank' ORDER BY {_draw('txn_id', 8)}, txn_id LIMIT 10) SELECT txn_id FROM gold WHERE source = 'bank' AND txn_id NOT IN (SELECT txn_id FROM g)""")
+def g3_bank(spark, sf):
+    g = C.gold(spark, sf)
+    return datagen.orphans(g.where("source = 'credit_card'"), g.where("source = 'bank'"))[1].select("txn_id")
+
+
+# ---------------------------------------------------------------------------------------------- control tables
+
+
+def _decisions(spark, sf):
+    return A.audit(C.gold(spark, sf), C.gold(spark, sf).where("pos % 4 = 0").select("txn_id"), ["vendor", "date", "source"], C.gold(spark, sf).where("pos % 9 = 0").select("txn_id"))
+
+
+@query(f"""WITH {_SIGNALS}, k AS (SELECT txn_id, score, CASE WHEN score >= 70 THEN 'CRITICAL' WHEN score >= 50 THEN 'WARNING' ELSE 'INFO' END AS severity FROM sc WHERE NOT (nf = 1 AND un AND coalesce(amount, 0) < 5000) AND NOT (score < 50 AND coalesce(amount, 0) < 50))
+    SELECT 'run' AS audit_run_id, row_number() OVER (ORDER BY txn_id) AS log_sequence_number, 'escalation' AS agent_name, txn_id, score::varchar AS score, severity FROM k""")
+def k22_audit_trail(spark, sf):
+    """Audit-trail entries of all decisions, their payloads read back from JSON."""
+    trail = A.logged(_decisions(spark, sf), "run", F.lit("2024-03-01").cast("timestamp"))
+    read = lambda c, k: F.get_json_object(c, f"$.{k}").alias(k)
+    return trail.select("audit_run_id", "log_sequence_number", "agent_name", read("input_data", "txn_id"), read("output_summary", "score"), read("output_summary", "severity"))
+
+
+@query("""WITH s AS (SELECT 'R' || user_id AS run, arg_max(event_type, event_id) AS status FROM events WHERE event_type <> 'view' GROUP BY 1), n AS (SELECT 'R' || user_id AS run, 'completed' AS status FROM events WHERE event_type = 'view' GROUP BY 1)
+    SELECT run AS audit_run_id, status AS workflow_status, 'final' AS current_agent FROM n UNION ALL SELECT run, status, 'first' FROM s WHERE run NOT IN (SELECT run FROM n)""")
+def k23_workflow_state(spark, sf):
+    e = C.table(spark, sf, "events")
+    at, none = F.lit("2024-03-01").cast("timestamp"), spark.createDataFrame([], WORKFLOW_STATE)
+    old = control.workflow_upsert(none, e.where("event_type <> 'view'").groupBy(F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("audit_run_id")).agg(F.max_by("event_type", "event_id").alias("workflow_status"), F.lit("first").alias("current_agent")), at)
+    new = e.where("event_type = 'view'").select(F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("audit_run_id")).distinct().withColumns({"workflow_status": F.lit("completed"), "current_agent": F.lit("final")})
+    return control.workflow_upsert(old, new, at).select("audit_run_id", "workflow_status", "current_agent")
+
+
+@query("SELECT 'U' || user_id AS user_hash, event_type AS preference, arg_max(props, event_id) AS value, max(event_id) AS updated_at FROM events GROUP BY 1, 2")
+def k19_preferences(spark, sf):
+    """The latest row of each user and preference, even events upserted with odd ones."""
+    rows = C.table(spark, sf, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_hash"), F.col("event_type").alias("preference"), F.col("props").alias("value"), F.col("event_id").alias("updated_at"))
+    return control.latest_by(rows.where("updated_at % 2 = 0"), rows.where("updated_at % 2 = 1"), ["user_hash", "preference"], "updated_at")
+
+
+@query("""SELECT 'intent_log' AS "table", count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 20 DAY UNION ALL SELECT 'access_audit_log', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' - INTERVAL 2555 DAY""")
+def k16_log_retention(spark, sf):
+    e, o = C.table(spark, sf, "events").select(F.col("ts").alias("created_at")), C.table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("at"))
+    one = control.expired_logs({"intent_log": e}, F.lit("2024-02-01").cast("timestamp"), intent_days=20)["intent_log"]
+    two = control.expired_logs({"access_audit_log": o}, F.lit("2001-01-01").cast("timestamp"))["access_audit_log"]
+    return one.agg(F.lit("intent_log").alias("table"), F.count("*").alias("n")).unionByName(two.agg(F.lit("access_audit_log").alias("table"), F.count("*").alias("n")))
+
+
+@query(f"WITH {C.LINKS} SELECT link_id, source_id FROM cur WHERE is_current AND source_id IN (SELECT 'S' || l_orderkey FROM lineitem)")
+def j15_links_of(spark, sf):
+    wanted = C.table(spark, sf, "lineitem").select(F.concat(F.lit("S"), F.col("l_orderkey").cast("string")).alias("source_id"))
+    return control.links_of(C.links(spark, sf)[0], wanted).select("link_id", "source_id")
+
+
+@query(f"""WITH {_SIGNALS}, k AS (SELECT txn_id, score FROM sc WHERE NOT (nf = 1 AND un AND coalesce(amount, 0) < 5000) AND NOT (score < 50 AND coalesce(amount, 0) < 50)),
+    f AS (SELECT txn_id FROM k ORDER BY score DESC, txn_id LIMIT 20), e AS (SELECT txn_id, amount * 2 AS evidence_score FROM gold)
+    SELECT k.txn_id, round(CASE WHEN f.txn_id IS NOT NULL THEN evidence_score END, 4) AS evidence_score FROM k LEFT JOIN f USING (txn_id) LEFT JOIN e USING (txn_id)""")
+def j17_enrichment(spark, sf):
+    """All suspicious transactions; the evidence of the twenty of highest score is looked up."""
+    evidence = C.gold(spark, sf).select("txn_id", (F.col("amount") * 2).alias("evidence_score"))
+    return control.enriched(_decisions(spark, sf), evidence, [F.desc("score"), F.col("txn_id")]).select("txn_id", F.round("evidence_score", 4).alias("evidence_score"))
+
+
+@query(f"WITH {C.LINKS} SELECT source_id AS txn_id, link_id FROM cur WHERE is_current")
+def j18_best_link(spark, sf):
+    """Each source has one good current link and a worse one."""
+    cur, _ = C.links(spark, sf)
+    worse = cur.withColumns({"link_id": F.concat(F.lit("W"), "link_id"), "confidence": F.lit(0.6)})
+    return feedback.best_link(cur.unionByName(worse)).select("txn_id", "link_id")
+
+
+@query(f"WITH {C.LINKS} SELECT 'L' || k AS link_id, 'flagged' AS signal, 'why' AS reason FROM cur WHERE is_current AND k % 5 = 0")
+def r6_flag_feedback(spark, sf):
+    cur, _ = C.links(spark, sf)
+    flagged = C.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("txn_id"), F.lit("why").alias("explanation"))
+    return severity.flag_feedback(flagged, cur, F.lit("2024-03-01").cast("timestamp")).select("link_id", "signal", "reason")
+
+
+@query(f"WITH {C.LINKS} SELECT link_id, 'confirmed' AS signal, 'resolved to ' || target_id AS reason FROM cur WHERE is_current AND k % 2 = 0")
+def r9_confirmed(spark, sf):
+    cur, _ = C.links(spark, sf)
+    resolved = cur.selectExpr("source_id AS source_entity_id", "target_id", "CASE WHEN CAST(substring(link_id, 2) AS bigint) % 2 = 0 THEN 'resolve' ELSE 'escalate' END AS decision")
+    return feedback.confirmed(resolved, cur, F.lit("2024-03-01").cast("timestamp")).select("link_id", "signal", "reason")
+
+
+@query("WITH f AS (SELECT 'V' || (user_id % 5) AS vendor, value > 30 AS fp FROM events WHERE ts > TIMESTAMP '2024-01-13 00:00:00') SELECT vendor, count(*) AS flags, count(*) FILTER (fp) AS false_positives FROM f GROUP BY 1")
+def a11_recent_week(spark, sf):
+    flags = C.table(spark, sf, "events").selectExpr("concat('V', user_id % 5) AS vendor", "CASE WHEN value > 30 THEN 'false_positive' ELSE 'approved' END AS human_decision", "ts AS created_at")
+    return feedback.vendor_false_positives(feedback.recent(flags, F.lit("2024-01-20 09:00:00").cast("timestamp"))).select("vendor", "flags", "false_positives")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS n FROM lineitem), p AS (SELECT l_orderkey, count(*) AS c FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+    SELECT a.l_orderkey AS txn_id, l_partkey, l_suppkey FROM a LEFT JOIN p USING (l_orderkey) WHERE n > coalesce(c, 0)""")
+def u3_left_over(spark, sf):
+    """Rows with repeated ids: of each id as many go as have been paired."""
+    l = C.table(spark, sf, "lineitem")
+    pairs = l.where("l_linenumber = 1").select(F.col("l_orderkey").alias("source_1_id"))
+    return reconcile.left_over(l.select(F.col("l_orderkey").alias("txn_id"), "l_partkey", "l_suppkey"), pairs, "source_1_id")
+
+
+@query(f"WITH {C.LINKS} SELECT DISTINCT 'T' || o_orderkey AS txn_id FROM orders WHERE o_orderstatus = 'F'")
+def s9_unmatched_ids(spark, sf):
+    u = C.table(spark, sf, "orders").selectExpr("concat('T', o_orderkey) AS entity_id", "CASE WHEN o_orderstatus = 'F' THEN 'transaction' ELSE 'email' END AS entity_type")
+    return readers.unmatched_ids(u)
+
+
+@query("SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_audit FROM events WHERE event_type = 'purchase'")
+def s19_last_audit(spark, sf):
+    runs = C.table(spark, sf, "events").selectExpr("CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS workflow_status", "ts AS created_at")
+    return readers.last_audit(runs).select(F.date_format("last_audit", "yyyy-MM-dd HH:mm:ss").alias("last_audit"))
+
+
+@query("SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run, epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(max(ts)) <= 24 * 3600 AS is_fresh FROM events WHERE event_type = 'click'")
+def f13_is_fresh(spark, sf):
+    runs = C.table(spark, sf, "events").selectExpr("CASE event_type WHEN 'click' THEN 'success' ELSE 'failed' END AS status", "ts AS start_time")
+    return readers.is_fresh(runs, F.lit("2024-02-01 00:00:00").cast("timestamp")).select(F.date_format("last_run", "yyyy-MM-dd HH:mm:ss").alias("last_run"), "is_fresh")
+
+
+@query("SELECT l_orderkey AS run_id, 'link' AS operation, l_linenumber::bigint AS id, l_orderkey % 2 = 0 AS committed FROM lineitem WHERE l_orderkey IN (SELECT min(l_orderkey) FROM lineitem)")
+def s22_intents(spark, sf):
+    """The plan of one run; runs of even number have left their commit marker."""
+    l = C.table(spark, sf, "lineitem")
+    planned = l.selectExpr("CAST(l_orderkey AS string) AS run_id", "'link' AS operation", "CAST(l_linenumber AS bigint) AS id", "false AS committed")
+    marks = l.where("l_orderkey % 2 = 0").selectExpr("CAST(l_orderkey AS string) AS run_id", "'commit' AS operation", "CAST(NULL AS bigint) AS id", "true AS committed").distinct()
+    run = str(l.agg(F.min("l_orderkey")).first()[0])
+    return control.intents(planned.unionByName(marks), run).select(F.col("run_id").cast("bigint").alias("run_id"), "operation", "id", "committed")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00Z' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at, CASE event_type WHEN 'click' THEN round(0.0001 * event_id, 4) WHEN 'view' THEN round(0.0005 * event_id, 4) ELSE 0 END::double AS cost FROM events")
+def c15_c21_times_and_costs(spark, sf):
+    e = C.table(spark, sf, "events")
+    at = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return e.select("event_id", T.with_midnight(at).alias("at"), T.token_cost(F.col("event_type"), F.col("event_id"), {"click": 0.0001, "view": 0.0005}).cast("double").alias("cost"))
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS p, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS tp, count(*) FILTER (o_orderkey % 3 = 0) AS f, count(*) FILTER (o_orderkey % 2 = 0) AS t FROM orders GROUP BY 1), s AS (SELECT tp / f::double AS p, tp / t::double AS r, 2 * tp / (f + t)::double AS f1 FROM d)
+    SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f1), 6) AS f1, count(*) FILTER (f1 >= 0.8) AS passed, count(*) AS datasets FROM s""")
+def a7_macro_average(spark, sf):
+    o = C.table(spark, sf, "orders").select(F.col("o_orderkey").alias("txn_id"), "o_orderpriority")
+    sets = [r[0] for r in o.select("o_orderpriority").distinct().collect()]
+    each = [metrics.confusion(d.where("txn_id % 3 = 0"), d.where("txn_id % 2 = 0"), everything=d) for d in (o.where(F.col("o_orderpriority") == s) for s in sets)]
+    return metrics.macro_average(reduce(DataFrame.unionByName, each)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "passed", "datasets")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def streaming_incremental(spark, sf):
     """All events taken once through a stream with a checkpoint; the batches' counts by type."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{folder.rstrip('/')}/tallyloom-stream-{spark.sql('SELECT uuid()').first()[0]}"
+    at = f"{shared_folder(spark)}/tallyloom-stream-{spark.sql('SELECT uuid()').first()[0]}"
     schema = C.table(spark, sf, "events").schema
     incremental.take_new(spark, sf, schema, lambda batch, _: batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{at}/out"), f"{at}/state", glob="events.parquet").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.sum("n").alias("n"))

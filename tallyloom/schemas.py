@@ -37,7 +37,8 @@ PREFERENCE = _schema("user_hash string, preference string, value string, updated
 ACCESS_AUDIT = _schema("actor string, method string, entity_hash string, at timestamp")
 FLAG = _schema("flag_id string, txn_id string, vendor string, amount double, audit_run_id string, severity string, confidence double, explanation string, evidence string, created_at timestamp")
 AUDIT_TRAIL = _schema(
-    "audit_run_id string, log_sequence_number long, agent string, tool string, input string, output string, decision string, confidence double, model string, tokens long, llm_cost_dollars decimal, duration_ms long, human boolean, created_at timestamp"
+    "audit_run_id string, log_sequence_number long, agent_name string, tool_called string, timestamp timestamp, execution_time_ms long, input_data string, output_summary string, llm_model string, llm_tokens_used long, llm_cost_dollars decimal, "
+    "error_message string, error_stack_trace string, decision_chain string"
 )
 WORKFLOW_STATE = _schema("audit_run_id string, workflow_status string, current_agent string, completed_agents array<string>, pending_agents array<string>, intermediate_results string, created_at timestamp, updated_at timestamp")
 TABLES = {

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +19,19 @@ def session(app: str = "tallyloom", **extra: str) -> SparkSession:
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in extra.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine, an error on a cluster."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (known or "file://" + tempfile.mkdtemp(prefix="tallyloom-")).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the session's checkpoint folder, which all executors share: later steps read it there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

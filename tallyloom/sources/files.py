@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructField, StructType, StringType
 
 from tallyloom.schemas import RECORDS
+from tallyloom.session import cut
 
 PAGE = 500
 _RAW = {"transaction": ("date",), "email": ("received_at",), "calendar_event": ("start_time", "end_time")}
@@ -100,14 +102,60 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], tuple[list[tuple], in
     return spark.read.format("paged").load()
 
 
+class _ChainReader(DataSourceReader):
+    def __init__(self, fetch: Callable, starts: list[str], most: int | None) -> None:
+        self.fetch, self.starts, self.most = fetch, starts, most
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(s) for s in self.starts]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        link, pages = partition.value, 0
+        while link and (self.most is None or pages < self.most):
+            rows, link = self.fetch(link)
+            yield from rows
+            pages += 1
+
+
+def linked_pages(spark: SparkSession, fetch: Callable[[str], tuple[list[tuple], str | None]], starts: list[str], schema: str, max_pages: int | None = None) -> DataFrame:
+    """A frame over services whose pages name the next one: ``fetch(link) -> (rows, next link)``.
+
+    Each start (a mailbox, a calendar) is a partition of its own; ``max_pages`` ends every chain.
+    """
+
+    class Linked(PagedSource):
+        rows_schema = schema
+
+        @classmethod
+        def name(cls) -> str:
+            return "linked_pages"
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return _ChainReader(fetch, starts, max_pages)
+
+    spark.dataSource.register(Linked)
+    return spark.read.format("linked_pages").load()
+
+
 # ------------------------------------------------------------------------------------------------ demo files
 
 
+def numbered(df: DataFrame, order: list[str], name: str, pattern: str) -> DataFrame:
+    """Add ``name``: the place of the row in ``order``, from 1, formatted.
+
+    Rows are dealt out by ranges of ``order`` and written once, counted by range, and numbered within their range.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # one row a partition
+    start = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(sizes.withColumn("__start", start), "__part").withColumn(name, F.format_string(pattern, F.col("__start") + nth)).drop("__part", "__size", "__start")
+
+
 def gold(df: DataFrame, kind: str) -> DataFrame:
     """txn_id, vendor, amount, date, category, source of card, bank or receipt rows; ``vendor_id`` is null."""
     if kind == "bank":
-        order = Window.orderBy("transaction_date", "description", "amount")
-        df = df.withColumn("txn_id", F.format_string("BANK_%06d", F.row_number().over(order)))  # a demo file: numbered in one place
+        df = numbered(df, ["transaction_date", "description", "amount"], "txn_id", "BANK_%06d")
         cols = {"vendor": "description", "amount": "amount", "date": "transaction_date", "category": "type"}
     elif kind == "credit_card":
         df, cols = df.withColumn("txn_id", F.col("expense_id")), {"vendor": "merchant", "amount": "amount", "date": "expense_date", "category": "category"}
@@ -117,11 +165,11 @@ def gold(df: DataFrame, kind: str) -> DataFrame:
     return df.select("txn_id", pick["vendor"].cast("string").alias("vendor"), F.lit(None).cast("string").alias("vendor_id"), pick["amount"].cast("double").alias("amount"), F.to_timestamp(pick["date"]).alias("date"), pick["category"].cast("string").alias("category"), F.lit(kind).alias("source"))
 
 
-def between(df: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = None, column: str = "date") -> DataFrame:
-    """Inclusive date range, and optionally the first rows."""
+def between(df: DataFrame, since: str | None = None, until: str | None = None, limit: int | None = None, column: str = "date", ident: str = "txn_id") -> DataFrame:
+    """Inclusive date range, and optionally the first rows by date, then id."""
     df = df if since is None else df.where(F.col(column) >= F.lit(since).cast("timestamp"))
     df = df if until is None else df.where(F.col(column) <= F.lit(until).cast("timestamp"))
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else df.orderBy(column, ident).limit(limit)
 
 
 def register(spark: SparkSession, views: dict[str, DataFrame]) -> None:
@@ -133,3 +181,20 @@ def register(spark: SparkSession, views: dict[str, DataFrame]) -> None:
 def query(spark: SparkSession, sql: str, **args: object) -> DataFrame:
     """SQL over the registered views; values are passed as named parameters, never pasted into the text."""
     return spark.sql(sql, args=args) if args else spark.sql(sql)
+
+
+def routed(sql: str, names: dict[str, str], default: str | None = None) -> str:
+    """The view for a query text: that of the first name that the lower-cased text holds, else ``default``."""
+    text = sql.lower()
+    for name, view in names.items():
+        if name in text:
+            return view
+    if default is None:
+        raise LookupError("the query names no known table")
+    return default
+
+
+def dispatch(spark: SparkSession, sql: str, mode: str, loaders: dict[str, dict[str, Callable[[], DataFrame]]]) -> DataFrame:
+    """Run a query over the views of a mode (warehouse, demo files, fixtures); a mode loads only the views that are named."""
+    register(spark, {name: load() for name, load in loaders[mode].items() if re.search(rf"\b{re.escape(name)}\b", sql, re.IGNORECASE)})
+    return query(spark, sql)

@@ -30,7 +30,7 @@ def last_audit(states: DataFrame, default: str = "2025-01-01") -> DataFrame:
 
 def is_fresh(runs: DataFrame, at: Column, hours: int = 24) -> DataFrame:
     """One row: whether the last good run started no more than ``hours`` ago; without a run it isn't."""
-    age = F.try_subtract(at.cast("double"), F.col("last_run").cast("double"))
+    age = F.try_subtract(at.cast("timestamp").cast("double"), F.col("last_run").cast("timestamp").cast("double"))
     return last_run(runs).select("last_run", F.coalesce(age <= hours * 3600, F.lit(False)).alias("is_fresh"))
 
 

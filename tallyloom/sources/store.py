@@ -1,10 +1,14 @@
-"""Tables as parquet snapshots: a change writes a new version and then flips a pointer, so readers never see half of it.
+"""Tables as parquet parts under one manifest: a change writes new parts and then the next manifest, by an atomic rename.
 
-All file access goes through Spark's file systems; the pointer is one small file a table, replaced by rename.
+The latest manifest names the parts of every table, so several tables change at once, and a reader sees all of a change
+or none of it. A manifest is never overwritten: of two writers that start from one manifest the second fails. Parts and
+manifests that are out of date stay until ``expire``, for readers that still run. All file access goes through Spark's
+file systems.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -29,81 +33,129 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, table: str) -> str | None:
-        at, fs = self._path(f"{self.root}/{identifier(table)}/CURRENT")
+    def _text(self, path: str) -> str | None:
+        """Contents of a small file, read through the file system; nothing if it isn't there."""
+        at, fs = self._path(path)
         if not fs.exists(at):
             return None
-        return self.spark.read.text(at.toString()).first()[0]
-
-    def _flip(self, table: str, version: str) -> None:
-        new, fs = self._path(f"{self.root}/{table}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
+        stream = fs.open(at)
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        """Write a small file beside its place and rename it there; fails if there is one."""
+        jvm, new = self.spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}.new"
+        at, fs = self._path(new)
+        # a local file system keeps checksums in files of their own, which a rename would move second
+        plain = fs
+        if at.toUri().getScheme() in (None, "file"):
+            plain = jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+            plain.initialize(jvm.java.net.URI.create("file:///"), self.spark.sparkContext._jsc.hadoopConfiguration())
+        plain.mkdirs(at.getParent())
+        out = plain.create(at, True)
+        out.write(bytearray(text.encode()))
         out.close()
-        at, _ = self._path(f"{self.root}/{table}/CURRENT")
-        before = self._current(table)
-        fs.delete(at, False)
-        fs.rename(new, at)
-        if before:
-            fs.delete(self._path(f"{self.root}/{table}/{before}")[0], True)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        mode = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(mode, 1)
+        how[0] = mode.NONE
+        try:
+            files.rename(at, self._path(path)[0], how)
+        except Exception:
+            fs.delete(at, False)
+            raise
+
+    def _manifests(self) -> list[int]:
+        at, fs = self._path(f"{self.root}/manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _latest(self) -> tuple[int, dict[str, list[str]]]:
+        """(number, parts by table) of the latest manifest."""
+        found = self._manifests()
+        return (found[-1], json.loads(self._text(f"{self.root}/manifests/{found[-1]}"))) if found else (0, {})
+
+    def parts(self) -> dict[str, list[str]]:
+        """The parts of every table."""
+        return self._latest()[1]
+
+    def _publish(self, changed: dict[str, list[str]], seen: tuple[int, dict[str, list[str]]]) -> None:
+        self._put(f"{self.root}/manifests/{seen[0] + 1}", json.dumps(seen[1] | changed, sort_keys=True))
 
     def read(self, table: str) -> DataFrame:
-        """The current version; an empty frame of the known schema if nothing was written."""
-        version = self._current(table)
-        if version is None:
+        """The current rows; an empty frame of the known schema if nothing was written."""
+        parts = self.parts().get(identifier(table))
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{version}") if table in TABLES else self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        paths = [f"{self.root}/{table}/{p}" for p in parts]
+        return self.spark.read.schema(TABLES[table]).parquet(*paths) if table in TABLES else self.spark.read.parquet(*paths)
 
     def write(self, table: str, df: DataFrame) -> str:
-        """Write a version without making it current."""
-        version = f"v-{uuid.uuid4().hex}"
+        """Write a part without making it current."""
+        part = f"v-{uuid.uuid4().hex}"
         schema = TABLES.get(identifier(table))
         if schema is not None:
             from pyspark.sql import functions as F
 
             df = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
-        df.write.parquet(f"{self.root}/{table}/{version}")
-        return version
+        df.write.parquet(f"{self.root}/{table}/{part}")
+        return part
 
     def replace(self, table: str, df: DataFrame) -> None:
-        self._flip(table, self.write(table, df))
+        self.replace_all({table: df})
 
     def replace_all(self, tables: dict[str, DataFrame]) -> None:
-        """Write all new versions first, then flip all pointers: plans may read what is replaced."""
-        for name, version in {n: self.write(n, d) for n, d in tables.items()}.items():
-            self._flip(name, version)
+        """Write all new parts first, then publish them together: plans may read what is replaced."""
+        seen = self._latest()
+        self._publish({name: [self.write(name, df)] for name, df in tables.items()}, seen)
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Add rows to the current version, as new files beside the old ones."""
-        version = self._current(table)
-        if version is None:
-            self.replace(table, df)
-            return
-        from pyspark.sql import functions as F
-
-        schema = TABLES.get(table)
-        rows = df if schema is None else df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
-        rows.write.mode("append").parquet(f"{self.root}/{table}/{version}")
+        """Add rows as one more part."""
+        part, seen = self.write(table, df), self._latest()
+        self._publish({table: [*seen[1].get(table, []), part]}, seen)
+
+    def expire(self, older_than: float = 86_400.0) -> int:
+        """Delete parts that the manifest doesn't name and that are older than so many seconds; how many went."""
+        root, fs = self._path(self.root)
+        current, gone, before = self.parts(), 0, (time.time() - older_than) * 1000
+        for number in self._manifests()[:-1]:
+            at, _ = self._path(f"{self.root}/manifests/{number}")
+            if fs.getFileStatus(at).getModificationTime() < before:
+                fs.delete(at, False)
+        for folder in fs.listStatus(root) if fs.exists(root) else []:
+            name = folder.getPath().getName()
+            for part in fs.listStatus(folder.getPath()) if folder.isDirectory() and name not in ("locks", "manifests") else []:
+                if part.getPath().getName() not in current.get(name, []) and part.getModificationTime() < before:
+                    gone += fs.delete(part.getPath(), True)
+        return gone
 
     # ---------------------------------------------------------------- lock
 
     def acquire(self, name: str, owner: str, ttl: float = 7200.0) -> bool:
-        """Create the lock file; an expired lock is taken over. The file system decides between two at once."""
-        at, fs = self._path(f"{self.root}/locks/{identifier(name)}")
-        if fs.exists(at):
-            text = self.spark.read.text(at.toString()).first()[0]
-            if float(text.split("\t")[1]) > time.time():
-                return text.split("\t")[0] == owner
-            fs.delete(at, False)
+        """Create the lock; an expired one is taken over. A rename that must not overwrite decides between two at once."""
+        path = f"{self.root}/locks/{identifier(name)}"
+        held = self._text(path)
+        if held is not None:
+            if float(held.split("\t")[1]) > time.time():
+                return held.split("\t")[0] == owner
+            # of two that find it expired, only one can move this very lock away
+            try:
+                at, fs = self._path(path)
+                if self._text(path) != held or not fs.rename(at, self._path(f"{path}.expired-{uuid.uuid5(uuid.NAMESPACE_OID, held).hex}")[0]):
+                    return False
+            except Exception:
+                return False
         try:
-            out = fs.create(at, False)
+            self._put(path, f"{owner}\t{time.time() + ttl}")
         except Exception:  # another owner was quicker
             return False
-        out.write(bytearray(f"{owner}\t{time.time() + ttl}".encode()))
-        out.close()
         return True
 
     def release(self, name: str, owner: str) -> None:
-        at, fs = self._path(f"{self.root}/locks/{identifier(name)}")
-        if fs.exists(at) and self.spark.read.text(at.toString()).first()[0].split("\t")[0] == owner:
+        path = f"{self.root}/locks/{identifier(name)}"
+        held = self._text(path)
+        if held is not None and held.split("\t")[0] == owner:
+            at, fs = self._path(path)
             fs.delete(at, False)

@@ -42,7 +42,7 @@ def test_combined_score(spark):
 def test_isolation_forest_finds_the_odd_ones(spark):
     rows = [(f"t{i}", 100.0 + i % 7, "2026-01-05", f"v{i % 3}") for i in range(300)] + [("odd", 1e9, "2026-01-31", "zzz")]
     df = spark.createDataFrame(rows, "txn_id string, amount double, date string, vendor string").withColumn("date", F.to_date("date"))
-    out = anomaly.isolation_forest(df, "txn_id", "amount", "date", "vendor")
+    out = anomaly.isolation_forest(df, "txn_id", "amount", "date", "vendor", below=0.0)
     assert out.where("txn_id = 'odd'").first()["is_anomaly_if"]
     assert out.count() == 301 and anomaly.isolation_forest(df.limit(0), "txn_id", "amount", "date", "vendor").count() == 0
 

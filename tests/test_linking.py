@@ -53,7 +53,7 @@ def test_fuzzy_tier_against_loops(spark):
 
 def test_window_pairs_are_an_equi_join(spark):
     e = spark.createDataFrame([("a", 1, date(2026, 1, 1), "x", "f")], "entity_id string, pos long, day date, fuzzy string, fuzzy_field string")
-    plan = matching.window_pairs(e, e, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = matching.window_pairs(e, e, 3, 0.8, "edit")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
