@@ -1,18 +1,19 @@
 """URL rules by a sort-merge range join, in DataFrame operations alone.
 
 A host is turned round by labels (``www.example.com`` -> ``com.example.www.``), so a rule's host with all its subdomains
-is an interval of keys, and intervals of rules are nested or apart. The borders of the intervals, sorted, are swept
-together with the urls' keys: at every border the stack of active rules is known - the rules of the host and of its
-parent domains - and each url takes the stack of the last border at or before its key. The longest rule on the stack
-(longest host, then longest path) whose path starts the url's path decides.
+is an interval of keys that start with the rule's. Intervals of rules are nested or apart: the rules that are active at a
+key are those on the stack of the last rule at or before it that the key starts with. Rules and urls, sorted together by
+key, are swept twice: by host, which gives each url its own rule hosts, at most one a label; then, for each of these, by
+path within the rules of that host. The longest match (longest host, then longest path) decides.
 
-Borders lie in blocks of ``BORDERS``; a url goes to the one block around its key and, by a hash of its row, to one of
-several copies of that block, so that a host with a third of all urls is spread. Nothing is broadcast or collected: a
-block's lower border carries in the stack that is active there.
+The sweep is dealt out by sampled ranges of (key, hash of the url), so a host with a third of all urls lies in many
+ranges; a range starts with the stack that is active where the one before it ends. The stacks of a rule are its own
+prefixes, however many rules there are. Nothing is collected, and nothing is broadcast by hand.
 
 Defined results: null urls and those without ``://`` have empty host and path and fit no rule; a rule is a host, ``/``
-and the rest of its path; of rules with equal host and path a block wins over an allow; repeated rows are kept; with no
-rules the default verdict holds; extra columns of pages are ignored.
+and the rest of its path; of rules with equal host and path a block wins over an allow; repeated rows are kept; a url or
+path of any length is compared whole; with no rules the default verdict holds; extra columns of pages are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,9 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Interval borders in a block of the sweep, and urls for each copy of a block.
-BORDERS, URLS = 20_000, 500_000
-
+from tallyloom.llm.common import save
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,48 +41,55 @@ def canonical(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def end_of(key: Column) -> Column:
-    """The least key above all keys that start with ``key``: the sign after the dot instead of the last dot."""
-    return F.concat(F.regexp_replace(key, r"\.$", ""), F.lit("/"))
+def sweep(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``stack``: that of the last border at or before their ``keys``; null before the first one.
+
+    borders: (keys, stack), one for each key. Sorted with the rows, and dealt out by ranges that end within a key if
+    very many rows have it.
+    """
+    salt = F.xxhash64(*rows.columns)
+    tagged = rows.withColumns({"__row": F.lit(1), "__salt": salt}).unionByName(borders.withColumns({"__row": F.lit(0), "__salt": F.lit(-(1 << 63)).cast("long")}), allowMissingColumns=True)
+    ranged = save(tagged.repartitionByRange(*keys, "__row", "__salt").withColumn("__part", F.spark_partition_id()), "sweep")
+    ends = ranged.groupBy("__part").agg(F.max_by("stack", F.when(F.col("__row") == 0, F.struct(*keys))).alias("__end"))  # one row a range
+    carried = ends.select("__part", F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    order = Window.partitionBy("__part").orderBy(*keys, "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ranged.withColumn("__own", F.last("stack", ignorenulls=True).over(order)).where("__row = 1").join(carried, "__part", "left")
+    return swept.select(*rows.columns, F.coalesce("__own", "__carried").alias("stack"))
+
 
+def parsed(rules: DataFrame) -> DataFrame:
+    """(r_host, r_path, verdict): one row for each host and path."""
+    cut = rules.select(F.substring_index("rule", "/", 1).alias("h"), "rule", "verdict").select(lower_ascii(F.col("h")).alias("r_host"), F.expr("substring(rule, length(h) + 1)").alias("r_path"), "verdict")
+    return cut.groupBy("r_host", "r_path").agg(F.max("verdict").alias("verdict"))  # "block" sorts after "allow"
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """(border, stack): from this key on, up to the next border, the stack of rules is active."""
-    parsed = rules.select(F.substring_index("rule", "/", 1).alias("h"), F.col("rule"), F.col("verdict")).select(
-        lower_ascii(F.col("h")).alias("r_host"), F.expr("substring(rule, length(h) + 1)").alias("r_path"), "verdict"
-    )
-    one = parsed.groupBy("r_host", "r_path").agg(F.max("verdict").alias("verdict"))  # "block" sorts after "allow"
-    own = one.groupBy("r_host").agg(F.collect_list(F.struct(F.length("r_host").alias("h_len"), F.length("r_path").alias("p_len"), "r_host", "r_path", "verdict")).alias("rules"))
-    keyed = own.withColumn("key", canonical(F.col("r_host")))
+
+def host_borders(one: DataFrame) -> DataFrame:
+    """(at, stack): the rule hosts as keys, with those of their parent domains and their own."""
+    hosts = one.select("r_host").distinct().withColumn("at", canonical(F.col("r_host")))
     labels = F.split("r_host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    chain = keyed.select("r_host", "key", F.explode(above).alias("parent")).join(own.select(F.col("r_host").alias("parent"), F.col("rules").alias("p_rules")), "parent")
-    active = chain.groupBy("r_host", "key").agg(
-        F.flatten(F.collect_list("p_rules")).alias("stack"), F.flatten(F.collect_list(F.when(F.col("parent") != F.col("r_host"), F.col("p_rules")))).alias("outer")
-    )
-    starts = active.select(F.col("key").alias("border"), F.lit(1).alias("opens"), F.length("key").alias("depth"), "stack")
-    ends = active.select(end_of(F.col("key")).alias("border"), F.lit(0).alias("opens"), F.length("key").alias("depth"), F.col("outer").alias("stack"))
-    # where several intervals end at once, the outermost ends last; where one ends and another starts, the start is later
-    return starts.unionByName(ends).groupBy("border").agg(F.max_by("stack", F.struct("opens", F.when(F.col("opens") == 1, F.col("depth")).otherwise(-F.col("depth")))).alias("stack"))
+    chain = hosts.select("at", F.explode(above).alias("parent")).join(hosts.select(F.col("r_host").alias("parent"), F.struct(F.col("r_host").alias("host"), F.col("at").alias("key")).alias("entry")), "parent")
+    return chain.groupBy("at").agg(F.collect_list("entry").alias("stack"))
+
+
+def path_borders(one: DataFrame) -> DataFrame:
+    """(r_host, path, stack): of every rule's path the rules of its host whose paths start it."""
+    starts = F.transform(F.sequence(F.lit(0), F.length("r_path")), lambda i: F.substring("r_path", F.lit(1), i))
+    shorter = one.select("r_host", F.col("r_path").alias("path"), F.explode(starts).alias("r_path"))
+    entry = F.struct(F.length("r_path").alias("p_len"), "r_path", "verdict", "r_host")
+    return shorter.join(one, ["r_host", "r_path"]).groupBy("r_host", "path").agg(F.collect_list(entry).alias("stack"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict) for every row; ``rules`` has (rule ``host/path``, verdict allow or block)."""
     host, path = split_url(F.coalesce(F.col(url), F.lit("")))
-    rows = pages.select(F.col(key), host.alias("host"), path.alias("path")).withColumn("at", canonical(F.col("host")))
-    borders = stacks(rules)
-    number = F.row_number().over(Window.orderBy("border"))  # rules alone are numbered in one place, urls never are
-    numbered = borders.withColumn("block", F.floor((number - 1) / BORDERS).cast("int"))
-    firsts = [r["border"] for r in numbered.groupBy("block").agg(F.min("border").alias("border")).orderBy("block").collect()]
-    copies = max(1, -(-pages.count() // URLS))
-    later = F.array(*[F.lit(x) for x in firsts[1:]]).cast("array<string>")
-    block = F.size(F.filter(later, lambda x: x <= F.col("at"))).cast("int") if len(firsts) > 1 else F.lit(0)
-    copy = F.pmod(F.xxhash64(key, "path", "host"), F.lit(copies)).cast("int")
-    events = rows.select(block.alias("block"), copy.alias("copy"), "at", F.lit(1).alias("is_url"), key, "host", "path", F.lit(None).cast(borders.schema["stack"].dataType).alias("stack")).unionByName(
-        numbered.select("block", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.col("border").alias("at"), F.lit(0).alias("is_url"), "stack"), allowMissingColumns=True
-    )
-    sweep = Window.partitionBy("block", "copy").orderBy("at", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1")
-    fitting = F.filter("active", lambda r: F.col("path").startswith(r["r_path"]))
-    swept = swept.withColumn("best", F.array_max(F.transform(fitting, lambda r: F.struct(r["h_len"], r["p_len"], r["verdict"], r["r_host"], r["r_path"]))))
-    return swept.select(key, "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    one = parsed(rules)
+    rows = pages.select(F.col(key).alias("id"), host.alias("host"), path.alias("path")).withColumn("at", canonical(F.col("host")))
+    fits = F.transform(F.filter("stack", lambda r: F.col("at").startswith(r["key"])), lambda r: r["host"])
+    hosted = save(sweep(rows, host_borders(one), ["at"]).select("id", "host", "path", F.monotonically_increasing_id().alias("row"), F.coalesce(fits, F.array()).alias("hosts")), "hosted")
+    asked = hosted.select("row", "path", F.explode("hosts").alias("r_host"))
+    # a stack of another host's rules is that of a host whose paths all come later
+    met = F.filter("stack", lambda r: (r["r_host"] == F.col("r_host")) & F.col("path").startswith(r["r_path"]))
+    found = sweep(asked, path_borders(one), ["r_host", "path"]).select("row", F.explode(met).alias("r"))
+    best = found.groupBy("row").agg(F.max(F.struct(F.length("r.r_host").alias("h_len"), "r.p_len", "r.verdict", "r.r_host", "r.r_path")).alias("best"))
+    return hosted.join(best, "row", "left").select(F.col("id").alias(key), "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
