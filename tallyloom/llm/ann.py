@@ -2,8 +2,9 @@
 
 Every vector has one long bit string per tree: signs of its products with the tree's random directions. Vectors are held
 in blocks; in a block each tree is the sorted array of the bit strings. A query descends every tree to its longest
-matching prefix and then all trees ascend together, one bit at a time, until their prefix ranges hold enough candidates
-(``candidates`` of the block's vectors); the exact cosine orders the candidates, and the best of all blocks are merged.
+matching prefix and then all trees ascend together, one bit at a time, until their prefix ranges hold enough different
+candidates (``candidates`` of the block's vectors, ``least`` at least); the exact cosine orders them, and the best of all
+blocks are merged.
 
 The query set is stated (a condition on the id); its blocks meet all blocks of the index, and a block pair is one task's
 work, so nothing grows with a hot bucket. Vectors that are equal, component by component, are indexed once with their
@@ -40,32 +41,53 @@ class Forest:
         self.bits, self.trees = bits, []
         for t in range(trees):
             codes = self.codes(unit, t)
-            order = np.argsort(codes, kind="stable")
+            order = np.argsort(codes, kind="stable").astype(np.int32)
             self.trees.append((codes[order], order))
 
     def codes(self, unit: np.ndarray, tree: int) -> np.ndarray:
         signs = unit @ directions(tree, self.bits, unit.shape[1]) > 0
-        return (signs * (np.int64(1) << np.arange(self.bits - 1, -1, -1))).sum(axis=1)
-
-    def candidates(self, unit: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-        """Positions for every query: of the deepest common level at which the trees' ranges hold ``wanted``."""
-        codes = [self.codes(unit, t) for t in range(len(self.trees))]
-        low = np.zeros((len(self.trees), len(unit)), np.int64)
-        high, open_ = np.zeros_like(low), np.ones(len(unit), bool)
-        for depth in range(self.bits, -1, -1):  # descend to the longest match, then ascend in all trees at once
-            at = np.flatnonzero(open_)
-            if not len(at):
+        return signs @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int32))
+
+    def ranges(self, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high) in every tree of the entries that share ``depth`` bits with each code; codes: (trees, queries)."""
+        free = (1 << (self.bits - depth)) - 1
+        low = np.stack([np.searchsorted(tree, c & ~free, side="left") for (tree, _), c in zip(self.trees, codes, strict=True)])
+        return low, np.stack([np.searchsorted(tree, c | free, side="right") for (tree, _), c in zip(self.trees, codes, strict=True)])
+
+    def candidates(self, unit: np.ndarray, wanted: int) -> list[np.ndarray]:
+        """Positions for every query, ``wanted`` of them or a little more (all there are, if fewer).
+
+        Each tree is descended to its longest match. Then all trees ascend one bit at a time; at the level where their
+        ranges come to hold enough different entries, the last trees are left one bit deeper.
+        """
+        codes = np.stack([self.codes(unit, t) for t in range(len(self.trees))])
+        size = len(self.trees[0][1])
+        wanted = min(wanted, size)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(unit)
+        open_, (low, high) = np.arange(len(unit)), self.ranges(codes, self.bits)
+        for depth in range(self.bits - 1, -1, -1):
+            if not len(open_):
                 break
-            free = (np.int64(1) << (self.bits - depth)) - 1
-            for t, (tree, _) in enumerate(self.trees):
-                low[t, at] = np.searchsorted(tree, codes[t][at] & ~free, side="left")
-                high[t, at] = np.searchsorted(tree, codes[t][at] | free, side="right")
-            open_[at] = (high[:, at] - low[:, at]).sum(axis=0) < wanted
-        for q in range(len(unit)):
-            mark = np.zeros(len(self.trees[0][1]), bool)
-            for t, (_, order) in enumerate(self.trees):
-                mark[order[low[t, q] : high[t, q]]] = True
-            yield np.flatnonzero(mark)
+            wide_low, wide_high = self.ranges(codes[:, open_], depth)
+            enough = (wide_high - wide_low).sum(axis=0) >= wanted
+            still = ~enough
+            for k in np.flatnonzero(enough).tolist():
+                mark, found = np.zeros(size, bool), 0
+                for t, (_, order) in enumerate(self.trees):
+                    mark[order[low[t, k] : high[t, k]]] = True
+                found = int(mark.sum())
+                for t, (_, order) in enumerate(self.trees):
+                    if found >= wanted:
+                        break
+                    at = order[wide_low[t, k] : wide_high[t, k]]
+                    at = at[~mark[at]]
+                    mark[at] = True
+                    found += len(at)
+                still[k] = found < wanted
+                if found >= wanted:
+                    out[int(open_[k])] = np.flatnonzero(mark)
+            open_, low, high = open_[still], wide_low[:, still], wide_high[:, still]
+        return out
 
 
 def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +96,11 @@ def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return x, norms
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 40, bits: int = 24, candidates: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score). ``candidates``: entries of all trees' ranges wanted, as a multiple of a block."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 128, bits: int = 24, candidates: float = 0.2, least: int = 1000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score). ``candidates``, ``least``: vectors of a block that a query is held against.
+
+    A larger share finds more of the true neighbours and scores more vectors; the README has measured pairs.
+    """
     clean = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     clean = clean.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
@@ -99,7 +124,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 40, bi
             ids, queries = store.column("ids").to_pylist(), [x[0] for x in query.column("ids").to_pylist()]
             unit, asked_unit = held / lengths[:, None], asks / norms[:, None]
             forest = Forest(unit, trees, bits)
-            for q, at in enumerate(forest.candidates(asked_unit, max(50 * k, int(candidates * len(held))))):
+            for q, at in enumerate(forest.candidates(asked_unit, max(least, int(candidates * len(held))))):
                 close = unit[at] @ asked_unit[q]
                 if len(at) > k + 1:
                     edge = np.partition(close, len(at) - k - 1)[len(at) - k - 1]
