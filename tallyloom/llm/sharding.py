@@ -5,7 +5,8 @@
 2. A size-weighted key sample (its expected number is a parameter) gives quantile boundaries of many small ranges.
 3. The real sizes of the ranges are measured over all records; overfull ranges are sampled again and subdivided.
 4. Within its range a record's exact position in bytes follows from a running sum, so a shard's border falls between
-   two records. A group of equal texts that is small against a shard goes whole to the shard of its middle.
+   two records. So as not to cut a group of equal texts, a border may move by ``TOLERANCE`` of a shard: a group of at most
+that size, at every size of the table, goes whole to the shard of its middle, and a larger one is divided.
 
 Law: ``bytes``. Only range statistics (a bounded number of rows) reach the driver. Defined results: null text counts as
 none (size 1); repeated rows each get a slot; an empty table gives an empty table; extra columns are ignored.
@@ -14,6 +15,7 @@ none (size 1); repeated rows each get a slot; an empty table gives an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from tallyloom.llm.common import save
 
 #: Ranges in a shard, and sampled keys in a range.
 RANGES, SAMPLES = 128, 16
-#: Groups of equal texts stay together up to this part of a shard.
-WHOLE_GROUP = 0.01
+#: By what part of its size a shard may differ from the others for the sake of whole groups of equal texts.
+TOLERANCE = 0.01
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,14 +70,17 @@ def in_ranges(rows: DataFrame, splits: list[int]) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("range", LongType())]))
 
 
-def splitters(rows: DataFrame, ranges: int, total: int, whole: float, rounds: int = 3) -> tuple[list[int], dict[int, tuple[int, int]]]:
-    """Boundaries, and (bytes, rows) of every range, after overfull ranges were sampled again and subdivided."""
+def splitters(rows: DataFrame, ranges: int, total: int, whole: float) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """Boundaries, and (bytes, rows) of every range, after overfull ranges were sampled again and subdivided.
+
+    It ends when no range is overfull or nothing can be divided any further: what is left then are rows of one key.
+    """
     splits, sizes = quantiles(weighted_sample(rows, ranges * SAMPLES, total, 0), ranges, whole), {}
-    for salt in range(1, rounds + 1):
+    for salt in count(1):
         ranged = in_ranges(rows, splits)
         sizes = {r["range"]: (r["b"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
         over = [k for k, (b, n) in sizes.items() if b > 3 * total / ranges and n > 1]
-        if not over or salt == rounds:
+        if not over:
             break
         finer = set(splits)
         heavy = ranged.where(F.col("range").isin(over))
@@ -94,7 +99,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``."""
     rows = save(records(docs, key, text), "records")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    limit = WHOLE_GROUP * total / shards
+    limit = TOLERANCE * total / shards
     splits, sizes = splitters(rows, shards * RANGES, total, limit)
     before, offsets = 0, []
     for k in sorted(sizes):

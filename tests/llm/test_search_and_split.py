@@ -32,6 +32,16 @@ def test_shards_are_even_with_a_hot_text(spark):
     assert len(sizes) == 8 and max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def test_very_long_texts_and_keys_that_cannot_be_divided(spark):
+    rows = [(7, "the very same row")] * 500 + [(i, "x" * (200_000 if i == 3 else i)) for i in range(200)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t) + 1) for i, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_groups_of_equal_texts_stay_together(spark):
     rows = [(i, f"text number {i // 3} " * 5) for i in range(6000)]
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
@@ -62,10 +72,11 @@ URLS = [None, "", "no scheme/en/", "http://", "http://com", "http://com/", "http
 
 
 @pytest.mark.parametrize("rules", [URL_RULES, [], [("com/", "block"), ("a.com/", "allow"), ("b.a.com/", "block"), ("b.a.com/x", "allow"), ("com/x/y", "allow"), ("org/", "block"), ("x.org/", "allow")]])
-@pytest.mark.parametrize("borders", [20_000, 2])
-def test_url_rules(spark, monkeypatch, rules, borders):
-    monkeypatch.setattr(urls, "BORDERS", borders)
-    monkeypatch.setattr(urls, "URLS", 7)
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_url_rules(spark, request, rules, ranges):
+    for conf, value in (("spark.sql.shuffle.partitions", str(ranges)), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        request.addfinalizer(lambda conf=conf, before=spark.conf.get(conf): spark.conf.set(conf, before))
+        spark.conf.set(conf, value)
     every = URLS + [f"http://{h}/{p}" for h in ("a.com", "b.a.com", "c.b.a.com", "ab.com", "x.org", "y.x.org", "org", "zzz") for p in ("", "x", "x/y", "z")]
     pages = spark.createDataFrame([*enumerate(every), (0, None)], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("at", F.lit(1)).withColumn("rule", F.lit(2))
     got = urls.judge(pages, spark.createDataFrame(rules, "rule string, verdict string")).collect()
@@ -73,6 +84,17 @@ def test_url_rules(spark, monkeypatch, rules, borders):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_many_rules_of_a_hot_host(spark):
+    draw = np.random.default_rng(3)
+    name = lambda n: "/".join("ab"[int(x)] * int(y) for x, y in zip(draw.integers(0, 2, n), draw.integers(1, 4, n), strict=True))
+    hosts = ["hot.com", "www.hot.com", "com", "x.hot.com", "org"]
+    rules = list({f"{hosts[int(draw.integers(0, 5))]}/{name(int(draw.integers(0, 5)))}": "allow block".split()[int(draw.integers(0, 2))] for _ in range(300)}.items())
+    pages = [(i, f"http://{['hot.com', 'www.hot.com', 'a.x.hot.com', 'q.com', 'org'][min(4, i % 12)]}/{name(int(draw.integers(0, 7)))}{'z' * int(draw.integers(0, 2))}") for i in range(900)]
+    pages += [(1000, "http://hot.com/" + "a" * 200_000), (1001, "http://" + "x." * 3000 + "hot.com/a"), (1000, "http://hot.com/" + "a" * 200_000)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string").repartition(3), spark.createDataFrame(rules, "rule string, verdict string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *brute(u, rules)) for i, u in pages)
+
+
 # ------------------------------------------------------------------------------------------------ neighbours
 
 
@@ -104,6 +126,39 @@ def test_neighbours(spark):
     assert [v for _, v, _ in got[0]] == [100, 101, 102, 103, 104]
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, size):
+    """The registered query finds nine tenths of the true neighbours at least, and scores a part of the vectors."""
+    from pathlib import Path
+
+    from tallyloom.llm import queries
+
+    at = Path(f"/root/testdata/{size}/embeddings.parquet")
+    if not at.exists():
+        pytest.skip("no given tables here")
+    rows = [r for r in spark.read.parquet(str(at)).collect() if r["embedding"] is not None and any(r["embedding"])]
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)
+    found = defaultdict(set)
+    for r in queries.op7_neighbours(spark, str(at.parent)).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    asked = [k for k, i in enumerate(ids) if i % 50 == 0]
+    hits = sum(len(found[ids[q]] & {i for _, i in exact(ids, x, q, 5)}) for q in asked)
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_the_forest_prunes():
+    draw = np.random.default_rng(8)
+    centres = draw.standard_normal((200, 32))
+    x = centres[draw.integers(0, 200, 20_000)] + 0.3 * draw.standard_normal((20_000, 32))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    forest, hits, scored = ann.Forest(unit, 32, 24), 0, 0
+    for q, at in enumerate(forest.candidates(unit[:100], 400)):
+        best = np.argsort(-(unit @ unit[q]), kind="stable")[1:6]
+        hits, scored = hits + len(set(best.tolist()) & set(at.tolist())), scored + len(at)
+    assert hits >= 0.9 * 500 and scored <= 100 * 1200
+    assert all(len(c) == 20_000 for c in forest.candidates(unit[:2], 10**9))
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id").collect()))
