@@ -2,6 +2,12 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir), works on all documents that its predecessor has
 kept, and returns a DataFrame that is written as Parquet and read again for the next one.
+
+Defined results, for every stage: a null text is an empty one, and empty texts fail the quality rules; a null source is a
+source of its own; rows without an id are documents of their own, of which one of each wording stays; of rows that repeat
+an id and wording one stays; of near copies the smallest id stays; texts of any length are worked on whole; without
+labels of both kinds all documents pass the classifier; empty tables give empty tables; other columns, whatever their
+names, pass through all stages but the last, and ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -51,7 +57,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned rules, token ids and packing are beyond SQL; tests hold the stages against brute force.
+#: Learned rules, token ids and packing are beyond SQL; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
