@@ -14,8 +14,9 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,8 @@ except (OSError, AttributeError):  # another C library
 BLOCK_SCHEMA = "block long, rows_ipc binary"
 BLOB_SCHEMA = "part int, block long, kind int, blob binary"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Saved tables: session, folder, and the thread that has saved it.
+_written: list[tuple[SparkSession, str, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,16 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", known)
-        _written.append((spark, known))
+        _written.append((spark, known, 0))
     return known.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _sweep() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: whoever owns the folder clears it
             return
 
@@ -69,11 +74,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Save what ``make`` returns and delete all tables that this thread has saved on the way to it."""
+    mark, own = len(_written), threading.get_ident()
+    out = save(make(), name)
+    for entry in [e for e in _written[mark:] if e[2] == own][:-1]:
+        _delete(*entry[:2])
+        _written.remove(entry)
+    return out
+
+
 def let_go(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete saved tables that nothing reads any more, and let Spark clear shuffle files of finished steps."""
     for table in tables:

@@ -33,7 +33,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES) + " AS rules(rule, verdict)")
     return urls.judge(_table(spark, sf_dir, "pages"), rules, default="allow")
 
 

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from tallyloom.llm import bpe, lines, quality
+from tallyloom.llm.common import save
 from tests.llm.test_corpus import brute_classes, brute_substrings, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, kept boolean, h long, n_words string"
@@ -57,7 +58,7 @@ def stages(spark, tables):
     """Input and output of every stage."""
     docs, out = spark.read.parquet(f"{tables}/documents.parquet"), {}
     for name, stage in pipeline.STAGES:
-        result = pipeline.save(stage(spark, docs, tables), "test")
+        result = save(stage(spark, docs, tables), "test")
         out[name] = ([tuple(r) for r in docs.collect()], [tuple(r) for r in result.collect()], result.columns)
         docs = result
     return out
