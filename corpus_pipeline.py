@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, groupjoin, lines, packing, quality, substring
-from tallyloom.llm.common import save
+from tallyloom.llm.common import let_go, settled
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -62,8 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each one's rows written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each one's rows written to the shared folder; what a stage needs on its way goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        let_go(spark, *before)
+        before = [docs]
     return docs

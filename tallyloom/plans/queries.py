@@ -154,10 +154,32 @@ def c16_user_hash(spark, sf):
     return C.table(spark, sf, "customer").select("c_custkey", T.user_hash(F.col("c_name")).alias("user_hash"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ValueError: [REDACTED] failed'), (2, 'ValueError: [REDACTED]'), (3, 'ValueError: plain')) v(id, message)")
+_EXPANDED = " ".join(f"WHEN regexp_matches(name, '(?i){p}') THEN regexp_replace(name, '(?i){p}', '{full}')" for p, full in T.EXPANSIONS)
+_STATEMENTS = ("WHOLEFDS MKT #0523", "WHOLEFDS", "SQ *WFM #05", "STARBUCKS STORE 123", "DELTA AIR LINES 006", "UBER * TRIP", "LYFT *RIDE", "MARRIOTT SF DOWNTOWN", "AIRBNB * HM", "AIRBNB INC", "AWS EMEA LLC", "WEWORK 12", "DOORDASH *X", "INTUIT * QUICKBOOKS", "COSTCO WHSE #1", "TRADER JOE S #127", "Plain name")
+_STATEMENT_LIST = ", ".join(f"'{x}'" for x in _STATEMENTS)
+
+
+@query(f"""WITH n AS (SELECT p_partkey, ([{_STATEMENT_LIST}])[1 + p_partkey % {len(_STATEMENTS)}] || ' ' || p_partkey AS name FROM part)
+    SELECT p_partkey, CASE WHEN name LIKE 'Plain%' THEN name {_EXPANDED} ELSE name END AS expanded FROM n""")
+def c2_statement_names(spark, sf):
+    """All sixteen expansions, and names that are not raw."""
+    name = F.concat(F.element_at(F.array(*map(F.lit, _STATEMENTS)), (1 + F.col("p_partkey") % len(_STATEMENTS)).cast("int")), F.lit(" "), F.col("p_partkey").cast("string"))
+    return C.table(spark, sf, "part").select("p_partkey", T.expanded_name(name).alias("expanded"))
+
+
+_MESSAGES = ("'Bearer ' || md5(k) || ' failed' || chr(10) || 'second line'", "'sent Basic QWx' || md5(k) || '== to host'", "'by dapi' || md5(k) || ' today'", "'api_key = ' || md5(k) || ' left'", "'got eyJ' || md5(k) || '.' || md5(k) || '.' || md5(k)", "'blob ' || md5(k) || md5(k) || ' end'", "repeat('long ' || k || ' ', 100)", "'plain ' || k")
+_CASES = " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(_MESSAGES))
+_REDACT = "split_part(m, chr(10), 1)"
+for _pattern in T.SECRETS:
+    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '[REDACTED]', 'g')"
+
+
+@query(f"""WITH k AS (SELECT event_id, event_id::varchar AS k FROM events), m AS (SELECT event_id, CASE event_id % {len(_MESSAGES)} {_CASES} END AS m FROM k), r AS (SELECT event_id, 'ValueError: ' || {_REDACT} AS r FROM m)
+    SELECT event_id, CASE WHEN length(r) > 500 THEN substr(r, 1, 497) || '...' ELSE r END AS message FROM r""")
 def c13_redaction(spark, sf):
-    rows = [(1, "Bearer abc.def failed\nsecond line"), (2, "password = hunter2"), (3, "plain")]
-    return spark.createDataFrame(rows, "id int, m string").select("id", T.redacted(F.lit("ValueError"), F.col("m")).alias("message"))
+    """All six kinds of secrets, long messages and plain ones."""
+    rows = C.table(spark, sf, "events").selectExpr("event_id", "CAST(event_id AS string) AS k").selectExpr("event_id", f"CASE event_id % {len(_MESSAGES)} {_CASES} END AS m")
+    return rows.select("event_id", T.redacted(F.lit("ValueError"), F.col("m")).alias("message"))
 
 
 @query("SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS log_amount, (isodow(o_orderdate) - 1)::double AS weekday, day(o_orderdate)::double AS day, (('0x' || substr(md5('V' || o_custkey), 1, 8))::bigint % 1000)::double AS vendor_bucket FROM orders")
