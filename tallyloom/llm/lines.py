@@ -14,7 +14,9 @@ lines of a host, at most (lines in a document) / share, are one array that is jo
 broadcasts the hosts' arrays where they are small and parts a hot host's documents where they aren't.
 
 Defined results: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated
-rows get one result each; an empty table gives an empty table; extra columns pass through ``clean``.
+rows get one result each; a text of any length is worked on whole; a line in exactly ``share`` of the documents, or in
+exactly ``least``, stays, and a document that keeps exactly ``keep`` of its words is kept; an empty table gives an empty
+table; extra columns pass through ``clean``.
 """
 
 from __future__ import annotations

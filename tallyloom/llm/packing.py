@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from tallyloom.llm.common import save, trimmed
 
 GRAIN = 16
 BLOCK_TOKENS = 2_000_000
-#: Column generation ends at the optimum, or after so many columns; any solution on the way is a valid packing.
-MOST_COLUMNS = 1500
+#: Column generation ends at the optimum (a few hundred columns); after so many it has gone astray and is an error.
+MOST_COLUMNS = 100_000
 
 Patterns = list[tuple[float, dict[int, int]]]
 
@@ -65,7 +66,9 @@ def solve(demand: dict[int, int], room: int) -> Patterns:
     need = np.array([demand[int(s)] for s in sizes], float)
     columns = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(columns))
-    for _ in range(MOST_COLUMNS):
+    for generated in count():
+        if generated == MOST_COLUMNS:
+            raise ArithmeticError(f"no optimum after {MOST_COLUMNS} columns")
         value, column = best_pattern(inverse.sum(axis=0), sizes, room)
         if value <= 1 + 1e-6:
             break

@@ -331,6 +331,30 @@ def test_classifier_separates_junk_on_held_out_rows(spark):
     assert {r["doc_id"] for r in quality.accepted(docs, lab).collect()} == {i for i, r in got.items() if r["predicted"]}
 
 
+def test_classifier_on_the_given_labels(spark):
+    """Held-out rows of the given tables: nearly all are told apart."""
+    from pathlib import Path
+
+    from tallyloom.llm import queries
+
+    at = Path("/root/testdata/sf0.01")
+    if not (at / "labels.parquet").exists():
+        pytest.skip("no given tables here")
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [(r["score"], label[r["doc_id"]], r["predicted"]) for r in queries.op4_quality(spark, str(at)).collect() if r["held_out"] and label.get(r["doc_id"]) is not None]
+    good, bad = [s for s, y, _ in rows if y == 1], [s for s, y, _ in rows if y == 0]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(rows) > 30 and auc > 0.97 and sum(y == p for _, y, p in rows) > 0.93 * len(rows)
+
+
+def test_classifier_with_long_texts_and_repeated_rows(spark):
+    rows = [(i, "plain words of a page " * 9 if i % 2 else "$$$ !!! " * 60) for i in range(100)] + [(500, "plain words of a page " * 60_000), (1, "plain words of a page " * 9), (1, "plain words of a page " * 9)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)] * 2, "doc_id long, quality int, toxic int")
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 103 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and sum(r["doc_id"] == 1 for r in got) == 3
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got if r["doc_id"] < 100)
+
+
 def test_classifier_without_labels(docs, none, spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score(docs, lab).collect()} == {0.5}
