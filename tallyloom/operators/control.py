@@ -15,7 +15,9 @@ from tallyloom.schemas import AUDIT_TRAIL, WORKFLOW_STATE
 
 # The columns of an audit-trail entry that hold JSON, and how many rows the lists of findings show.
 PAYLOADS = ("input_data", "output_summary", "decision_chain")
-LISTED = {"isolation": 100, "outliers": 50, "deviations": 20, "enrichment": 20}
+LISTED = {"matched_pairs": 100, "unmatched": 50, "orphans": 50, "duplicate_groups": 10, "duplicate_ids": 5, "isolation": 100, "outliers": 50, "deviations": 20, "scored": 100, "evidence": 5, "enrichment": 20}
+#: Keys of unmatched entities and of ambiguous matches.
+UNMATCHED_KEY, AMBIGUOUS_KEY = ["entity_id", "entity_type", "target_type"], ["source_entity_id", "target_type"]
 
 
 def trail_entries(entries: DataFrame) -> DataFrame:
@@ -77,6 +79,16 @@ def intents(log: DataFrame, run_id: str) -> DataFrame:
     return own.where("operation <> 'commit'").crossJoin(marked).withColumn("committed", F.coalesce("committed", F.lit(False)) | F.col("__done")).drop("__done").orderBy("id")
 
 
+def put_unmatched(unmatched: DataFrame, rows: DataFrame) -> DataFrame:
+    """Unmatched entities with ``rows`` in place of older ones of their key."""
+    return merge.upsert(unmatched, rows.dropDuplicates(UNMATCHED_KEY), UNMATCHED_KEY)
+
+
+def add_ambiguous(ambiguous: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ambiguous matches with those of ``rows`` whose source and target type are new."""
+    return merge.insert_absent(ambiguous, rows, AMBIGUOUS_KEY)
+
+
 def waiting(unmatched: DataFrame, entity_type: str, target_type: str | None = None) -> DataFrame:
     """Unmatched entities of a type, on demand towards one target type."""
     rows = unmatched.where(F.col("entity_type") == entity_type)
@@ -106,9 +118,12 @@ def enriched(suspicious: DataFrame, enrichment: DataFrame, order: list[Column],
     return suspicious.join(found, "txn_id", "left")
 
 
-def listed(findings: DataFrame, kind: str, order: list[Column]) -> DataFrame:
-    """The first findings of a kind, as many as its list shows; ``order`` is total."""
-    return findings.orderBy(*order).limit(LISTED[kind])
+def listed(findings: DataFrame, kind: str, order: list[Column], limit: int | None = None) -> DataFrame:
+    """The first findings of a kind, as many as its list shows or ``limit``; ``order`` is total.
+
+    Operators return all findings; only a report is cut.
+    """
+    return findings.orderBy(*order).limit(LISTED[kind] if limit is None else limit)
 
 
 def resolved(spark: SparkSession, name: str, given: DataFrame | None = None, load: Callable[[str], DataFrame] | None = None) -> DataFrame:

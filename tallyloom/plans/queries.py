@@ -741,6 +741,40 @@ def s22_intents(spark, sf):
     return control.intents(planned.unionByName(marks), run).select(F.col("run_id").cast("bigint").alias("run_id"), "operation", "id", "committed")
 
 
+@query("SELECT 'E' || event_id AS entity_id, CASE WHEN event_type = 'click' THEN 'new' ELSE 'old' END AS reason_code FROM events")
+def k7_put_unmatched(spark, sf):
+    rows = C.table(spark, sf, "events").selectExpr("concat('E', event_id) AS entity_id", "event_type AS entity_type", "'email' AS target_type", "'old' AS reason_code")
+    return control.put_unmatched(rows, rows.where("entity_type = 'click'").withColumn("reason_code", F.lit("new"))).select("entity_id", "reason_code")
+
+
+@query("WITH o AS (SELECT 'C' || o_custkey AS s, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), n AS (SELECT DISTINCT 'C' || o_custkey AS s FROM orders WHERE o_orderstatus <> 'F') SELECT s AS source_entity_id, 'pending' AS status FROM o UNION ALL SELECT s, 'resolved' FROM n WHERE s NOT IN (SELECT s FROM o)")
+def k9_add_ambiguous(spark, sf):
+    rows = C.table(spark, sf, "orders").selectExpr("concat('C', o_custkey) AS source_entity_id", "'email' AS target_type", "CASE WHEN o_orderstatus = 'F' THEN 'pending' ELSE 'resolved' END AS status")
+    old = rows.where("status = 'pending'").dropDuplicates(control.AMBIGUOUS_KEY)
+    return control.add_ambiguous(old, rows.where("status = 'resolved'")).select("source_entity_id", "status")
+
+
+@query("SELECT event_type AS entity_type, CASE WHEN event_type IN ('click', 'view') THEN '2024-03-01' ELSE strftime(max(ts), '%Y-%m-%d') END AS day, CASE WHEN event_type IN ('click', 'view') THEN 'run' ELSE 'before' END AS last_run_id FROM events GROUP BY 1 UNION SELECT x, '2024-03-01', 'run' FROM (VALUES ('click'), ('view')) v(x)")
+def k12_watermarks(spark, sf):
+    marks = C.table(spark, sf, "events").groupBy(F.col("event_type").alias("entity_type")).agg(F.max("ts").cast("timestamp").alias("last_ingested_at")).withColumn("last_run_id", F.lit("before"))
+    return incremental.advanced(marks, ["click", "view"], "run", F.lit("2024-03-01").cast("timestamp")).select("entity_type", F.date_format("last_ingested_at", "yyyy-MM-dd").alias("day"), "last_run_id")
+
+
+@query("SELECT strftime(max(ts), '%Y-%m-%d') AS after_a_run, strftime(DATE '2024-03-01' - 90, '%Y-%m-%d') AS at_first FROM events WHERE event_type = 'purchase'")
+def f8_start_date(spark, sf):
+    marks = C.table(spark, sf, "events").selectExpr("CASE event_type WHEN 'purchase' THEN 'transaction' ELSE 'email' END AS entity_type", "CAST(ts AS timestamp) AS last_ingested_at")
+    at = F.lit("2024-03-01").cast("timestamp")
+    first = incremental.start_date(marks.where("false"), at).select(F.date_format("start_date", "yyyy-MM-dd").alias("at_first"))
+    return incremental.start_date(marks, at).select(F.date_format("start_date", "yyyy-MM-dd").alias("after_a_run")).crossJoin(first)
+
+
+@query(f"WITH {C.LINKS} SELECT link_id, source_id FROM cur WHERE k = (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 1)")
+def s20_point(spark, sf):
+    cur, _ = C.links(spark, sf)
+    k = C.table(spark, sf, "orders").where("o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 1").agg(F.min("o_orderkey")).first()[0]
+    return readers.point(cur, source_id=f"S{k}", is_current=True).select("link_id", "source_id")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00Z' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at, CASE event_type WHEN 'click' THEN round(0.0001 * event_id, 4) WHEN 'view' THEN round(0.0005 * event_id, 4) ELSE 0 END::double AS cost FROM events")
 def c15_c21_times_and_costs(spark, sf):
     e = C.table(spark, sf, "events")

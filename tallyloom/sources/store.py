@@ -9,6 +9,7 @@ file systems.
 from __future__ import annotations
 
 import json
+import math
 import re
 import time
 import uuid
@@ -25,6 +26,21 @@ def identifier(name: str) -> str:
     return name
 
 
+def literal(text: str) -> str:
+    """``text`` for a place in SQL where no parameter can stand: without statement ends and comments, quotes doubled."""
+    if any(x in text for x in (";", "--", "/*")):
+        raise ValueError(f"not a literal: {text!r}")
+    return text.replace("'", "''")
+
+
+def number(value: object) -> float:
+    """A finite number, or an error."""
+    out = float(value)
+    if not math.isfinite(out):
+        raise ValueError(f"not a number: {value!r}")
+    return out
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")

@@ -149,6 +149,18 @@ def test_limits_have_a_total_order(spark):
     assert control.enriched(rows, rows.select("txn_id", F.lit(1).alias("x")), [], None).where("x = 1").count() == 300
 
 
+def test_literals_and_numbers():
+    from tallyloom.sources.store import literal, number
+
+    assert literal("it's") == "it''s" and number("1.5") == 1.5
+    for bad in ("a; drop", "a -- b", "/* x"):
+        with pytest.raises(ValueError):
+            literal(bad)
+    for bad in ("x", "nan", "inf"):
+        with pytest.raises(ValueError):
+            number(bad)
+
+
 def test_rules_are_written_and_read(tmp_path):
     path = str(tmp_path / "deep" / "rules.json")
     assert config.load_rules(path) == config.AUDIT
