@@ -158,6 +158,5 @@ def gram_key(c: Column) -> Column:
 def grams(c: Column) -> Column:
     """The distinct runs of at most three characters of a text, the empty one too: keys for an equi-join before ``contains``."""
     text = F.coalesce(c, F.lit(""))
-    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(text, i, n))))
-    return F.array_distinct(F.concat(F.array(F.lit("")), runs))
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{n}}}))"), F.lit(1)) for n in (1, 2, 3)]  # at every place, the longest
+    return F.array_distinct(F.concat(F.array(F.lit("")), *runs))

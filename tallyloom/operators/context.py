@@ -9,14 +9,21 @@ from tallyloom.functions import text as T
 from tallyloom.functions.text import APPROVALS
 
 
-def _near(transactions: DataFrame, others: DataFrame, other_date: str, days: int, text: Column) -> DataFrame:
+def _near(transactions: DataFrame, others: DataFrame, other_date: str, ident: str, days: int, text: Column) -> DataFrame:
     """Each vendor and day of the transactions, once, with the others within ``days`` that may name the vendor.
 
-    Joined by day and the vendor's first three letters, which ``text`` must hold; the caller verifies the whole name.
+    Joined by day and the vendor's first three letters, which ``text`` must hold; only ids and letters are multiplied,
+    and the caller verifies the whole name. The distinct groups of three letters, no more than the alphabet has, are one
+    row that every text is searched for.
     """
     around = F.explode(F.sequence(F.date_sub("__d", days), F.date_add("__d", days)))
     keys = _keyed(transactions).select("__v", "__d").distinct().select("__v", "__d", around.alias("__day"), T.gram_key(F.col("__v")).alias("__g"))
-    return keys.join(others.withColumn("__day", F.to_date(other_date)).withColumn("__g", F.explode(T.grams(text))), ["__day", "__g"])
+    dated = others.withColumn("__day", F.to_date(other_date))
+    letters = F.broadcast(_keyed(transactions).agg(F.collect_set(T.gram_key(F.col("__v"))).alias("__keys")))
+    searched = dated.select(F.col(ident).alias("__id"), "__day", text.alias("__text")).crossJoin(letters)
+    held = searched.select("__id", "__day", F.explode(F.filter("__keys", lambda k: F.contains(F.col("__text"), k))).alias("__g"))
+    met = keys.join(held, ["__day", "__g"]).select("__v", "__d", "__day", "__id").distinct().withColumnRenamed("__day", "__on")
+    return met.join(dated, (F.col("__id") == F.col(ident)) & (F.col("__on") == F.col("__day"))).drop("__id", "__on")
 
 
 def _keyed(transactions: DataFrame) -> DataFrame:
@@ -27,13 +34,13 @@ def email_evidence(transactions: DataFrame, emails: DataFrame, days: int = 3, mo
     """(txn_id, message_id, confidence, rank): messages within ``days`` that name the vendor; 0.9 in the subject, else 0.7."""
     in_subject, in_body = (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("__v")) for c in ("subject", "body_preview"))
     both = F.lower(F.concat_ws("\n", "subject", "body_preview"))
-    hits = _near(transactions, emails, "received_at", days, both).where(in_subject | in_body).withColumn("confidence", F.when(in_subject, 0.9).otherwise(0.7))
+    hits = _near(transactions, emails, "received_at", "message_id", days, both).where(in_subject | in_body).withColumn("confidence", F.when(in_subject, 0.9).otherwise(0.7))
     return _first(transactions, hits.select("__v", "__d", "pos", "message_id", "confidence"), "pos", "message_id", most).select("txn_id", "message_id", "confidence", "rank")
 
 
 def event_evidence(transactions: DataFrame, events: DataFrame, days: int = 3, most: int = 5) -> DataFrame:
     """(txn_id, event_id, rank): events within ``days`` whose subject names the vendor."""
-    hits = _near(transactions, events, "start_time", days, F.lower("subject")).where(F.contains(F.lower(F.coalesce("subject", F.lit(""))), F.col("__v")))
+    hits = _near(transactions, events, "start_time", "event_id", days, F.lower("subject")).where(F.contains(F.lower(F.coalesce("subject", F.lit(""))), F.col("__v")))
     return _first(transactions, hits.select("__v", "__d", "pos", "event_id"), "pos", "event_id", most).select("txn_id", "event_id", "rank")
 
 
