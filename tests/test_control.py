@@ -199,13 +199,16 @@ def test_a_vendor_that_is_active_daily_falls_apart_by_amounts(spark):
 
 
 def test_a_cluster_needs_a_shared_folder():
-    class Context:
-        master = "spark://host:7077"
-
     class Conf:
         def get(self, key, default=None):
             return default
 
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
     class Session:
         sparkContext, conf = Context(), Conf()
 
