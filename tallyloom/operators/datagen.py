@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from datetime import date, datetime, time, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,50 @@ def orphans(cards: DataFrame, bank: DataFrame, phantom: int = 50, dropped: int =
     return cards.withColumn("is_phantom", F.lit(False)).unionByName(made.withColumn("is_phantom", F.lit(True))), bank.join(gone, ident, "left_anti")
 
 
+def _name(k: int) -> str:
+    """A made-up name of two long words, unlike those of other numbers."""
+    letters = hashlib.md5(f"name {k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghklmnoprs"))
+    return f"{letters[:9].capitalize()} {letters[9:19].capitalize()}"
+
+
+def scenario(spark, composite: int = 8, fuzzy: int = 20, boundary: int = 8, ambiguous: int = 6, lone: int = 10, planned: int = 5, stays: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transactions, emails, events) of a made-up business, as many of each case as asked for.
+
+    composite: one name and day in transaction and email; fuzzy: an email one or two days later; boundary: an email three
+    days later, or, every second one, four; ambiguous: two emails near the day; lone: no email; planned: an email and an
+    event without a transaction; stays: a transaction and an event.
+    """
+    start, t, e, c = date(2026, 3, 10), [], [], []
+
+    def add(merchant: str, day: int, emails: list[int], raw: bool = False) -> None:
+        k = len(t)
+        t.append((k, f"t{k:03d}", None if raw else merchant, f"{merchant.upper()} 0{k:03d}" if raw else None, start + timedelta(days=day)))
+        for later in emails:
+            e.append((len(e), f"m{len(e):03d}", merchant, datetime.combine(start, time(9)) + timedelta(days=day + later)))
+
+    for i in range(composite):
+        add(_name(i), i, [0])
+    for i in range(fuzzy):
+        add(_name(100 + i), i, [1 + i % 2])
+    for i in range(boundary):
+        add(_name(200 + i), i, [3 + i % 2])
+    for i in range(ambiguous):
+        add(_name(300 + i), i, [1, 2])
+    for i in range(lone):
+        add(_name(400 + i), i, [])
+    for i in range(stays):
+        add(_name(500 + i), i, [])
+        c.append((len(c), f"c{len(c):03d}", _name(500 + i), datetime.combine(start, time(15)) + timedelta(days=i)))
+    for i in range(planned):
+        e.append((len(e), f"m{len(e):03d}", _name(600 + i), datetime.combine(start, time(9)) + timedelta(days=i)))
+        c.append((len(c), f"c{len(c):03d}", _name(600 + i), datetime.combine(start, time(14)) + timedelta(days=i)))
+    return (
+        spark.createDataFrame(t, "pos int, transaction_id string, merchant_name string, name string, date date"),
+        spark.createDataFrame(e, "pos int, message_id string, subject string, received_at timestamp"),
+        spark.createDataFrame(c, "pos int, event_id string, subject string, start_time timestamp"),
+    )
+
+
 def matching_scenario(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A small hand-made set (transactions, emails, events) with composite, fuzzy, boundary, ambiguous and lone rows."""
     t = [("t1", "Acme Tools", None, "2026-03-10"), ("t2", None, "STARBUCKS STORE 12345", "2026-03-11"), ("t3", "Northwind Traders", None, "2026-03-12"), ("t4", "Bluebird Cafe", None, "2026-03-13"), ("t5", None, "PAYROLL 8831", "2026-03-14"), ("t6", "Lakeside Hotel", None, "2026-03-15")]

@@ -307,6 +307,15 @@ def j7_unmatched(spark, sf):
     return matching.match_all(*datagen.matching_scenario(spark)).unmatched.select("entity_id", "target_type")
 
 
+@query("""SELECT source_type, target_type, outcome, n::bigint AS n FROM (VALUES ('transaction', 'email', 'tier2_composite', 8), ('transaction', 'email', 'tier3_fuzzy', 24), ('transaction', 'email', 'ambiguous', 6), ('transaction', 'email', 'unmatched', 17), ('transaction', 'calendar_event', 'tier2_composite', 3), ('transaction', 'calendar_event', 'unmatched', 52),
+    ('email', 'calendar_event', 'tier2_composite', 5), ('email', 'transaction', 'unmatched', 4)) v(source_type, target_type, outcome, n)""")
+def g4_scenario(spark, sf):
+    """Outcomes of the made-up business: 8 composite, 20 fuzzy and 4 of 8 boundary pairs, 6 ambiguous, the rest unmatched."""
+    m = matching.match_all(*datagen.scenario(spark))
+    parts = [m.links.select("source_type", "target_type", F.col("match_tier").alias("outcome")), m.ambiguous.select("source_type", "target_type", F.lit("ambiguous").alias("outcome")), m.unmatched.select(F.col("entity_type").alias("source_type"), "target_type", F.lit("unmatched").alias("outcome"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("source_type", "target_type", "outcome").agg(F.count("*").alias("n"))
+
+
 # ------------------------------------------------------------------------------------------------------ merges
 
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SLOW = {"j6_all_pairs", "j7_unmatched", "pipeline"}
+SLOW = {"j6_all_pairs", "j7_unmatched", "pipeline"}  # hand-made scenarios: tests/test_linking.py holds them
 
 
 @pytest.fixture(scope="module")
