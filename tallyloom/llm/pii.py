@@ -55,7 +55,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = ("(at)", "[at]", "{at}")
-_SPELT = re.compile(r" ?[(\[{]at[)\]}] ?([A-Za-z0-9-]+(?: ?(?:[(\[{]dot[)\]}]|\.) ?[A-Za-z0-9-]+)+)", re.I)
+_SPELT = re.compile(r" ?[(\[{]at[)\]}] ?([A-Za-z0-9-]+(?:(?: ?[(\[{]dot[)\]}] ?|\.| dot )[A-Za-z0-9-]+)+)", re.I)
 _USERINFO = re.compile(r"[^\s/?#@]{1,256}@")
 _BRACKETED = re.compile(r"\[([0-9A-Fa-f:.]{2,45})\]")
 _HEX = frozenset("0123456789abcdefABCDEF:")
@@ -148,7 +148,7 @@ class _Reader:
         blank = self.text[i - 1 : i] == " "
         start = _back(self.text, i - blank, max(self.free["spelt"], i - 65), _LOCAL.__contains__)
         found = _SPELT.match(self.text, i - blank, i + 300)
-        if found and start < i - blank and re.search(r"dot|\.", found.group(1)):
+        if found and start < i - blank:
             self.more.append(("email", start, found.end()))
             self.free["spelt"] = found.end()
 
