@@ -11,7 +11,7 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -147,6 +147,27 @@ def visible_text_udf(html: pd.Series) -> pd.Series:
     return html.map(visible_text)
 
 
+def letter_facts(text: Column) -> Column:
+    """Length, words, length of the distinct words, and every letter with its number among its likes: what
+    ``weighted_bound`` needs of a text."""
+    signs, words = F.array_sort(F.split(text, "")), F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    numbered = F.transform(signs, lambda c, i: F.concat(c, (i - F.array_position(signs, c)).cast("string")))
+    return F.struct(F.length(text).alias("n"), words.alias("words"), F.length(F.array_join(words, " ")).alias("m"), numbered.alias("letters"))
+
+
+def weighted_bound(a: Column, b: Column) -> Column:
+    """The weighted ratio (0 to 1) of two texts is at most this, by their ``letter_facts``.
+
+    A common word: 1. Else no part of the score finds more letters in common than both texts have, ``c``: a ratio of
+    lengths n and m is at most 2c / (n + m), and one against a window, which may be cut, at most 2c / (shorter + c).
+    """
+    c, least = F.size(F.array_intersect(a["letters"], b["letters"])), F.least(a["m"], b["m"])
+    plain, words = 2 * c / (a["n"] + b["n"]), 2 * c / (a["m"] + b["m"])
+    close = F.greatest(a["n"], b["n"]) < 1.5 * F.least(a["n"], b["n"])
+    bound = F.when(close, F.greatest(plain, 0.95 * words)).otherwise(F.greatest(plain, 0.9 * 2 * c / (least + c)))
+    return F.when(F.arrays_overlap(a["words"], b["words"]) | (least == 0) | (c == 0) & (least + c == 0), F.lit(1.0)).otherwise(bound)
+
+
 def edit_similarity(a, b):
     """1 - edit distance over the longer length, in the JVM."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))

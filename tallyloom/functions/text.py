@@ -150,13 +150,14 @@ def token_cost(model: Column, tokens: Column, prices: dict[str, float]) -> Colum
     return (F.coalesce(F.element_at(F.create_map(*pairs), model), F.lit(0.0)) * tokens).cast("decimal(10,4)") if pairs else F.lit(0).cast("decimal(10,4)")
 
 
-def gram_key(c: Column) -> Column:
-    """The first three characters: a text that contains ``c`` has them among its ``grams``."""
-    return F.substring(c, 1, 3)
+def own_grams(c: Column) -> Column:
+    """The distinct runs of three characters of a name, of a shorter one itself: a text that contains it has all of them
+    among its ``grams``."""
+    return F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))))
 
 
 def grams(c: Column) -> Column:
     """The distinct runs of at most three characters of a text, the empty one too: keys for an equi-join before ``contains``."""
-    text = F.coalesce(c, F.lit(""))
-    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{n}}}))"), F.lit(1)) for n in (1, 2, 3)]  # at every place, the longest
-    return F.array_distinct(F.concat(F.array(F.lit("")), *runs))
+    runs = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?s)(?=(.{1,3}))"), F.lit(1)))  # at every place, the longest
+    every = F.transform(F.array(runs), lambda r: F.concat(F.array(F.lit("")), r, F.transform(r, lambda g: F.substring(g, 1, 1)), F.transform(r, lambda g: F.substring(g, 1, 2))))
+    return F.array_distinct(F.flatten(every))  # within an array of one, so that the runs are found once

@@ -84,6 +84,7 @@ class Queries:
         self.gate(user_hash)
         if signal not in VALUES["feedback_signal"] or source not in VALUES["feedback_source"]:
             raise ValueError(f"unknown signal or source: {signal}, {source}")
+        self._logged("write_feedback", link_id)
         self.store.append("link_feedback", self.spark.range(1).select(*feedback_row(F.lit(link_id), F.lit(signal), F.lit(source), F.lit(reason), self.at)))
 
     def last_run(self) -> DataFrame:

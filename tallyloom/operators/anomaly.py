@@ -35,13 +35,21 @@ def vendor_outliers(df: DataFrame, profiles: DataFrame, vendor: str, value: str,
 
 
 def rolling_deviation(df: DataFrame, order: list[str], value: str, by: list[str], percent: float = AUDIT.rolling_percent, rows: int = 3) -> DataFrame:
-    """Add rolling_mean over the row and the ``rows - 1`` before it, deviation_pct and is_deviation; too few rows: nulls."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    frame = w.rowsBetween(-(rows - 1), 0)
-    mean = F.when(F.count(value).over(frame) >= rows, F.avg(value).over(frame))
-    out = df.withColumn("rolling_mean", mean)
-    pct = F.try_divide(F.abs(F.col(value) - F.col("rolling_mean")), F.abs("rolling_mean")) * 100
-    return out.withColumn("deviation_pct", pct).withColumn("is_deviation", F.coalesce(F.col("deviation_pct") > percent, F.lit(False)))
+    """Add rolling_mean over the row and up to ``rows - 1`` before it, deviation_pct and is_deviation, for each ``by``.
+
+    Groups of fewer than ``rows`` rows have nulls; in others the first rows are held against what there is before them.
+    The work of a group is one task's; ``ordered.rolling_deviation`` takes the order over all rows.
+    """
+    w = Window.partitionBy(*by)
+    mean = F.when(F.count("*").over(w) >= rows, F.avg(value).over(w.orderBy(*order).rowsBetween(-(rows - 1), 0)))
+    return deviating(df.withColumn("rolling_mean", mean), value, percent)
+
+
+def deviating(df: DataFrame, value: str, percent: float) -> DataFrame:
+    """Add deviation_pct from ``rolling_mean`` and is_deviation; from a mean of zero any other value deviates infinitely."""
+    off = F.abs(F.col(value) - F.col("rolling_mean"))
+    pct = F.when(F.col("rolling_mean") == 0, F.when(off > 0, F.lit(float("inf")))).otherwise(off / F.abs("rolling_mean") * 100)
+    return df.withColumn("deviation_pct", pct).withColumn("is_deviation", F.coalesce(F.col("deviation_pct") > percent, F.lit(False)))
 
 
 def combined_score(df: DataFrame) -> DataFrame:

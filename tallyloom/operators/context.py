@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.functions.text import APPROVALS
+from tallyloom.operators.reconcile import rarest
+from tallyloom.session import cut
 
 
 def _near(transactions: DataFrame, others: DataFrame, other_date: str, ident: str, days: int, text: Column) -> DataFrame:
     """Each vendor and day of the transactions, once, with the others within ``days`` that may name the vendor.
 
-    Joined by day and the vendor's first three letters, which ``text`` must hold; only ids and letters are multiplied,
-    and the caller verifies the whole name. The distinct groups of three letters, no more than the alphabet has, are one
-    row that every text is searched for.
+    Joined by day and the vendor's rarest group of three letters among the texts; only ids and letters are multiplied,
+    and the caller verifies the whole name. How rare a group is, is judged by one text in sixteen: that decides on keys
+    alone, and every text is searched. Groups that are no vendor's key go in a semi-join before the shuffle.
     """
     around = F.explode(F.sequence(F.date_sub("__d", days), F.date_add("__d", days)))
-    keys = _keyed(transactions).select("__v", "__d").distinct().select("__v", "__d", around.alias("__day"), T.gram_key(F.col("__v")).alias("__g"))
+    wanted = cut(_keyed(transactions).select("__v", "__d").distinct())
     dated = others.withColumn("__day", F.to_date(other_date))
-    letters = F.broadcast(_keyed(transactions).agg(F.collect_set(T.gram_key(F.col("__v"))).alias("__keys")))
-    searched = dated.select(F.col(ident).alias("__id"), "__day", text.alias("__text")).crossJoin(letters)
-    held = searched.select("__id", "__day", F.explode(F.filter("__keys", lambda k: F.contains(F.col("__text"), k))).alias("__g"))
+    groups = dated.select(F.col(ident).alias("__id"), "__day", F.explode(T.grams(text)).alias("__g"))
+    judged = dated.where(F.pmod(F.xxhash64(ident), F.lit(16)) == 0).select(F.explode(T.grams(text)).alias("__g"))
+    vendors = cut(rarest(wanted.select("__v").distinct(), "__v", judged, whole=False))
+    held = groups.join(vendors.select("__g").distinct(), "__g", "left_semi")
+    keys = wanted.join(vendors, "__v").select("__v", "__d", "__g", around.alias("__day"))
     met = keys.join(held, ["__day", "__g"]).select("__v", "__d", "__day", "__id").distinct().withColumnRenamed("__day", "__on")
     return met.join(dated, (F.col("__id") == F.col(ident)) & (F.col("__on") == F.col("__day"))).drop("__id", "__on")
 

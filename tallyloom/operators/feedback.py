@@ -40,7 +40,7 @@ def process(links: DataFrame, unmatched: DataFrame, feedback: DataFrame, at: Col
 def best_link(links: DataFrame) -> DataFrame:
     """(txn_id, link_id, confidence): of each transaction's current links the one of greatest confidence, then least id."""
     rows = links.where("is_current AND source_type = 'transaction'")
-    best = F.max_by(F.struct("link_id", "confidence"), F.struct("confidence", -F.xxhash64("link_id")))
+    best = F.min(F.struct(F.col("confidence").isNull().alias("none"), (-F.col("confidence")).alias("less"), "link_id", "confidence"))
     return rows.groupBy(F.col("source_id").alias("txn_id")).agg(best.alias("b")).select("txn_id", "b.link_id", "b.confidence")
 
 
@@ -76,16 +76,18 @@ def rule_false_positives(flags: DataFrame, least: float = AUDIT.rule_fp) -> Data
     return rows.withColumn("raise_sigma", (F.col("fp_rate") > least) & F.contains("explanation", F.lit("amount_outlier")))
 
 
-def tuned(flags: DataFrame, rules: AuditRules = AUDIT, now: Column | None = None, days: int = 7) -> AuditRules:
-    """Rules after a review: noisy vendors whitelisted, the global sigma raised by half for each noisy amount rule.
+def tuned(flags: DataFrame, rules: AuditRules = AUDIT, now: Column | None = None, days: int = 7) -> tuple[AuditRules, DataFrame]:
+    """(rules, whitelist) after a review: the global sigma raised by half for each noisy amount rule, and the noisy vendors.
 
-    now: judge the flags of the last ``days`` days before it; all flags if left out. All noisy vendors are listed,
-    however many; the names are held by the driver, as rules are. ``config.save_rules`` writes the result.
+    now: judge the flags of the last ``days`` days before it; all flags if left out. The whitelist (vendor) is a table,
+    with the vendors of the given rules among its rows; ``severity.whitelisted`` joins it, so neither the driver nor a
+    plan grows with it. ``config.save_rules`` writes the rules.
     """
     flags = flags if now is None else recent(flags, now, days)
-    vendors = [r["vendor"] for r in vendor_false_positives(flags).where("whitelist").select("vendor").collect()]
+    noisy = vendor_false_positives(flags).where("whitelist").select("vendor")
+    known = flags.sparkSession.createDataFrame([(v,) for v in rules.whitelisted], "vendor string")
     steps = rule_false_positives(flags).where("raise_sigma").count()
-    return replace(rules, whitelisted=tuple(sorted({*rules.whitelisted, *vendors})), sigma_global=rules.sigma_global + 0.5 * steps)
+    return replace(rules, sigma_global=rules.sigma_global + 0.5 * steps), noisy.unionByName(known).distinct()
 
 
 def feedback_metrics(feedback: DataFrame, now: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import CONFIDENCE, ENTITY_DATE, ENTITY_ID, FUZZY_FLOOR, RULE_VERSION, RULES, PairRule
 from tallyloom.functions import text as T
-from tallyloom.functions.similarity import scored_pairs
+from tallyloom.functions.similarity import letter_facts, scored_pairs, weighted_bound
 from tallyloom.session import cut
 
 
@@ -74,12 +74,19 @@ def window_pairs(source: DataFrame, target: DataFrame, days: int, least: float,
 
     The distinct texts of a day meet first, around the source's days, and each pair of texts is scored once, however many
     rows have them; rows are joined by text and day to the pairs that reach the score. For the edit scorer, texts whose
-    lengths alone keep them below it don't meet.
+    lengths alone keep them below it don't meet; for the weighted one, texts without a common word whose common letters
+    keep them below it are dropped before they are scored.
     """
     around = F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days)))
     s = source.where(F.col("day").isNotNull() & F.col("fuzzy").isNotNull()).select(F.col("entity_id").alias("source_id"), F.col("fuzzy").alias("s_text"), "fuzzy_field", around.alias("day"))
     t = target.where(F.col("fuzzy").isNotNull()).select(F.col("entity_id").alias("target_id"), F.col("pos").alias("t_pos"), F.col("fuzzy").alias("t_text"), F.col("fuzzy_field").alias("t_field"), "day")
-    met = s.select("s_text", "day").distinct().join(t.select("t_text", "day").distinct(), "day").select("s_text", "t_text")
+    one, two = s.select("s_text", "day").distinct(), t.select("t_text", "day").distinct()
+    if scorer == "weighted":
+        one, two = (d.withColumn(f"{side}_facts", letter_facts(F.col(f"{side}_text"))) for d, side in ((one, "s"), (two, "t")))
+    met = one.join(two, "day")
+    if scorer == "weighted":
+        met = met.where(weighted_bound(F.col("s_facts"), F.col("t_facts")) >= least - 1e-9)
+    met = met.select("s_text", "t_text")
     if scorer == "edit":
         one, two = F.length("s_text"), F.length("t_text")
         met = met.where(F.least(one, two) >= F.greatest(one, two) * least - 1e-9)

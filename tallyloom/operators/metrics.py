@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.config import CONFIDENCE_BANDS
+
 
 def confusion(found: DataFrame, truth: DataFrame, total: int | None = None, ident: str = "txn_id", everything: DataFrame | None = None) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1, accuracy of one id set against another; undefined ratios are null."""
@@ -21,6 +23,22 @@ def confusion(found: DataFrame, truth: DataFrame, total: int | None = None, iden
     return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("__all")
 
 
+def confusion_by(found: DataFrame, truth: DataFrame, everything: DataFrame, by: str, ident: str = "txn_id") -> DataFrame:
+    """``confusion`` of every data set in one grouped aggregate; the data sets are the values of ``by`` in ``everything``."""
+    sides = [d.select(by, F.col(ident).alias("i"), *(F.lit(int(k == s)).alias(k) for k in "fca")) for s, d in zip("fca", (found, truth, everything), strict=True)]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy(by, "i").agg(*(F.max(k).alias(k) for k in "fca"))
+    counts = rows.groupBy(by).agg(F.sum(F.col("f") * F.col("c")).alias("tp"), F.sum(F.col("f") * (1 - F.col("c"))).alias("fp"), F.sum((1 - F.col("f")) * F.col("c")).alias("fn"), F.sum("a").alias("__all")).where("__all > 0")
+    counts = counts.withColumn("tn", F.col("__all") - F.col("tp") - F.col("fp") - F.col("fn"))
+    out = counts.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("__all"))})
+    return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("__all")
+
+
+def confidence_band(confidence: Column) -> Column:
+    """high, medium or ambiguous by the least confidence of each band; below them, or without one: none."""
+    bands = sorted(CONFIDENCE_BANDS.items(), key=lambda kv: -kv[1])
+    return F.coalesce(*(F.when(confidence >= least, F.lit(name)) for name, least in bands), F.lit("none"))
+
+
 def macro_average(scores: DataFrame, pass_mark: float = 0.80) -> DataFrame:
     return scores.agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")), F.count_if(F.col("f1") >= pass_mark).alias("passed"), F.count("*").alias("datasets"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT
 from tallyloom.functions import text as T
-from tallyloom.functions.similarity import sequence_ratio_udf
+from tallyloom.functions.similarity import scored_pairs
+from tallyloom.session import cut
 
 PAIR = "source_1_id string, source_2_id string, confidence double, date_diff int, amount double, vendor string"
 
@@ -56,20 +59,47 @@ def islands(pairs: DataFrame, by: list[str], low: str, high: str, name: str) ->
     return pairs.join(numbered, [*by, low, high])
 
 
-def cross_source(one: DataFrame, two: DataFrame, tolerance: float = AUDIT.amount_tolerance, days: int = AUDIT.date_window_days) -> DataFrame:
+def agreed(pairs: DataFrame) -> DataFrame:
+    """Add ``chosen`` (the pair stands first for both its rows) and ``gone`` (one of its rows is in a chosen pair).
+
+    Pairs are ordered by the rows' positions, first source first: going through them in that order, a pair that is the
+    first of both its rows is always taken, whatever happens elsewhere.
+    """
+    by_a, by_b, order = Window.partitionBy("a_id"), Window.partitionBy("b_id"), F.struct("a_pos", "b_pos", "a_id", "b_id")
+    first = pairs.withColumn("__b", F.min(order).over(by_b)).withColumn("chosen", (F.col("__b") == order) & (F.min(order).over(by_a) == order))
+    return first.withColumn("__a", F.max("chosen").over(by_a)).withColumn("gone", F.max("chosen").over(by_b) | F.col("__a")).drop("__a", "__b")
+
+
+def cross_source(one: DataFrame, two: DataFrame, tolerance: float = AUDIT.amount_tolerance, days: int = AUDIT.date_window_days, rounds: int = 6) -> DataFrame:
     """One-to-one pairs, greedily in row order: each row takes the first partner that is still free.
 
-    Only candidate pairs that are connected can compete. Pairs that share a row overlap in its day and in its amount, so
-    a vendor's pairs are parted where no interval of days, and within that none of amounts, overlaps, and once more: a
-    vendor that is active daily falls apart by its amounts.
+    Candidates are found once. In each round the pairs that are the first choice of both their rows are taken, and all
+    pairs of these rows go; a pair without rivals is a row of the first round, and few rounds settle nearly all. What
+    ``rounds`` leave are dense knots, where each choice waits for the one before. These are parted where no interval of
+    days, and within that none of amounts, overlaps, and once more, as pairs that share a row overlap in both; each part
+    is gone through in order. A knot that never parts is one group.
     """
-    a_day, b_day = F.to_date("a_date"), F.to_date("b_date")
-    found = candidates(one, two, tolerance, days).withColumns(
-        {"d0": F.least(a_day, b_day), "d1": F.greatest(a_day, b_day), "m0": F.least("a_amount", "b_amount"), "m1": F.greatest("a_amount", "b_amount")}
+    rest, found = candidates(one, two, tolerance, days), []
+    for _ in range(rounds):
+        marked = cut(agreed(rest))
+        found.append(marked.where("chosen").dropDuplicates(["a_id"]))
+        rest = marked.where("NOT gone").drop("chosen", "gone")
+        if rest.isEmpty():
+            break
+    exact = (F.col("date_diff") == 0) & (F.col("a_amount") == F.col("b_amount"))
+    pairs = reduce(DataFrame.unionByName, found).select(
+        F.col("a_id").alias("source_1_id"), F.col("b_id").alias("source_2_id"), F.when(exact, 0.95).otherwise(0.85).alias("confidence"), "date_diff", F.col("a_amount").alias("amount"), "vendor"
     )
+    return pairs if len(found) < rounds or rest.isEmpty() else pairs.unionByName(knots(rest))
+
+
+def knots(pairs: DataFrame) -> DataFrame:
+    """Greedy pairs of connected candidates, group by group."""
+    a_day, b_day = F.to_date("a_date"), F.to_date("b_date")
+    found = pairs.withColumns({"d0": F.least(a_day, b_day), "d1": F.greatest(a_day, b_day), "m0": F.least("a_amount", "b_amount"), "m1": F.greatest("a_amount", "b_amount")})
     by = ["vendor"]
     for k, (low, high) in enumerate([("d0", "d1"), ("m0", "m1"), ("d0", "d1"), ("m0", "m1")]):
-        found = islands(found, by, low, high, f"island{k}")
+        found = cut(islands(found, by, low, high, f"island{k}"))
         by = [*by, f"island{k}"]
     return found.groupBy(*by).applyInPandas(_greedy, PAIR)
 
@@ -97,16 +127,28 @@ def orphans(df: DataFrame, keys: list[str], source: str = "source") -> DataFrame
     return df.withColumns({"__a": F.min(source).over(per), "__b": F.max(source).over(per)}).where("__a = __b").drop("__a", "__b")
 
 
+def rarest(names: DataFrame, name: str, held: DataFrame, whole: bool = True) -> DataFrame:
+    """Add ``__g``: of a name's letter groups the one that the fewest rows of ``held`` (``__g``) have.
+
+    Any group will do as the key of a join before ``contains``; the rarest makes the fewest candidates. Where ``held`` is
+    of all texts (``whole``), names with a group that no row has can be contained in none and are left out.
+    """
+    counts = held.groupBy("__g").agg(F.count("*").alias("__n"))
+    own = names.select(name, F.explode(T.own_grams(F.col(name))).alias("__g")).join(counts, "__g", "left")
+    least = own.groupBy(name).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__k"))
+    return (least.where("__k.n > 0") if whole else least).select(name, "__k.__g")
+
+
 def known_entities(names: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
     """(name, entity_id, canonical_name, confidence): by canonical name or a mention in the aliases; else unknown_<slug>, 0.
 
-    Two equi-joins, by the canonical name and by the name's first three letters in the aliases; names are asked for once.
+    Two equi-joins, by the canonical name and by the name's rarest letter group in the aliases; names are asked for once.
     """
     asked = names.select(F.col(name).alias("name")).distinct()
     by_name = asked.join(entities.select("entity_id", "canonical_name"), F.col("name") == F.col("canonical_name"))
     aliases = F.coalesce("aliases", F.lit(""))
     mentions = entities.select("entity_id", "canonical_name", "aliases", F.explode(T.grams(aliases)).alias("__g"))
-    by_alias = asked.withColumn("__g", T.gram_key(F.col("name"))).join(mentions, "__g").where(F.contains(aliases, F.col("name")))
+    by_alias = rarest(asked, "name", mentions).join(mentions, "__g").where(F.contains(aliases, F.col("name")))
     first = F.min(F.struct("entity_id", "canonical_name"))
     found = by_name.select("name", "entity_id", "canonical_name").unionByName(by_alias.select("name", "entity_id", "canonical_name")).groupBy("name").agg(first.alias("__e")).select("name", "__e.*")
     return asked.join(found, "name", "left").select("name", F.coalesce("entity_id", T.unknown_slug(F.col("name"))).alias("entity_id"), F.coalesce("canonical_name", "name").alias("canonical_name"), F.when(F.col("entity_id").isNotNull(), 0.95).otherwise(0.0).alias("confidence"))
@@ -122,6 +164,7 @@ def receipts(found: DataFrame, transactions: DataFrame, days: int = 7, tolerance
     t = transactions.select("txn_id", "vendor", "amount", F.to_date("date").alias("day"))
     pairs = r.join(t, "day").where(F.col("amount").between(F.col("r_amount") * (1 - tolerance), F.col("r_amount") * (1 + tolerance)))
     delta, gap = F.abs(F.col("amount") - F.col("r_amount")), F.abs(F.datediff("day", "r_date"))
-    score = (1 - F.coalesce(F.try_divide(delta, F.col("r_amount")), F.lit(0.0))) * 0.4 + (1 - gap / days) * 0.3 + F.coalesce(sequence_ratio_udf("vendor", "r_vendor"), F.lit(0.0)) * 0.3
-    best = pairs.withColumns({"amount_delta": delta, "date_delta": gap}).withColumn("score", score).groupBy("receipt_id").agg(F.max_by(F.struct("txn_id", "score", "amount_delta", "date_delta"), F.struct("score", "txn_id")).alias("b"))
+    score = (1 - F.coalesce(F.try_divide(delta, F.col("r_amount")), F.lit(0.0))) * 0.4 + (1 - gap / days) * 0.3 + F.coalesce("__name", F.lit(0.0)) * 0.3
+    names = scored_pairs(pairs.select("vendor", "r_vendor").distinct(), "vendor", "r_vendor", "sequence").withColumnRenamed("score", "__name")
+    best = pairs.join(names, ["vendor", "r_vendor"], "left").withColumns({"amount_delta": delta, "date_delta": gap}).withColumn("score", score).groupBy("receipt_id").agg(F.max_by(F.struct("txn_id", "score", "amount_delta", "date_delta"), F.struct("score", "txn_id")).alias("b"))
     return found.select("receipt_id").join(best, "receipt_id", "left").select("receipt_id", F.col("b.txn_id").alias("txn_id"), F.coalesce(F.round("b.score", 3), F.lit(0.0)).alias("confidence"), F.round("b.amount_delta", 2).alias("amount_delta"), F.col("b.date_delta").alias("date_delta_days"))

@@ -28,15 +28,30 @@ def tool_severity(df: DataFrame, rules: AuditRules = AUDIT) -> DataFrame:
     return df.withColumns({"score": score, "factors": factors}).withColumns({"severity": _level(F.col("score"), rules), "confidence": F.round(F.least(F.size("factors") / 3, F.lit(1.0)), 2)})
 
 
-def escalated(severity: Column, amount: Column, vendor: Column, rules: AuditRules = AUDIT) -> Column:
-    """Critical above 1000 stays; a whitelisted vendor's warning is information; small information is approved."""
-    listed = vendor.isin(*rules.whitelisted) if rules.whitelisted else F.lit(False)
+def whitelisted(df: DataFrame, whitelist: DataFrame, vendor: str = "vendor") -> DataFrame:
+    """Add is_whitelisted by a join with a whitelist (vendor) of any size."""
+    names = whitelist.select(F.col("vendor").alias("__listed")).distinct()
+    return df.join(names, F.col(vendor) == F.col("__listed"), "left").withColumn("is_whitelisted", F.col("__listed").isNotNull()).drop("__listed")
+
+
+def _listed(vendor: Column, rules: AuditRules) -> Column:
+    return vendor.isin(*rules.whitelisted) if rules.whitelisted else F.lit(False)
+
+
+def escalated(severity: Column, amount: Column, vendor: Column, rules: AuditRules = AUDIT, listed: Column | None = None) -> Column:
+    """Critical above 1000 stays; a whitelisted vendor's warning is information; small information is approved.
+
+    listed: as ``whitelisted`` gives it, in place of the vendors of the rules.
+    """
+    listed = _listed(vendor, rules) if listed is None else listed
     return F.when((severity == "CRITICAL") & (amount > 1000), severity).when((severity == "WARNING") & listed, F.lit("INFO")).when((severity == "INFO") & (amount < rules.approve_below), F.lit("AUTO_APPROVED")).otherwise(severity)
 
 
 def audit_severity(df: DataFrame, rules: AuditRules = AUDIT) -> DataFrame:
     """Orchestrator form over is_unmatched, is_incomplete, is_duplicate, email_approval, amount and vendor.
 
+    is_whitelisted, where ``df`` has it (see ``whitelisted``), takes the place of the vendors of the rules.
+
     Rows without a factor, with nothing but a missing match below the high amount, or approved by their size are gone.
     """
     vendor, amount = F.coalesce(F.when(F.col("vendor") != "", F.col("vendor")), F.lit("Unknown")), F.coalesce("amount", F.lit(0.0))
@@ -53,7 +68,7 @@ def audit_severity(df: DataFrame, rules: AuditRules = AUDIT) -> DataFrame:
     reasons = F.array_compact(F.array(*[F.when(t, x) for t, _, _, x in texts]))
     out = df.withColumns({"score": score, "factors": factors, "explanation": F.concat(F.lit("Flagged because: "), F.array_join(reasons, "; "), F.lit("."))})
     alone = (F.size("factors") == 1) & (F.col("factors")[0] == "no_reconciliation_match") & (amount < rules.high_amount)
-    listed = vendor.isin(*rules.whitelisted) if rules.whitelisted else F.lit(False)
+    listed = _flag("is_whitelisted") if "is_whitelisted" in df.columns else _listed(vendor, rules)
     level = _level(F.col("score"), rules)
     out = out.where((F.size("factors") > 0) & ~alone).withColumn("severity", F.when((level == "WARNING") & listed, F.lit("INFO")).otherwise(level))
     return out.where(~((F.col("severity") == "INFO") & (amount < rules.approve_below)))

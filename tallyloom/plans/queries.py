@@ -94,8 +94,8 @@ def a5_vendor_outliers(spark, sf):
     return anomaly.vendor_outliers(e, anomaly.vendor_profiles(e, "user_id", "value"), "user_id", "value").select("event_id", F.round("z_score", 6).alias("z_score"), "is_outlier")
 
 
-@query("""WITH r AS (SELECT event_id, value, CASE WHEN count(*) OVER w >= 3 THEN avg(value) OVER w END AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-    SELECT event_id, round(m, 6) AS rolling_mean, coalesce(CASE WHEN m <> 0 THEN abs(value - m) / abs(m) * 100 END > 20, false) AS is_deviation FROM r""")
+@query("""WITH r AS (SELECT event_id, value, CASE WHEN count(*) OVER (PARTITION BY user_id) >= 3 THEN avg(value) OVER w END AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+    SELECT event_id, round(m, 6) AS rolling_mean, coalesce(CASE WHEN m <> 0 THEN abs(value - m) / abs(m) * 100 > 20 ELSE value <> 0 END, false) AS is_deviation FROM r""")
 def w1_rolling_deviation(spark, sf):
     return anomaly.rolling_deviation(C.table(spark, sf, "events").select("event_id", "user_id", "ts", "value"), ["ts", "event_id"], "value", ["user_id"]).select("event_id", F.round("rolling_mean", 6).alias("rolling_mean"), "is_deviation")
 
@@ -795,9 +795,8 @@ def c15_c21_times_and_costs(spark, sf):
     SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f1), 6) AS f1, count(*) FILTER (f1 >= 0.8) AS passed, count(*) AS datasets FROM s""")
 def a7_macro_average(spark, sf):
     o = C.table(spark, sf, "orders").select(F.col("o_orderkey").alias("txn_id"), "o_orderpriority")
-    sets = [r[0] for r in o.select("o_orderpriority").distinct().collect()]
-    each = [metrics.confusion(d.where("txn_id % 3 = 0"), d.where("txn_id % 2 = 0"), everything=d) for d in (o.where(F.col("o_orderpriority") == s) for s in sets)]
-    return metrics.macro_average(reduce(DataFrame.unionByName, each)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "passed", "datasets")
+    each = metrics.confusion_by(o.where("txn_id % 3 = 0"), o.where("txn_id % 2 = 0"), o, "o_orderpriority")
+    return metrics.macro_average(each).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "passed", "datasets")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

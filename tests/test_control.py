@@ -172,8 +172,8 @@ def test_rules_are_written_and_read(tmp_path):
 
 def test_tuning_of_the_last_week(spark):
     flags = spark.createDataFrame([("v", "amount_outlier", "false_positive", NOW - timedelta(days=1)), ("w", "x", "approved", NOW), ("w", "x", "false_positive", NOW - timedelta(days=8))], "vendor string, explanation string, human_decision string, created_at timestamp")
-    rules = feedback.tuned(flags, now=F.lit(NOW))
-    assert rules.whitelisted == ("v",) and rules.sigma_global == config.AUDIT.sigma_global + 0.5
+    rules, whitelist = feedback.tuned(flags, now=F.lit(NOW))
+    assert [r["vendor"] for r in whitelist.collect()] == ["v"] and rules.sigma_global == config.AUDIT.sigma_global + 0.5
     assert feedback.recent(flags, F.lit(NOW)).count() == 2
 
 

@@ -78,6 +78,61 @@ def test_cross_source_against_loops(spark):
     assert got == want
 
 
+def plain_greedy(pairs):
+    used, taken, out = set(), set(), set()
+    for a, b in pairs:
+        if a not in used and b not in taken:
+            used.add(a)
+            taken.add(b)
+            out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 6])
+def test_rounds_of_first_choices_are_the_greedy_pairs(spark, rounds):
+    """A dense knot: all amounts and days are close, so that pairs wait for each other."""
+    a, b = ([(f"{k}{i:02d}", i, "v", 100.0, datetime(2026, 1, 1) + timedelta(days=i // 8)) for i in range(24)] for k in "ab")
+    make = lambda r: spark.createDataFrame(r, "txn_id string, pos long, vendor string, amount double, date timestamp")
+    got = [(r["source_1_id"], r["source_2_id"]) for r in reconcile.cross_source(make(a), make(b), rounds=rounds).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_greedy((x[0], y[0]) for x in a for y in b if abs((x[4] - y[4]).days) <= 3)
+
+
+def test_cross_source_of_a_vendor_that_is_active_daily(spark):
+    """100,000 rows of one vendor; single pairs need no Python, and inputs are read once."""
+    sides = [spark.range(50_000).selectExpr(f"concat('{k}', id) AS txn_id", "id AS pos", "'hot' AS vendor", f"CAST(10 + pmod(xxhash64(id, {n}), 9000) AS double) AS amount", f"timestamp_seconds(1577836800 + 86400 * (id DIV 10) + pmod(xxhash64(id, {n + 2}), 86400)) AS date") for n, k in enumerate("ab")]
+    got = {(r["source_1_id"], r["source_2_id"]) for r in reconcile.cross_source(*sides).collect()}
+    by_day, want = defaultdict(list), []
+    for r in sides[1].collect():
+        by_day[r["date"].date()].append(r)
+    for x in sides[0].orderBy("pos").collect():
+        near = [y for d in range(-4, 5) for y in by_day[x["date"].date() + timedelta(days=d)]]
+        want += [(x["txn_id"], y["txn_id"]) for y in sorted(near, key=lambda y: y["pos"]) if abs(x["amount"] - y["amount"]) / x["amount"] <= 0.05 and abs((x["date"] - y["date"]).days) <= 3]
+    assert got == plain_greedy(want) and len(got) > 10_000
+
+
+def test_weighted_bound_holds(spark):
+    draw, signs = random.Random(8), "abcdefgh  "
+    texts = sorted({" ".join("".join(draw.choice(signs) for _ in range(draw.randrange(1, 30))).split()) for _ in range(150)} - {""})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    from tallyloom.functions.similarity import letter_facts, weighted_bound
+
+    facts = rows.withColumn("f", letter_facts(F.col("t")))
+    got = facts.alias("a").crossJoin(facts.alias("b")).select(F.col("a.t").alias("x"), F.col("b.t").alias("y"), weighted_bound(F.col("a.f"), F.col("b.f")).alias("bound")).collect()
+    assert all(weighted_ratio(r["x"], r["y"]) / 100 <= r["bound"] + 1e-9 for r in got)
+    assert sum(r["bound"] < 0.8 for r in got) > len(got) / 4
+
+
+def test_rare_letter_groups_find_every_mention(spark):
+    draw = random.Random(3)
+    names = ["the one", "the two", "san", "x", "é", "of", "", "the onex"] + ["".join(draw.choice("abcxé ") for _ in range(draw.randrange(1, 7))) for _ in range(60)]
+    texts = ["".join(draw.choice("abcxé ") for _ in range(60)) for _ in range(40)] + ["see the one of san", None]
+    entities = spark.createDataFrame([(f"e{i:02d}", f"canonical {i}", t) for i, t in enumerate(texts)], "entity_id string, canonical_name string, aliases string")
+    got = {r["name"]: r["entity_id"] for r in reconcile.known_entities(spark.createDataFrame([(n,) for n in names], "name string"), entities).collect()}
+    for n in set(names):
+        hits = [f"e{i:02d}" for i, t in enumerate(texts) if n in (t or "")]
+        assert got[n] == (hits[0] if hits else "unknown_" + n.replace(" ", "_").lower()), n
+
+
 def test_validation(spark):
     raw = spark.createDataFrame([("t1", "a", 1.0, "2026-01-01", " Acme "), (None, "a", None, "2026-01-01", None), ("t3", "a", float("nan"), "2026-01-01", "x")], "transaction_id string, account_id string, amount double, date string, merchant_name string")
     out = etl.transform(raw, "transaction", "batch")
