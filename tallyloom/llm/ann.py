@@ -3,11 +3,11 @@
 Every vector has one long bit string per tree: signs of its products with the tree's random directions. Vectors are held
 in blocks; in a block each tree is the sorted array of the bit strings. A query descends every tree to its longest
 matching prefix and then all trees ascend together, one bit at a time, until their prefix ranges hold enough different
-candidates (``candidates`` of the block's vectors, ``least`` at least); the exact cosine orders them, and the best of all
-blocks are merged.
+candidates: ``factor * n ** power`` of the block's n vectors, one law at every size. The exact cosine orders them, and the
+best of all blocks are merged.
 
-The query set is stated (a condition on the id); its blocks meet all blocks of the index, and a block pair is one task's
-work, so nothing grows with a hot bucket. Vectors that are equal, component by component, are indexed once with their
+The query set is stated (a condition on the id); its groups meet all blocks of the index, and a group and a block are one
+task's work, so nothing grows with a hot bucket. A block's forest is built once for all queries of a group. Vectors that are equal, component by component, are indexed once with their
 ``k + 1`` smallest ids, which are all that a list of ``k`` can show.
 
 Defined results: vectors that are null, empty, zero or hold a null, NaN or infinite component take no part, as queries
@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block of the index and of the queries.
-INDEX_BLOCK, QUERY_BLOCK = 32_768, 2_048
+#: Vectors in a block of the index; queries in a group, and of these at a time.
+INDEX_BLOCK, QUERY_BLOCK, AT_ONCE = 32_768, 65_536, 1_024
 PAIR_SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -96,10 +96,10 @@ def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return x, norms
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 128, bits: int = 24, candidates: float = 0.2, least: int = 1000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score). ``candidates``, ``least``: vectors of a block that a query is held against.
+def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 128, bits: int = 24, factor: float = 2.7, power: float = 0.75, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score). ``factor``, ``power``: of how many vectors of a block a query is held against.
 
-    A larger share finds more of the true neighbours and scores more vectors; the README has measured pairs.
+    More candidates find more of the true neighbours; the README has measured recalls.
     """
     clean = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -123,8 +123,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 128, b
             held, lengths = _units(store.column("v").to_pylist())
             ids, queries = store.column("ids").to_pylist(), [x[0] for x in query.column("ids").to_pylist()]
             unit, asked_unit = held / lengths[:, None], asks / norms[:, None]
-            forest = Forest(unit, trees, bits)
-            for q, at in enumerate(forest.candidates(asked_unit, max(least, int(candidates * len(held))))):
+            forest, wanted = Forest(unit, trees, bits), int(factor * len(held) ** power) + 1
+            found = (at for s in range(0, len(asks), AT_ONCE) for at in forest.candidates(asked_unit[s : s + AT_ONCE], wanted))
+            for q, at in enumerate(found):
                 close = unit[at] @ asked_unit[q]
                 if len(at) > k + 1:
                     edge = np.partition(close, len(at) - k - 1)[len(at) - k - 1]

@@ -15,7 +15,10 @@ those members that the symmetric differences to their heads leave within reach o
 alternating large-star and small-star steps on written tables.
 
 A posting of more than ``HOT`` entries is divided by a hash of the entry: each part has a leader of its own, and each
-pair of parts is one tile of round two. Copies meet by block and class, so a class of any size is one row a block.
+pair of parts is one tile of round two, unless all entries of both are in one component: these are not sent at all, so a
+posting of one component costs nothing. A tile meets at most ``HOT`` squared pairs. The driver holds one number for each
+part of a hot posting, at most 2 / ``HOT`` of all entries. Copies meet by block and class, so a class of any size is one
+row a block.
 
 64-bit hashes stand for shingles. Defined results: null and empty texts, and texts of white space, have empty sets, link
 with nothing and are their own component; below five words the whole sequence is the one shingle; ids are integers; rows
@@ -39,8 +42,8 @@ from tallyloom.llm.common import COUNT_SCHEMA, RunHashes, Tokens, count_rows, ea
 
 #: Shingles in a hash range of the counting step; postings in a range of the candidate step.
 SHINGLES, POSTINGS = 2_000_000, 1_000_000
-#: Entries of a posting that are not divided; postings that are divided, the longest first (others stay whole).
-HOT, MOST_HOT = 20_000, 100_000
+#: Entries of a posting that are not divided.
+HOT = 20_000
 LEAST_ID = -(1 << 63)
 SETS = "block long, doc_id long, n long, cls long, first boolean, lead boolean, grp long, tokens array<long>, places array<int>, members binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -137,16 +140,54 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: in
 def hot_postings(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles with more than ``HOT`` entries, ascending; into how many parts each is divided)."""
     counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    found = sorted((r["token"], -(-r["n"] // HOT)) for r in counts.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect())
+    found = sorted((r["token"], -(-r["n"] // HOT)) for r in counts.collect())
     return np.array([t for t, _ in found], np.int64), np.array([k for _, k in found], np.int64)
 
 
+def hot_entries(batch: pa.RecordBatch, token: np.ndarray, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, which hot posting, part of it) of those entries of a batch that are in hot postings."""
+    hot_token, divided = hot
+    which = np.minimum(np.searchsorted(hot_token, token), len(hot_token) - 1)
+    at = np.flatnonzero(hot_token[which] == token)
+    which = which[at]
+    ident = batch.column("id").to_numpy(zero_copy_only=False)[row[at]]
+    return at, which, (mix(ident.view(np.uint64) ^ _ODD) % divided[which].astype(np.uint64)).astype(np.int64)
+
+
+def hot_components(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest component) of the entries of every part of the hot postings, parts numbered through."""
+    first, slots = np.cumsum(hot[1]) - hot[1], int(hot[1].sum())
+    low, high = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+    if not slots:
+        return low, high
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            at, which, own = hot_entries(batch, batch.column("tokens").flatten().to_numpy(), row, hot)
+            slot, comp = first[which] + own, batch.column("comp").to_numpy(zero_copy_only=False)[row[at]]
+            order = np.lexsort((comp, slot))
+            slot, comp = slot[order], comp[order]
+            new = np.flatnonzero(np.r_[True, np.diff(slot) != 0]) if len(slot) else np.empty(0, np.int64)
+            last = np.r_[new[1:], len(slot)] - 1 if len(new) else new
+            yield pa.RecordBatch.from_arrays([pa.array(slot[new]), pa.array(comp[new]), pa.array(comp[last])], names=["slot", "low", "high"])
+
+    found = rows.select("id", "comp", "tokens").mapInArrow(trimmed(ends), "slot long, low long, high long").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    for r in found.collect():
+        low[r["slot"]], high[r["slot"]] = r["low"], r["high"]
+    return low, high
+
+
 def _in_ranges(rows: DataFrame, parts: int, work, schema: str, hot: tuple[np.ndarray, np.ndarray], tiles: bool) -> DataFrame:
     """``work(token, id, comp, n, place)`` on all postings of a range of shingles; a range has a bounded share of them.
 
-    The parts of a hot posting are ranges of their own, or, with ``tiles``, every pair of its parts is one.
+    The parts of a hot posting are ranges of their own, or, with ``tiles``, every pair of its parts is one, but for those
+    whose entries are all in one component.
     """
     hot_token, divided = hot
+    low, high = hot_components(rows, hot) if tiles else (divided, divided)
+    slots = np.cumsum(divided) - divided
     squares = divided * divided if tiles else divided
     bases = parts + np.cumsum(squares) - squares
     ranges = parts + int(squares.sum())
@@ -159,18 +200,17 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str, hot: tuple[np.nda
             row = np.repeat(np.arange(batch.num_rows), sizes)
             part, entry = (token >> 33) % parts, np.arange(len(token))
             if len(hot_token) and len(token):
-                which = np.minimum(np.searchsorted(hot_token, token), len(hot_token) - 1)
-                at = np.flatnonzero(hot_token[which] == token)
-                which = which[at]
-                k = divided[which]
-                ident = batch.column("id").to_numpy(zero_copy_only=False)[row[at]]
-                own = (mix(ident.view(np.uint64) ^ _ODD) % k.astype(np.uint64)).astype(np.int64)
+                at, which, own = hot_entries(batch, token, row, hot)
+                cold = np.ones(len(token), bool)
+                cold[at] = False
                 if tiles:
+                    k = divided[which]
                     other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                     at, own, which = np.repeat(at, k), np.repeat(own, k), np.repeat(which, k)
+                    a, b = slots[which] + own, slots[which] + other
+                    apart = np.minimum(low[a], low[b]) != np.maximum(high[a], high[b])
+                    at, own, which, other = at[apart], own[apart], which[apart], other[apart]
                     own = np.minimum(own, other) * divided[which] + np.maximum(own, other)
-                cold = np.ones(len(token), bool)
-                cold[at] = False
                 part, entry = np.r_[part[cold], bases[which] + own], np.r_[entry[cold], at]
             order = np.lexsort((entry, part))
             part, entry = part[order], entry[order]

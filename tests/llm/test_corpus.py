@@ -123,6 +123,18 @@ def test_hot_postings_are_divided(docs, rows, monkeypatch):
     assert len(met[0][0]) and met[0][1].max() > 1
 
 
+def test_a_hot_posting_of_one_component_sends_nothing(spark):
+    """200,000 entries of one posting: in one component no tile gets an entry; with one entry apart, those tiles do that meet it."""
+    rows = spark.range(0, 200_000, 1, 4).select("id", F.lit(5).cast("long").alias("comp"), F.lit(10).cast("long").alias("n"), F.array(F.lit(77).cast("long")).alias("tokens"), F.array(F.lit(0)).alias("places"))
+    hot = groupjoin.hot_postings(rows)
+    assert hot[1].tolist() == [10]
+    seen = lambda token, ident, comp, n, place: __import__("pyarrow").table({"a": [len(token)], "b": [len(set(comp.tolist()))]})
+    assert groupjoin._in_ranges(rows, 16, seen, "a long, b long", hot, tiles=True).count() == 0
+    other = rows.withColumn("comp", F.when(F.col("id") == 123_456, 9).otherwise(F.col("comp")))
+    tiles = groupjoin._in_ranges(other, 16, seen, "a long, b long", hot, tiles=True).collect()
+    assert len(tiles) == 10 and all(t["b"] == 2 and t["a"] <= 2.2 * groupjoin.HOT for t in tiles)
+
+
 def test_rows_without_an_id(spark):
     same = " ".join(f"w{i}" for i in range(30))
     rows = [(None, same), (None, "other words of a row without any id"), (3, same), (4, "Other words of a row without any id"), (5, "five other words that stand alone")]

@@ -146,6 +146,27 @@ def test_recall_on_the_given_vectors(spark, size):
     assert hits >= 0.9 * 5 * len(asked)
 
 
+@pytest.mark.parametrize("n", [500, 2_000, 5_000, 20_000, 50_000])
+def test_recall_of_the_registered_law_at_every_size(n):
+    """Isotropic vectors, the hardest kind: the law of the query's candidates, blocks as in the search."""
+    import inspect
+
+    law = {k: v.default for k, v in inspect.signature(ann.search).parameters.items()}
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.random.default_rng(1).choice(n, 60, replace=False)
+    scores = unit[asked] @ unit.T
+    scores[np.arange(60), asked] = -9
+    best, hits = np.argsort(-scores, axis=1)[:, :5], 0
+    where = np.random.default_rng(2).integers(0, -(-n // ann.INDEX_BLOCK), n)
+    for b in range(where.max() + 1):
+        rows = np.flatnonzero(where == b)
+        forest = ann.Forest(unit[rows], law["trees"], law["bits"])
+        for q, at in enumerate(forest.candidates(unit[asked], int(law["factor"] * len(rows) ** law["power"]) + 1)):
+            hits += len(set(rows[at].tolist()) & set(best[q].tolist()))
+    assert hits >= 0.9 * 300
+
+
 def test_the_forest_prunes():
     draw = np.random.default_rng(8)
     centres = draw.standard_normal((200, 32))
