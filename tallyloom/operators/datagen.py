@@ -95,3 +95,19 @@ def matching_scenario(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
     emails = spark.createDataFrame([(i, *x) for i, x in enumerate(e)], "pos int, message_id string, subject string, received_at string").withColumn("received_at", F.to_timestamp("received_at"))
     events = spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "pos int, event_id string, subject string, start_time string").withColumn("start_time", F.to_timestamp("start_time"))
     return txns, emails, events
+
+
+def business(planned: DataFrame, days: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(transactions, emails) of a made-up business of any size, from (pos, planned): what becomes of each transaction.
+
+    ``same day``: an email of its name on its day; ``later``: one two days later; ``two``: two emails near it; ``lone``: none.
+    Names are made of a digest and unlike each other; days are dealt out over ``days``.
+    """
+    letters = F.translate(F.md5(F.concat(F.lit("name "), F.col("pos").cast("string"))), "0123456789", "ghklmnoprs")
+    rows = planned.withColumns({"merchant": F.concat(F.substring(letters, 1, 9), F.lit(" "), F.substring(letters, 10, 10)), "day": F.date_add(F.lit("2020-01-01").cast("date"), (F.col("pos") % days).cast("int"))})
+    later = F.when(F.col("planned") == "same day", F.array(F.lit(0))).when(F.col("planned") == "later", F.array(F.lit(2))).when(F.col("planned") == "two", F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    mails = rows.select("pos", "merchant", "day", F.posexplode(later).alias("k", "after"))
+    return (
+        rows.select("pos", F.concat(F.lit("t"), F.col("pos").cast("string")).alias("transaction_id"), F.col("merchant").alias("merchant_name"), F.lit(None).cast("string").alias("name"), F.col("day").alias("date")),
+        mails.select((F.col("pos") * 2 + F.col("k")).alias("pos"), F.concat(F.lit("m"), F.col("pos").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("message_id"), F.col("merchant").alias("subject"), F.date_add("day", F.col("after")).cast("timestamp").alias("received_at")),
+    )

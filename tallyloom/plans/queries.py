@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,12 +136,6 @@ def c4_subject(spark, sf):
     return C.table(spark, sf, "part").select("p_partkey", T.subject(F.concat(F.lit("Fwd: "), "p_name", F.lit(" $1,"), F.col("p_size").cast("string"), F.lit("00.50 ("), "p_type", F.lit(")"))).alias("subject"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'whole foods market'), (2, 'starbucks'), (3, 'delta'), (4, 'uber'), (5, 'marriott'), (6, 'amazon web services'), (7, 'trader joes'), (8, 'amazon com 12345'), (9, 'uber technologies'), (10, 'sq whole foods')) v(id, merchant)""")
-def c2_expansion(spark, sf):
-    names = ["WHOLEFDS MKT #0523", "STARBUCKS STORE 12345", "DELTA AIR LINES 006", "UBER * TRIP", "MARRIOTT SF DOWNTOWN", "AWS EMEA LLC", "TRADER JOE S #127", "Amazon.com*12345", "Uber Technologies, Inc.", "SQ *WFM #0523"]
-    return spark.createDataFrame(list(enumerate(names, 1)), "id int, name string").select("id", T.merchant(F.col("name")).alias("merchant"))
-
-
 @query(r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace('ssn 123-45-6789 ' || text, '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'), '\b(?:\d{4}[- ]?){3}\d{4}\b', '[CC]', 'g') AS t FROM documents)
     SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\b\+?1?\s*\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b', '[PHONE]', 'g'), '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g')) AS masked_md5 FROM m""")
 def c12_masking(spark, sf):
@@ -296,26 +289,6 @@ def j4_weighted(spark, sf):
     return links.select("source_id", "confidence", "linkage_key").unionByName(ambiguous.select("source_id", F.array_max("candidate_scores").alias("confidence"), F.lit("ambiguous").alias("linkage_key")))
 
 
-@query("""SELECT * FROM (VALUES ('t1', 'm1', 'tier2_composite'), ('t2', 'm2', 'tier2_composite'), ('t3', 'm3', 'tier3_fuzzy'), ('t6', 'c2', 'tier2_composite'), ('m6', 'c1', 'tier2_composite'), ('t4', NULL, 'ambiguous'), ('m7', NULL, NULL)) v(source_id, target_id, match_tier) WHERE match_tier IS NOT NULL""")
-def j6_all_pairs(spark, sf):
-    m = matching.match_all(*datagen.matching_scenario(spark))
-    return m.links.select("source_id", "target_id", "match_tier").unionByName(m.ambiguous.select(F.col("source_entity_id").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.lit("ambiguous").alias("match_tier")))
-
-
-@query("""SELECT * FROM (VALUES ('t5', 'email'), ('t6', 'email'), ('t1', 'calendar_event'), ('t2', 'calendar_event'), ('t3', 'calendar_event'), ('t4', 'calendar_event'), ('t5', 'calendar_event'), ('m7', 'transaction')) v(entity_id, target_type)""")
-def j7_unmatched(spark, sf):
-    return matching.match_all(*datagen.matching_scenario(spark)).unmatched.select("entity_id", "target_type")
-
-
-@query("""SELECT source_type, target_type, outcome, n::bigint AS n FROM (VALUES ('transaction', 'email', 'tier2_composite', 8), ('transaction', 'email', 'tier3_fuzzy', 24), ('transaction', 'email', 'ambiguous', 6), ('transaction', 'email', 'unmatched', 17), ('transaction', 'calendar_event', 'tier2_composite', 3), ('transaction', 'calendar_event', 'unmatched', 52),
-    ('email', 'calendar_event', 'tier2_composite', 5), ('email', 'transaction', 'unmatched', 4)) v(source_type, target_type, outcome, n)""")
-def g4_scenario(spark, sf):
-    """Outcomes of the made-up business: 8 composite, 20 fuzzy and 4 of 8 boundary pairs, 6 ambiguous, the rest unmatched."""
-    m = matching.match_all(*datagen.scenario(spark))
-    parts = [m.links.select("source_type", "target_type", F.col("match_tier").alias("outcome")), m.ambiguous.select("source_type", "target_type", F.lit("ambiguous").alias("outcome")), m.unmatched.select(F.col("entity_type").alias("source_type"), "target_type", F.lit("unmatched").alias("outcome"))]
-    return reduce(DataFrame.unionByName, parts).groupBy("source_type", "target_type", "outcome").agg(F.count("*").alias("n"))
-
-
 # ------------------------------------------------------------------------------------------------------ merges
 
 
@@ -451,13 +424,13 @@ def j10_receipts(spark, sf):
     return reconcile.receipts(found, g)
 
 
-_EVIDENCE = """t AS (SELECT 'E' || event_id AS txn_id, CAST(ts AS date) AS d, CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS v FROM events),
-    m AS (SELECT conv_id || '-' || turn AS message_id, conv_id * 1000 + turn AS pos, DATE '2024-01-01' + CAST(conv_id % 30 AS int) AS d, substr(text, 1, 20) AS s, text AS b FROM conversations)"""
+_EVIDENCE = r"""t AS (SELECT 'E' || event_id AS txn_id, CAST(ts AS date) AS d, CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS v FROM events),
+    m AS (SELECT conv_id || '-' || turn AS message_id, conv_id * 1000 + turn AS pos, DATE '2024-01-01' + CAST(conv_id % 30 AS int) AS d, regexp_extract(text, '^[^.!?\n]*') AS s, text AS b FROM conversations)"""
 
 
 def _evidence(spark, sf):
     t = C.table(spark, sf, "events").selectExpr("concat('E', event_id) AS txn_id", "CAST(ts AS date) AS date", "CASE event_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'AND' ELSE 'with' END AS vendor")
-    m = C.table(spark, sf, "conversations").selectExpr("concat(conv_id, '-', turn) AS message_id", "concat(conv_id, '-', turn) AS event_id", "conv_id * 1000 + turn AS pos", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS received_at", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS start_time", "substring(text, 1, 20) AS subject", "text AS body_preview")
+    m = C.table(spark, sf, "conversations").selectExpr("concat(conv_id, '-', turn) AS message_id", "concat(conv_id, '-', turn) AS event_id", "conv_id * 1000 + turn AS pos", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS received_at", "date_add(DATE'2024-01-01', CAST(conv_id % 30 AS int)) AS start_time", r"regexp_extract(text, '^[^.!?\\n]*', 0) AS subject", "text AS body_preview")
     return t, m
 
 
@@ -467,9 +440,10 @@ def j11_email_evidence(spark, sf):
     return context.email_evidence(*_evidence(spark, sf))
 
 
-@query(f"""WITH {_EVIDENCE}, h AS (SELECT txn_id, message_id AS event_id, row_number() OVER (PARTITION BY txn_id ORDER BY pos, message_id) AS rank FROM t JOIN m ON abs(t.d - m.d) <= 3 WHERE contains(lower(s), lower(v))) SELECT * FROM h WHERE rank <= 5""")
+@query(f"""WITH {_EVIDENCE}, h AS (SELECT txn_id, message_id AS event_id, row_number() OVER (PARTITION BY txn_id ORDER BY pos, message_id) AS rank FROM t JOIN m ON abs(t.d - m.d) <= 3 WHERE contains(lower(b), lower(v))) SELECT * FROM h WHERE rank <= 5""")
 def j12_event_evidence(spark, sf):
-    return context.event_evidence(*_evidence(spark, sf))
+    t, m = _evidence(spark, sf)
+    return context.event_evidence(t, m.withColumn("subject", F.col("body_preview")))
 
 
 _KEYWORDS = ", ".join(f"'{k}'" for k in T.APPROVALS)
@@ -576,15 +550,10 @@ def r7_feedback(spark, sf):
     return feedback.process(cur, empty, notes, F.lit("2024-03-01").cast("timestamp")).unmatched.select("entity_id")
 
 
-@query("SELECT d, CASE d WHEN 'approved' THEN 'confirmed' WHEN 'rejected' THEN 'rejected' WHEN 'false_positive' THEN 'rejected' WHEN 'needs_more_info' THEN 'flagged' END AS signal FROM (VALUES ('approved'), ('rejected'), ('false_positive'), ('needs_more_info'), ('other')) v(d)")
-def r8_decisions(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("approved", "rejected", "false_positive", "needs_more_info", "other")], "d string").select("d", feedback.signal_of(F.col("d")).alias("signal"))
-
-
-@query("SELECT count(*) AS handled, count(*) FILTER (event_type = 'click') AS rejected, round(count(*) FILTER (event_type = 'click') / count(*)::double, 6) AS rejection_rate FROM events")
+@query("SELECT count(*) AS handled, count(*) FILTER (event_type = 'click') AS rejected, round(count(*) FILTER (event_type = 'click') / count(*)::double, 6) AS rejection_rate, round(avg(epoch(TIMESTAMP '2024-03-01') - epoch(ts)), 3) AS mean_latency_s FROM events")
 def a13_feedback_metrics(spark, sf):
     f = C.table(spark, sf, "events").selectExpr("CASE WHEN event_type = 'click' THEN 'rejected' ELSE 'confirmed' END AS signal", "ts AS created_at")
-    return feedback.feedback_metrics(f, F.lit("2024-03-01").cast("timestamp")).select("handled", "rejected", F.round("rejection_rate", 6).alias("rejection_rate"))
+    return feedback.feedback_metrics(f, F.lit("2024-03-01").cast("timestamp")).select("handled", "rejected", F.round("rejection_rate", 6).alias("rejection_rate"), F.round("mean_latency_s", 3).alias("mean_latency_s"))
 
 
 @query("""WITH c AS (SELECT user_id, arg_max(event_type <> 'click', event_id) AS ok FROM events GROUP BY user_id) SELECT 'U' || user_id AS user_hash, ok AND user_id % 10 <> 0 AS allowed FROM c""")
