@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.config import RULES, FuzzyRule, PairRule
+from tallyloom.config import FuzzyRule, PairRule
 from tallyloom.functions import similarity as S
 from tallyloom.functions import text as T
 from tallyloom.operators import access, anomaly, context, control, datagen, etl, feedback, matching, merge, metrics, quality, reconcile, severity
