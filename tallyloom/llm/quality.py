@@ -4,8 +4,8 @@ Statistics of every whole text are computed in one pass. Small gradient-boosted
 path from a root to a node is a rule, a conjunction of at most ``DEPTH`` comparisons. A logistic model with lasso weights
 over the rules keeps few of them, and what is kept is compiled into one Spark column expression.
 
-Labels come from at most ``SAMPLE`` labelled rows, those of least id hash (the documented bound of the fit); every row is
-scored. Held-out rows are never learned from. Defined results: null text counts as empty; empty texts get the score of
+Labels come from at most ``SAMPLE`` labelled rows, those of least id hash, and where documents repeat an id, from at most
+twice as many rows of documents (the documented bounds of the fit); every row is scored. Held-out rows are never learned from. Defined results: null text counts as empty; empty texts get the score of
 their (zero) statistics; a text of any length is read whole; without labels of both kinds the score is 0.5; label rows with null quality are not used;
 repeated rows are scored each; an empty table gives an empty table; extra columns are ignored.
 """
