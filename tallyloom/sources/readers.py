@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,10 @@ def point(df: DataFrame, **keys: object) -> DataFrame:
 
 def exists(df: DataFrame, **keys: object) -> bool:
     return not point(df, **keys).isEmpty()
+
+
+def known(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``exists`` in bulk: the keys of ``wanted`` with ``known``, whether ``df`` has them; null keys are never known."""
+    have = df.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    met = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__{k}") for k in keys))
+    return wanted.select(*keys).join(have, met, "left").select(*keys, F.col(f"__{keys[0]}").isNotNull().alias("known"))
