@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -41,11 +42,20 @@ def _character(e: Column) -> Column:
     return F.coalesce(common, F.when(F.startswith(e, F.lit("&#")), _numbered(code)).otherwise(named))
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def unescaped(c: Column) -> Column:
     """Named and numbered character references as their characters."""
-    between, found = F.split(c, _REFERENCE), F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
-    whole = F.array_join(F.zip_with(between, F.transform(found, _character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+    def whole(t: Column) -> Column:
+        between, found = F.split(t, _REFERENCE), F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0))
+        joined = F.array_join(F.zip_with(between, F.transform(found, _character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return _once(c, whole)
 
 
 def visible_text(page: Column) -> Column:
@@ -55,6 +65,6 @@ def visible_text(page: Column) -> Column:
     the empty string.
     """
     shown = F.regexp_replace(F.coalesce(page, F.lit("")), _HIDDEN, " ")
-    body = F.when(shown.rlike(r"(?i)<body\b[^>]*>"), F.regexp_extract(shown, _BODY, 1)).otherwise(shown)
+    body = _once(shown, lambda s: F.when(s.rlike(r"(?i)<body\b[^>]*>"), F.regexp_extract(s, _BODY, 1)).otherwise(s))
     text = unescaped(F.regexp_replace(body, _TAG, " "))
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
