@@ -88,7 +88,8 @@ class Queries:
         self.store.append("link_feedback", self.spark.range(1).select(*feedback_row(F.lit(link_id), F.lit(signal), F.lit(source), F.lit(reason), self.at)))
 
     def last_run(self) -> DataFrame:
-        return self.store.read("run_log").agg(F.max_by(F.struct("run_id", "run_type", "status", "start_time", "end_time"), "start_time").alias("r")).select("r.*")
+        """The run that started last; of several, the one of greatest id."""
+        return self.store.read("run_log").agg(F.max_by(F.struct("run_id", "run_type", "status", "start_time", "end_time"), F.struct("start_time", "run_id")).alias("r")).select("r.*")
 
     def entity(self, entity_id: str, entity_type: str, user_hash: str) -> DataFrame:
         self.gate(user_hash)

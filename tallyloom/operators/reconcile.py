@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT
@@ -154,15 +155,25 @@ def known_entities(names: DataFrame, entities: DataFrame, name: str = "name") ->
     return asked.join(found, "name", "left").select("name", F.coalesce("entity_id", T.unknown_slug(F.col("name"))).alias("entity_id"), F.coalesce("canonical_name", "name").alias("canonical_name"), F.when(F.col("entity_id").isNotNull(), 0.95).otherwise(0.0).alias("confidence"))
 
 
+def _steps(amount: Column, tolerance: float) -> Column:
+    """Step of a positive amount on a scale of which the window of one amount covers two steps at most."""
+    return F.log(F.when(amount > 0, amount)) / max(math.log((1 + tolerance) / (1 - tolerance)), 1e-6)
+
+
 def receipts(found: DataFrame, transactions: DataFrame, days: int = 7, tolerance: float = AUDIT.amount_tolerance) -> DataFrame:
     """Best transaction of each receipt within the windows, by amount, day and name; receipts without one have nulls.
 
-    ``found``: (receipt_id, vendor, amount, date).
+    ``found``: (receipt_id, vendor, amount, date). Rows meet by day and step of the amount's logarithm, so that a day of very
+    many rows falls apart; amounts of zero meet each other. ``tolerance`` is below 1.
     """
     around = F.explode(F.sequence(F.date_sub(F.to_date("date"), days), F.date_add(F.to_date("date"), days)))
     r = found.select("receipt_id", F.col("vendor").alias("r_vendor"), F.col("amount").alias("r_amount"), F.to_date("date").alias("r_date"), around.alias("day"))
-    t = transactions.select("txn_id", "vendor", "amount", F.to_date("date").alias("day"))
-    pairs = r.join(t, "day").where(F.col("amount").between(F.col("r_amount") * (1 - tolerance), F.col("r_amount") * (1 + tolerance)))
+    low, high = _steps(F.col("r_amount") * (1 - tolerance), tolerance), _steps(F.col("r_amount") * (1 + tolerance), tolerance)
+    zero = F.lit(-(1 << 62)).cast("bigint")
+    near = F.when(F.col("r_amount") > 0, F.sequence(F.floor(low - 1e-6).cast("bigint"), F.floor(high + 1e-6).cast("bigint"))).when(F.col("r_amount") == 0, F.array(zero))
+    r = r.select("*", F.explode(near).alias("__step"))
+    t = transactions.select("txn_id", "vendor", "amount", F.to_date("date").alias("day"), F.when(F.col("amount") == 0, zero).otherwise(F.floor(_steps(F.col("amount"), tolerance)).cast("bigint")).alias("__step"))
+    pairs = r.join(t, ["day", "__step"]).where(F.col("amount").between(F.col("r_amount") * (1 - tolerance), F.col("r_amount") * (1 + tolerance)))
     delta, gap = F.abs(F.col("amount") - F.col("r_amount")), F.abs(F.datediff("day", "r_date"))
     score = (1 - F.coalesce(F.try_divide(delta, F.col("r_amount")), F.lit(0.0))) * 0.4 + (1 - gap / days) * 0.3 + F.coalesce("__name", F.lit(0.0)) * 0.3
     names = scored_pairs(pairs.select("vendor", "r_vendor").distinct(), "vendor", "r_vendor", "sequence").withColumnRenamed("score", "__name")

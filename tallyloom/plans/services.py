@@ -113,15 +113,15 @@ def s13_routed(spark, sf):
 
 
 @query("""WITH b AS (SELECT 'BANK_' || lpad((row_number() OVER (ORDER BY o_orderdate, 'C' || o_custkey, o_totalprice))::varchar, 6, '0') AS txn_id, 'C' || o_custkey AS vendor, o_totalprice AS amount, o_orderdate AS date FROM orders)
-    SELECT txn_id, vendor, NULL::varchar AS vendor_id, round(amount, 2) AS amount, strftime(date, '%Y-%m-%d') AS date, 'debit' AS category, 'bank' AS source FROM b
-    UNION ALL SELECT 'E' || event_id, 'U' || user_id, NULL, round(value, 2), strftime(ts, '%Y-%m-%d'), event_type, 'credit_card' FROM events UNION ALL SELECT 'R' || c_custkey, c_name, NULL, round(c_acctbal, 2), '2024-01-01', NULL, 'receipt' FROM customer""")
+    SELECT txn_id, vendor, NULL::varchar AS vendor_id, amount, strftime(date, '%Y-%m-%d') AS date, 'debit' AS category, 'bank' AS source FROM b
+    UNION ALL SELECT 'E' || event_id, 'U' || user_id, NULL, value, strftime(ts, '%Y-%m-%d'), event_type, 'credit_card' FROM events UNION ALL SELECT 'R' || c_custkey, c_name, NULL, c_acctbal, '2024-01-01', NULL, 'receipt' FROM customer""")
 def s15_gold_shapes(spark, sf):
     """Bank, card and receipt rows in one shape; bank rows are numbered over all rows."""
     bank = C.table(spark, sf, "orders").selectExpr("o_orderdate AS transaction_date", "concat('C', o_custkey) AS description", "o_totalprice AS amount", "'debit' AS type")
     card = C.table(spark, sf, "events").selectExpr("concat('E', event_id) AS expense_id", "concat('U', user_id) AS merchant", "value AS amount", "ts AS expense_date", "event_type AS category")
     receipt = C.table(spark, sf, "customer").selectExpr("concat('R', c_custkey) AS receipt_id", "c_name AS vendor_name", "c_acctbal AS amount", "'2024-01-01' AS receipt_date")
     rows = files.gold(bank, "bank").unionByName(files.gold(card, "credit_card")).unionByName(files.gold(receipt, "receipt"))
-    return rows.withColumns({"amount": F.round("amount", 2), "date": F.date_format("date", "yyyy-MM-dd")})
+    return rows.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 @query(f"WITH {C.GOLD} SELECT txn_id, strftime(date, '%Y-%m-%d') AS date FROM gold WHERE date >= DATE '1995-01-01' ORDER BY gold.date, txn_id LIMIT 500")
@@ -302,7 +302,7 @@ def api_entity(spark, sf):
     return q.entity(ident or "", "email", _USER).select("message_id", F.md5("body_preview").alias("body"))
 
 
-@query("SELECT 'run' || event_id AS run_id, event_type AS status FROM events WHERE event_type <> 'view' ORDER BY ts DESC LIMIT 1")
+@query("SELECT 'run' || event_id AS run_id, event_type AS status FROM events WHERE event_type <> 'view' ORDER BY ts DESC, 'run' || event_id DESC LIMIT 1")
 def api_last_run(spark, sf):
     return _governed(spark, sf, "run_log").last_run().select("run_id", "status")
 

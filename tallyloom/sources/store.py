@@ -128,9 +128,15 @@ class Store:
         self._publish({name: [self.write(name, df)] for name, df in tables.items()}, seen)
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Add rows as one more part."""
-        part, seen = self.write(table, df), self._latest()
-        self._publish({table: [*seen[1].get(table, []), part]}, seen)
+        """Add rows as one more part. What another writer publishes meanwhile stays: an append goes after it."""
+        part = self.write(table, df)
+        while True:
+            seen = self._latest()
+            try:
+                return self._publish({table: [*seen[1].get(table, []), part]}, seen)
+            except Exception:
+                if self._latest()[0] == seen[0]:  # nobody was faster: the fault is another one
+                    raise
 
     def expire(self, older_than: float = 86_400.0) -> int:
         """Delete parts that the manifest doesn't name and that are older than so many seconds; how many went."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import config
+from tallyloom.functions.similarity import sequence_ratio
 from tallyloom.operators import control, feedback, reconcile, severity
 from tallyloom.schemas import WORKFLOW_STATE
 from tallyloom.session import shared_folder
@@ -214,3 +215,41 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_appends_of_two_writers_both_stay(spark, tmp_path):
+    store, other = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    row = lambda k: spark.createDataFrame([("me", "m", k)], "actor string, method string, entity_hash string")
+    store.append("access_audit_log", row("a"))
+    latest, turns = store._latest, []
+
+    def overtaken():
+        seen = latest()
+        if not turns:
+            turns.append(1)
+            other.append("access_audit_log", row("b"))
+        return seen
+
+    store._latest = overtaken
+    store.append("access_audit_log", row("c"))
+    assert sorted(r["entity_hash"] for r in other.read("access_audit_log").collect()) == ["a", "b", "c"]
+    store._latest, store._publish = latest, lambda changed, seen: (_ for _ in ()).throw(OSError("no room"))
+    with pytest.raises(OSError, match="no room"):
+        store.append("access_audit_log", row("d"))
+
+
+def test_receipts_meet_by_amount_steps_without_loss(spark):
+    draw, day = random.Random(3), datetime(2024, 1, 1)
+    amounts = [0.0, -5.0, 1e-9, 0.01, 95.0, 100.0, 105.0, 1e12, *(100 * 1.05**k for k in range(-4, 5)), *(draw.uniform(0.5, 300) for _ in range(120))]
+    txns = [(f"t{k}", f"v{k % 3}", a, day) for k, a in enumerate(amounts)] + [("tn", "v", None, day), ("td", "v", 100.0, None)]
+    found = [(f"r{k}", f"v{k % 3}", a, day) for k, a in enumerate(amounts)] + [("rn", "v", None, day), ("rd", "v", 100.0, None)]
+    schema = "{} string, vendor string, amount double, date timestamp"
+    got = {r["receipt_id"]: (r["txn_id"], r["confidence"]) for r in reconcile.receipts(spark.createDataFrame(found, schema.format("receipt_id")), spark.createDataFrame(txns, schema.format("txn_id"))).collect()}
+
+    def best(r, vendor, amount):
+        near = [((1 - (abs(a - amount) / amount if amount else 0.0)) * 0.4 + 0.3 + 0.3 * sequence_ratio(v, vendor), t) for t, v, a, d in txns if d is not None and a is not None and amount * 0.95 <= a <= amount * 1.05]
+        return max(near, default=(0.0, None))
+
+    want = {r: best(r, v, a) if a is not None and d is not None else (0.0, None) for r, v, a, d in found}
+    assert {k: (t, pytest.approx(s, abs=0.0006)) for k, (s, t) in want.items()} == got
+    assert want["r1"] == (0.0, None) and got["r0"][0] == "t0"

@@ -18,7 +18,7 @@ def tables(spark, tmp_path_factory):
     names = ["almond azure", "blush bisque", "almond azur", "chiffon coral", "blush bisk"]
     rows = {
         "orders": ([(i, draw.randrange(1, 60), "O", round(draw.uniform(10, 500000), 2), t0 - timedelta(days=draw.randrange(12000)), "1") for i in range(1, 400)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
-        "lineitem": ([(draw.randrange(1, 60), draw.randrange(1, 200), draw.randrange(1, 9), draw.randrange(1, 4)) for _ in range(300)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        "lineitem": ([(draw.randrange(1, 60), draw.randrange(1, 200), draw.randrange(1, 9), draw.randrange(1, 4), i * 1500.5, t0 - timedelta(days=i * 37 % 12000)) for i in range(300)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp"),
         "events": ([(i, draw.randrange(1, 9), t0 + timedelta(hours=draw.randrange(720)), draw.choice(["click", "purchase", "view"]), round(draw.uniform(1, 100), 3), "{}") for i in range(400)], "event_id long, user_id long, ts timestamp, event_type string, value double, props string"),
         "part": ([(i, draw.choice(names), "Brand#1", draw.choice(["TIN", "BRASS"]), draw.randrange(1, 50), 1.0) for i in range(1, 120)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
         "supplier": ([(i, f"S{i}", 1, 0.0) for i in range(1, 20)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
