@@ -166,6 +166,16 @@ def f6_batch(spark, sf):
     return etl.accepted(silver, strict=False).select("transaction_id", F.lit(True).alias("accepted")).unionByName(silver.where("error IS NOT NULL").select("transaction_id", F.lit(False).alias("accepted")))
 
 
+@query(r"""WITH c AS (SELECT conv_id || '-' || turn AS message_id, 'Call 415-555-0' || lpad((conv_id % 1000)::varchar, 3, '0') AS subject, 'ssn 123-45-6789, card 4111 1111 1111 1111, ' || role || '@example.com: ' || text AS body FROM conversations),
+    m AS (SELECT message_id, unnest([subject, body]) AS t, unnest(['subject', 'body_preview']) AS field FROM c), n AS (SELECT message_id, field, regexp_replace(regexp_replace(t, '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'), '\b(?:\d{4}[- ]?){3}\d{4}\b', '[CC]', 'g') AS t FROM m)
+    SELECT message_id, field, substr(regexp_replace(regexp_replace(t, '\b\+?1?\s*\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b', '[PHONE]', 'g'), '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g'), 1, 255) AS masked FROM n""")
+def f4_masked_texts(spark, sf):
+    """Subjects and previews of silver emails: masked before they are cut."""
+    raw = C.table(spark, sf, "conversations").selectExpr("concat(conv_id, '-', turn) AS message_id", "'2024-01-01T00:00:00Z' AS received_at", "'a@b.c' AS sender", "array('x@y.z') AS recipients", "concat('Call 415-555-0', lpad(conv_id % 1000, 3, '0')) AS subject", "concat('ssn 123-45-6789, card 4111 1111 1111 1111, ', role, '@example.com: ', text) AS body_preview")
+    silver = etl.transform(raw, "email", "batch")
+    return silver.unpivot("message_id", ["subject", "body_preview"], "field", "masked")
+
+
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3) AS known FROM orders")
 def f13_known_keys(spark, sf):
     """Existence guards in bulk: which keys of two columns a table has."""
