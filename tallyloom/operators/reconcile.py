@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT
 from tallyloom.functions import text as T
-from tallyloom.functions.similarity import scored_pairs
+from tallyloom.functions.similarity import sequence_ratio_udf
 from tallyloom.session import cut
 
 PAIR = "source_1_id string, source_2_id string, confidence double, date_diff int, amount double, vendor string"
@@ -165,17 +165,28 @@ def receipts(found: DataFrame, transactions: DataFrame, days: int = 7, tolerance
 
     ``found``: (receipt_id, vendor, amount, date). Rows meet by day and step of the amount's logarithm, so that a day of very
     many rows falls apart; amounts of zero meet each other. ``tolerance`` is below 1.
+
+    First, rows of one vendor meet: their name part is 1, and the best of them is a score that the receipt's transaction
+    has at least. Of all other pairs only those go on that reach it if their names were equal; just these are shuffled,
+    and their names compared.
     """
-    around = F.explode(F.sequence(F.date_sub(F.to_date("date"), days), F.date_add(F.to_date("date"), days)))
-    r = found.select("receipt_id", F.col("vendor").alias("r_vendor"), F.col("amount").alias("r_amount"), F.to_date("date").alias("r_date"), around.alias("day"))
-    low, high = _steps(F.col("r_amount") * (1 - tolerance), tolerance), _steps(F.col("r_amount") * (1 + tolerance), tolerance)
     zero = F.lit(-(1 << 62)).cast("bigint")
-    near = F.when(F.col("r_amount") > 0, F.sequence(F.floor(low - 1e-6).cast("bigint"), F.floor(high + 1e-6).cast("bigint"))).when(F.col("r_amount") == 0, F.array(zero))
-    r = r.select("*", F.explode(near).alias("__step"))
+    low, high = (F.floor(_steps(F.col("r_amount") * (1 + s * tolerance), tolerance) + s * 1e-6).cast("bigint") for s in (-1, 1))
+    near = F.when(F.col("r_amount") > 0, F.sequence(low, high)).when(F.col("r_amount") == 0, F.array(zero))
+    r = found.select("receipt_id", F.col("vendor").alias("r_vendor"), F.col("amount").alias("r_amount"), F.to_date("date").alias("r_date"))
     t = transactions.select("txn_id", "vendor", "amount", F.to_date("date").alias("day"), F.when(F.col("amount") == 0, zero).otherwise(F.floor(_steps(F.col("amount"), tolerance)).cast("bigint")).alias("__step"))
-    pairs = r.join(t, ["day", "__step"]).where(F.col("amount").between(F.col("r_amount") * (1 - tolerance), F.col("r_amount") * (1 + tolerance)))
     delta, gap = F.abs(F.col("amount") - F.col("r_amount")), F.abs(F.datediff("day", "r_date"))
-    score = (1 - F.coalesce(F.try_divide(delta, F.col("r_amount")), F.lit(0.0))) * 0.4 + (1 - gap / days) * 0.3 + F.coalesce("__name", F.lit(0.0)) * 0.3
-    names = scored_pairs(pairs.select("vendor", "r_vendor").distinct(), "vendor", "r_vendor", "sequence").withColumnRenamed("score", "__name")
-    best = pairs.join(names, ["vendor", "r_vendor"], "left").withColumns({"amount_delta": delta, "date_delta": gap}).withColumn("score", score).groupBy("receipt_id").agg(F.max_by(F.struct("txn_id", "score", "amount_delta", "date_delta"), F.struct("score", "txn_id")).alias("b"))
+    base = (1 - F.coalesce(F.try_divide(delta, F.col("r_amount")), F.lit(0.0))) * 0.4 + (1 - gap / days) * 0.3
+
+    def met(rows: DataFrame, *same: Column) -> DataFrame:
+        around = rows.select("*", F.explode(F.sequence(F.date_sub("r_date", days), F.date_add("r_date", days))).alias("__day")).select("*", F.explode(near).alias("__near"))
+        on = [F.col("__day") == F.col("day"), F.col("__near") == F.col("__step"), F.col("amount").between(F.col("r_amount") * (1 - tolerance), F.col("r_amount") * (1 + tolerance)), *same]
+        return around.join(t, reduce(lambda a, b: a & b, on))
+
+    least = met(r, F.col("r_vendor") == F.col("vendor")).groupBy(F.col("receipt_id").alias("__id")).agg(F.max(base + 0.3).alias("__least"))
+    asked = r.join(least, F.col("receipt_id") == F.col("__id"), "left").drop("__id")
+    pairs = cut(met(asked, F.col("__least").isNull() | (base + 0.3 >= F.col("__least"))).select("receipt_id", "txn_id", "r_vendor", "vendor", base.alias("base"), delta.alias("amount_delta"), gap.alias("date_delta")))
+    names = pairs.select(F.col("vendor").alias("__v"), F.col("r_vendor").alias("__r")).distinct().withColumn("__name", sequence_ratio_udf("__v", "__r"))
+    scored = pairs.join(names, (F.col("vendor") == F.col("__v")) & (F.col("r_vendor") == F.col("__r")), "left").withColumn("score", F.col("base") + F.coalesce("__name", F.lit(0.0)) * 0.3)
+    best = scored.groupBy("receipt_id").agg(F.max_by(F.struct("txn_id", "score", "amount_delta", "date_delta"), F.struct("score", "txn_id")).alias("b"))
     return found.select("receipt_id").join(best, "receipt_id", "left").select("receipt_id", F.col("b.txn_id").alias("txn_id"), F.coalesce(F.round("b.score", 3), F.lit(0.0)).alias("confidence"), F.round("b.amount_delta", 2).alias("amount_delta"), F.col("b.date_delta").alias("date_delta_days"))
