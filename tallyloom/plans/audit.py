@@ -41,6 +41,18 @@ def lineage(flags: DataFrame, links: DataFrame, transactions: DataFrame) -> Data
     return flags.join(transactions.select("txn_id", "source", "date"), "txn_id", "left").join(live, "txn_id", "left").select("flag_id", "txn_id", "source", "date", "link_id", "linked_id", "linked_type", "match_tier")
 
 
+def lineage_edges(flags: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
+    """(from_id, to_id, kind): the graph around every flag, each edge once; flags are read once.
+
+    A source recorded the transaction, a tier matched it with a record, an audit flagged it, and the flag has its severity.
+    """
+    live = links.where("is_current").select(F.col("source_id").alias("txn_id"), "target_id", "match_tier")
+    rows = flags.select("flag_id", "txn_id", "severity").join(transactions.select("txn_id", "source"), "txn_id", "left").join(live, "txn_id", "left")
+    edges = [("source", "txn_id", F.lit("recorded")), ("txn_id", "target_id", F.concat(F.lit("matched by "), F.col("match_tier"))), ("txn_id", "flag_id", F.lit("flagged")), ("flag_id", "severity", F.lit("classified"))]
+    each = F.explode(F.array(*[F.struct(F.col(a).alias("from_id"), F.col(b).alias("to_id"), kind.alias("kind")) for a, b, kind in edges]))
+    return rows.select(each.alias("e")).select("e.*").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+
+
 def logged(scored: DataFrame, run_id: str, at: Column) -> DataFrame:
     """Audit-trail entries of an audit's decisions, one for each scored transaction, numbered by id."""
     entries = scored.select(
