@@ -5,16 +5,22 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT, CONFIDENCE_BANDS
 from tallyloom.functions import text as T
-from tallyloom.functions.similarity import sequence_ratio_udf
+from tallyloom.functions.similarity import sequence_ratios
 from tallyloom.session import cut
 
 PAIR = "source_1_id string, source_2_id string, confidence double, date_diff int, amount double, vendor string"
+#: Lookups of receipts that are made abreast; ratios of names that a worker keeps.
+LOOKUPS, NAMES = 1 << 20, 1 << 18
+_RATIOS: dict[tuple[str | None, str | None], float] = {}
 
 
 def in_range(df: DataFrame, source: str, start: str, end: str) -> DataFrame:
@@ -171,27 +177,125 @@ def _within(asked: DataFrame, transactions: DataFrame, days: int, tolerance: flo
     return around.join(stepped, reduce(lambda a, b: a & b, on)).drop("__day", "__near", "__step")
 
 
+def _days(day: Column, days: int) -> Column:
+    """Number of the stretch of days, as long as a window, that a day lies in: a window covers two at most."""
+    return F.floor(F.unix_date(day) / (2 * days + 1)).cast("bigint")
+
+
+def _name_parts(pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+    """Ratios of (transaction's, receipt's) names, each asked for once by a worker."""
+    new = [p for p in pairs if p not in _RATIOS]
+    if len(_RATIOS) + len(new) > NAMES:
+        _RATIOS.clear()
+        new = pairs
+    _RATIOS.update(zip(new, sequence_ratios([a for a, _ in new], [b for _, b in new]), strict=True))
+    return np.array([_RATIOS[p] for p in pairs])
+
+
+def _nearest(asked: pa.Table, held: pa.Table, days: int, tolerance: float) -> tuple[np.ndarray, ...]:
+    """(row of asked, row of held, score, amount delta, days apart): of each receipt the best transaction of a cell.
+
+    Of the transactions of one day and name only the next amount from below and from above can be best, so each receipt
+    looks these up, first for its own name, then for all others on those days that could still reach the best so far.
+    """
+    n, m = asked.num_rows, held.num_rows
+    names = pa.concat_arrays([pc.cast(t.column(c), pa.string()).combine_chunks() for t, c in ((asked, "r_vendor"), (held, "vendor"))]).dictionary_encode()
+    named, text = len(names.dictionary), [*names.dictionary.to_pylist(), None]
+    code = names.indices.cast(pa.int64()).fill_null(named).to_numpy()
+    wanted, r_amount, r_day = code[:n], asked.column("r_amount").to_numpy(), asked.column("r_day").to_numpy()
+    order = np.lexsort((held.column("amount").to_numpy(), code[n:], held.column("day").to_numpy()))
+    vendor, amount, day = code[n:][order], held.column("amount").to_numpy()[order], held.column("day").to_numpy()[order]
+    ids = pc.rank(held.column("txn_id"), tiebreaker="dense", null_placement="at_start").to_numpy()[order].astype(np.int64)
+    low, high = r_amount * (1 - tolerance), r_amount * (1 + tolerance)
+
+    start = np.flatnonzero(np.r_[True, (np.diff(day) != 0) | (np.diff(vendor) != 0)])  # one group for each day and name
+    stop, of_day = np.r_[start[1:], m], day[start]
+    group_key = (of_day - of_day[0]) * (named + 1) + vendor[start]
+    levels, level = np.unique(amount, return_inverse=True)
+    key = np.repeat(np.arange(len(start)), stop - start) * (len(levels) + 1) + level
+    place = np.searchsorted(levels, r_amount)
+    best, best_id, pick = np.full(n, -np.inf), np.full(n, -1), np.full(n, -1)
+
+    def offer(r: np.ndarray, g: np.ndarray, shift: int) -> None:
+        at = np.searchsorted(key, g * (len(levels) + 1) + place[r])
+        r, t = np.r_[r, r], np.r_[np.where(at < stop[g], at, m), np.where(at > start[g], at - 1, m)]
+        r, t = r[t < m], t[t < m]
+        fit = (amount[t] >= low[r]) & (amount[t] <= high[r])
+        r, t = r[fit], t[fit]
+        x = r_amount[r]
+        base = (1 - np.where(x != 0, np.abs(amount[t] - x) / np.where(x != 0, x, 1), 0.0)) * 0.4 + (1 - abs(shift) / max(days, 1)) * 0.3
+        fit = base + 0.3 >= best[r]
+        r, t, base = r[fit], t[fit], base[fit]
+        if not len(r):
+            return
+        pairs, back = np.unique(vendor[t] * (named + 1) + wanted[r], return_inverse=True)
+        score = base + _name_parts([(text[k // (named + 1)], text[k % (named + 1)]) for k in pairs.tolist()])[back] * 0.3
+        last = np.lexsort((ids[t], score, r))
+        r, t, score = r[last], t[last], score[last]
+        last = np.r_[np.diff(r) != 0, True]
+        r, t, score = r[last], t[last], score[last]
+        better = (score > best[r]) | (score == best[r]) & (ids[t] > best_id[r])
+        r, t = r[better], t[better]
+        best[r], best_id[r], pick[r] = score[better], ids[t], t
+
+    shifts = sorted(range(-days, days + 1), key=abs)
+    for own in (True, False):
+        for shift in shifts:
+            reach = 0.7 + (1 - abs(shift) / max(days, 1)) * 0.3 + 1e-9
+            r = np.flatnonzero((reach >= best) & (r_day + shift >= of_day[0]) & (r_day + shift <= of_day[-1]))
+            if own:
+                r = r[wanted[r] < named]
+                seen = (r_day[r] + shift - of_day[0]) * (named + 1) + wanted[r]
+                g = np.minimum(np.searchsorted(group_key, seen), len(start) - 1)
+                offer(r[group_key[g] == seen], g[group_key[g] == seen], shift)
+                continue
+            first = np.searchsorted(of_day, r_day[r] + shift)
+            many = np.searchsorted(of_day, r_day[r] + shift, side="right") - first
+            total = np.cumsum(many)
+            cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(LOOKUPS, total[-1] if len(r) else 0, LOOKUPS)), len(r)])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k = many[a:b]
+                g = np.repeat(first[a:b] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                offer(np.repeat(r[a:b], k), g, shift)
+    r = np.flatnonzero(pick >= 0)
+    t = pick[r]
+    return r, order[t], best[r], np.abs(amount[t] - r_amount[r]), np.abs(day[t] - r_day[r])
+
+
 def receipts(found: DataFrame, transactions: DataFrame, days: int = 7, tolerance: float = AUDIT.amount_tolerance) -> DataFrame:
     """Best transaction of each receipt within the windows, by amount, day and name; receipts without one have nulls.
 
-    ``found``: (receipt_id, vendor, amount, date). Rows meet by day and step of the amount's logarithm, so that a day of very
-    many rows falls apart; amounts of zero meet each other. ``tolerance`` is below 1.
+    ``found``: (receipt_id, vendor, amount, date). Rows meet in cells of a stretch of days and a step of the amount's
+    logarithm, so that a day of very many rows falls apart; amounts of zero meet each other. ``tolerance`` is below 1.
 
-    First, rows of one vendor meet: their name part is 1, and the best of them is a score that the receipt's transaction
-    has at least. Of all other pairs only those go on that reach it if their names were equal; just these are shuffled,
-    and their names compared.
+    Equal rows meet as one: receipts of one name, amount and day, and of such transactions the one of greatest id. No
+    pairs are written: a cell gives one row for each of its receipts, so the work grows with the rows.
     """
-    r = found.select("receipt_id", F.col("vendor").alias("r_vendor"), F.col("amount").alias("r_amount"), F.to_date("date").alias("r_date"))
-    t = transactions.select("txn_id", "vendor", "amount", F.to_date("date").alias("day"))
-    delta, gap = F.abs(F.col("amount") - F.col("r_amount")), F.abs(F.datediff("day", "r_date"))
-    base = (1 - F.coalesce(F.try_divide(delta, F.col("r_amount")), F.lit(0.0))) * 0.4 + (1 - gap / days) * 0.3
-    least = _within(r, t, days, tolerance, F.col("r_vendor") == F.col("vendor")).groupBy(F.col("receipt_id").alias("__id")).agg(F.max(base + 0.3).alias("__least"))
-    asked = r.join(least, F.col("receipt_id") == F.col("__id"), "left").drop("__id")
-    reach = F.col("__least").isNull() | (base + 0.3 >= F.col("__least"))
-    pairs = cut(_within(asked, t, days, tolerance, reach).select("receipt_id", "txn_id", "r_vendor", "vendor", base.alias("base"), delta.alias("amount_delta"), gap.alias("date_delta")))
-    names = pairs.select(F.col("vendor").alias("__v"), F.col("r_vendor").alias("__r")).distinct().withColumn("__name", sequence_ratio_udf("__v", "__r"))
-    scored = pairs.join(names, (F.col("vendor") == F.col("__v")) & (F.col("r_vendor") == F.col("__r")), "left").withColumn("score", F.col("base") + F.coalesce("__name", F.lit(0.0)) * 0.3)
-    best = scored.groupBy("receipt_id").agg(F.max_by(F.struct("txn_id", "score", "amount_delta", "date_delta"), F.struct("score", "txn_id")).alias("b"))
+    zero = F.lit(-(1 << 62)).cast("bigint")
+    r = found.select("receipt_id", F.col("vendor").alias("r_vendor"), F.col("amount").cast("double").alias("r_amount"), F.to_date("date").alias("r_date"))
+    t = transactions.select("txn_id", "vendor", F.col("amount").cast("double").alias("amount"), F.to_date("date").alias("day")).where("amount >= 0 AND day IS NOT NULL")
+    held = t.groupBy("vendor", "amount", "day").agg(F.max("txn_id").alias("txn_id")).select(
+        _days(F.col("day"), days).alias("__days"), F.when(F.col("amount") == 0, zero).otherwise(F.floor(_steps(F.col("amount"), tolerance)).cast("bigint")).alias("__step"),
+        "txn_id", "vendor", "amount", F.unix_date("day").cast("bigint").alias("day"),
+    )
+    low, high = (F.floor(_steps(F.col("r_amount") * (1 + s * tolerance), tolerance) + s * 1e-6).cast("bigint") for s in (-1, 1))
+    near = F.when(F.col("r_amount") > 0, F.sequence(low, high)).when(F.col("r_amount") == 0, F.array(zero))
+    stretches = F.array_distinct(F.array(_days(F.date_sub("r_date", days), days), _days(F.date_add("r_date", days), days)))
+    asked = r.select("r_vendor", "r_amount", "r_date").where("r_amount >= 0 AND r_date IS NOT NULL").distinct().select("*", F.explode(stretches).alias("__days")).select("*", F.explode(near).alias("__step"))
+    asked = asked.select("__days", "__step", "r_vendor", "r_amount", F.unix_date("r_date").cast("bigint").alias("r_day"))
+
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a, b, score, delta, gap = _nearest(asked, held, days, tolerance) if asked.num_rows and held.num_rows else [np.empty(0, np.int64)] * 5
+        columns = {c: asked.column(c).take(pa.array(a)) for c in ("r_vendor", "r_amount", "r_day")} | {"txn_id": held.column("txn_id").take(pa.array(b))}
+        return pa.table(columns | {"score": pa.array(score, pa.float64()), "amount_delta": pa.array(delta, pa.float64()), "date_delta": pa.array(gap, pa.int32())})
+
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((asked, "r_vendor"), (held, "txn_id"))}
+    schema = f"r_vendor {kinds['r_vendor']}, r_amount double, r_day long, txn_id {kinds['txn_id']}, score double, amount_delta double, date_delta int"
+    met = asked.groupBy("__days", "__step").cogroup(held.groupBy("__days", "__step")).applyInArrow(work, schema)
+    first = F.max_by(F.struct("txn_id", "score", "amount_delta", "date_delta"), F.struct("score", "txn_id")).alias("b")
+    of_kind = met.groupBy(F.col("r_vendor").alias("__v"), F.col("r_amount").alias("__a"), F.col("r_day").alias("__d")).agg(first)
+    same = F.col("r_vendor").eqNullSafe(F.col("__v")) & (F.col("r_amount") == F.col("__a")) & (F.unix_date("r_date") == F.col("__d"))
+    best = r.join(of_kind, same).select("receipt_id", "b.*").groupBy("receipt_id").agg(first)
     return found.select("receipt_id").join(best, "receipt_id", "left").select("receipt_id", F.col("b.txn_id").alias("txn_id"), F.coalesce(F.round("b.score", 3), F.lit(0.0)).alias("confidence"), F.round("b.amount_delta", 2).alias("amount_delta"), F.col("b.date_delta").alias("date_delta_days"))
 
 

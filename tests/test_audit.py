@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,3 +300,36 @@ def test_source_choice():
     assert files.choose("smb", None) == "fixture" and files.choose(None, "t") == "live" and files.choose(None, None) == "fixture"
     with pytest.raises(PermissionError):
         files.choose(None, None, secure=True)
+
+
+def test_receipts_write_no_pairs(spark, monkeypatch):
+    """Near rows of many names: what a receipt meets is never written, and the best of it is found."""
+    written, inner = [], reconcile.cut
+    monkeypatch.setattr(reconcile, "cut", lambda df: written.append(df.count()) or inner(df))
+    day = date(2026, 1, 1)
+    found = spark.createDataFrame([(f"r{k}", f"v{k % 5}", 100.0 + k / 100, day) for k in range(200)], "receipt_id string, vendor string, amount double, date date")
+    txns = spark.createDataFrame([(f"t{k:03d}", f"w{k % 7}", 100.0 + k / 100, day) for k in range(200)], "txn_id string, vendor string, amount double, date date")
+    got = {r["receipt_id"]: r["date_delta_days"] for r in reconcile.receipts(found, txns).collect()}
+    assert got == {f"r{k}": 0 for k in range(200)} and sum(written) <= 200
+
+
+def test_nearest_transactions_of_a_cell_against_loops(monkeypatch):
+    import random
+    from datetime import timedelta
+
+    import pyarrow as pa
+
+    from tallyloom.functions.similarity import sequence_ratio
+
+    monkeypatch.setattr(reconcile, "LOOKUPS", 7)
+    draw = random.Random(4)
+    for _ in range(30):
+        name, amount = (lambda: draw.choice(["almond", "almont", "blush", None])), (lambda: draw.choice([0.0, 100.0, 101.0, 104.0, 104.5]))
+        asked = [(name(), amount(), draw.randrange(12)) for _ in range(draw.randrange(1, 12))]
+        held = [(f"t{k:02d}", name(), amount(), draw.randrange(3, 9)) for k in range(draw.randrange(1, 25))]
+        one = pa.table({"r_vendor": pa.array([a for a, _, _ in asked], pa.string()), "r_amount": pa.array([a for _, a, _ in asked]), "r_day": pa.array([a for _, _, a in asked])})
+        two = pa.table({"txn_id": pa.array([h[0] for h in held]), "vendor": pa.array([h[1] for h in held], pa.string()), "amount": pa.array([h[2] for h in held]), "day": pa.array([h[3] for h in held])})
+        got = {a: (s, held[b][0]) for a, b, s, _, _ in zip(*(c.tolist() for c in reconcile._nearest(one, two, 4, 0.05)), strict=True)}
+        for k, (v, x, d) in enumerate(asked):
+            near = [((1 - (abs(a - x) / x if x else 0.0)) * 0.4 + (1 - abs(e - d) / 4) * 0.3 + sequence_ratio(n, v) * 0.3, t) for t, n, a, e in held if abs(e - d) <= 4 and x * (1 - 0.05) <= a <= x * (1 + 0.05)]
+            assert got.get(k) == (max(near) if near else None)
