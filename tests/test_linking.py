@@ -215,3 +215,49 @@ def test_identifiers():
     for bad in ("a;b", "1a", "a b", "a--", ""):
         with pytest.raises(ValueError):
             identifier(bad)
+
+
+def test_edit_pairs_meet_by_parts_without_loss(spark):
+    """Every pair that reaches the score is found, over many lengths and least scores."""
+    from tallyloom.functions.similarity import edit_similarity
+
+    draw = random.Random(12)
+    texts = ["", "a", "ab", *("".join(draw.choice("abc ") for _ in range(draw.randrange(1, 26))) for _ in range(60))]
+    for base in texts[10:40]:
+        changed = list(base)
+        for _ in range(draw.randrange(1, 6)):
+            at = draw.randrange(len(changed) + 1)
+            changed[at : at + draw.randrange(2)] = [draw.choice("abcé")] * draw.randrange(2)
+        texts.append("".join(changed))
+    rows = [(f"e{k}", k, date(2026, 1, 1) + timedelta(days=draw.randrange(9)), t, "f") for k, t in enumerate(texts)]
+    e = spark.createDataFrame(rows, "entity_id string, pos long, day date, fuzzy string, fuzzy_field string")
+    for least in (0.0, 0.3, 0.6, 0.75, 0.8, 0.9, 1.0):
+        got = {(r["source_id"], r["target_id"]) for r in matching.window_pairs(e, e, 2, least, "edit").collect()}
+        a, b = e.alias("a"), e.alias("b")
+        near = a.crossJoin(b).where((F.abs(F.datediff("a.day", "b.day")) <= 2) & (edit_similarity(F.col("a.fuzzy"), F.col("b.fuzzy")) >= least))
+        assert got == {(r[0], r[1]) for r in near.select("a.entity_id", "b.entity_id").collect()}
+
+
+def test_edit_pairs_of_one_day_are_few(spark):
+    """Unlike texts of one day and length don't meet: each meets its own near copy and few others."""
+    import hashlib
+
+    name = lambda k: hashlib.md5(str(k).encode()).hexdigest()[:20]
+    make = lambda change: spark.createDataFrame([(change(name(k)), date(2026, 1, 1)) for k in range(400)], "t string, d date")
+    one, two = make(lambda t: t).toDF("s_text", "s_day"), make(lambda t: "zz" + t[2:]).toDF("t_text", "t_day")
+    met = matching._met_by_parts(one, two, 3, 0.8).distinct()
+    assert met.count() < 1000 and met.where("substring(s_text, 3) = substring(t_text, 3)").count() == 400
+
+
+def test_candidates_of_one_text_and_day_are_listed_once(spark, monkeypatch):
+    """Many rows of one text and day: the lists are written once each, and a repeated id has the candidates of all its rows."""
+    written, inner = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: written.append(df) or inner(df))
+    make = lambda rows: spark.createDataFrame(rows, "entity_id string, pos long, day date, fuzzy string, fuzzy_field string")
+    day = date(2026, 1, 1)
+    s = make([*((f"s{k}", k, day, "large ring", "f") for k in range(100)), ("twice", 1, day, "hot bolt", "f"), ("twice", 2, day, "hot bold", "g")])
+    t = make([*((f"t{k:02d}", k, day, "large ring", "f") for k in range(50)), ("b", 90, day, "hot bolt", "h")])
+    links, ambiguous = matching.tier3(s, t, RULES["transaction", "email"], "edit")
+    got = {r["source_id"]: r["candidate_ids"] for r in ambiguous.collect()}
+    assert got == {f"s{k}": [f"t{i:02d}" for i in range(50)] for k in range(100)} | {"twice": ["b", "b"]} and links.count() == 0
+    assert all(df.count() <= 3 for df in written)
