@@ -14,6 +14,13 @@ are in different components, so no link between components is lost: first the he
 those members that the symmetric differences to their heads leave within reach of each other. Components come from
 alternating large-star and small-star steps on written tables.
 
+Shingles that more than ``CROWD`` classes have carry a sketch of the set: the parity of its shingles in each of ``BITS``
+cells. Two sketches differ in no more cells than their sets differ in shingles, so pairs whose sketches differ too much
+for a link are left out and none is lost. Where more than ``FEW`` pairs an entry are left in a posting, each entry first
+gives the pair nearest by sketch alone; what is verified is contracted, and the postings are gone through again, until
+none has too many or no link is found. The last pass always takes every pair that is left. On sets of much over ``BITS``
+/ 4 shingles sketches part less, and more pairs are left.
+
 A posting of more than ``HOT`` entries is divided by a hash of the entry: each part has a leader of its own, and each
 pair of parts is one tile of round two, unless all entries of both are in one component: these are not sent at all, so a
 posting of one component costs nothing. A tile meets at most ``HOT`` squared pairs. The driver holds one number for each
@@ -44,8 +51,11 @@ from tallyloom.llm.common import COUNT_SCHEMA, RunHashes, Tokens, count_rows, ea
 SHINGLES, POSTINGS = 2_000_000, 1_000_000
 #: Entries of a posting that are not divided.
 HOT = 20_000
+#: Entries of a posting above which sketches are compared; cells of a sketch; pairs an entry that need no contraction first;
+#: passes of contraction at most.
+CROWD, BITS, FEW, PASSES = 64, 2048, 4, 12
 LEAST_ID = -(1 << 63)
-SETS = "block long, doc_id long, n long, cls long, first boolean, lead boolean, grp long, tokens array<long>, places array<int>, members binary"
+SETS = "block long, doc_id long, n long, cls long, first boolean, lead boolean, grp long, tokens array<long>, places array<int>, often array<boolean>, sketch binary, members binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,6 +64,12 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def sketch(codes: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of ``BITS`` cells."""
+    cell = (mix(codes ^ _ODD) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 class Sets:
     """Shingle sets of a block's documents: document i has ``codes[ends[i-1]:ends[i]]``, ascending."""
 
@@ -111,7 +127,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: in
         frequency = told_totals(answer, distinct, range(parts))[index]
         order = np.lexsort((sets.codes, frequency, sets.doc))
         codes, frequency = sets.codes[order].view(np.int64), frequency[order]
-        columns: dict[str, list] = {k: [] for k in ("grp", "tokens", "places", "members")}
+        columns: dict[str, list] = {k: [] for k in ("grp", "tokens", "places", "often", "sketch", "members")}
         lead = sets.lead.copy()
         for i, (s, e) in enumerate(zip(sets.starts.tolist(), sets.ends.tolist(), strict=True)):
             n = e - s
@@ -121,11 +137,15 @@ def shingle_sets(docs: DataFrame, key: str, text: str, shingle: int, percent: in
             columns["grp"].append(int((mix(np.array([mix(codes[s:end].view(np.uint64) ^ _ODD).sum()], np.uint64) + np.uint64(n))).view(np.int64)[0]) if lead[i] else None)
             columns["tokens"].append(codes[s:end][shared] if lead[i] else None)
             columns["places"].append(shared.astype(np.int32) if lead[i] else None)
+            often = frequency[s:end][shared] > CROWD if lead[i] else None
+            columns["often"].append(often)
+            columns["sketch"].append(sketch(sets.codes[s:e]) if lead[i] and often.any() else None)
             columns["members"].append(squeeze(sets.codes[s:e]) if lead[i] else None)
         return pa.table(
             {
                 "block": pa.array(np.full(len(sets.doc_id), block)), "doc_id": pa.array(sets.doc_id), "n": pa.array(sets.n), "cls": pa.array(sets.cls.view(np.int64)), "first": pa.array(sets.lead), "lead": pa.array(lead),
-                "grp": pa.array(columns["grp"], pa.int64()), "tokens": pa.array(columns["tokens"], pa.list_(pa.int64())), "places": pa.array(columns["places"], pa.list_(pa.int32())), "members": pa.array(columns["members"], pa.binary()),
+                "grp": pa.array(columns["grp"], pa.int64()), "tokens": pa.array(columns["tokens"], pa.list_(pa.int64())), "places": pa.array(columns["places"], pa.list_(pa.int32())),
+                "often": pa.array(columns["often"], pa.list_(pa.bool_())), "sketch": pa.array(columns["sketch"], pa.binary()), "members": pa.array(columns["members"], pa.binary()),
             }
         )
 
@@ -183,9 +203,12 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str, hot: tuple[np.nda
     """``work(token, id, comp, n, place)`` on all postings of a range of shingles; a range has a bounded share of them.
 
     The parts of a hot posting are ranges of their own, or, with ``tiles``, every pair of its parts is one, but for those
-    whose entries are all in one component.
+    whose entries are all in one component. Rows with ``slack``, ``often`` and ``sketch`` give ``work`` slack and sketch too;
+    the sketch is null where the shingle is not ``often``.
     """
     hot_token, divided = hot
+    sketched = "sketch" in rows.columns
+    numbers = ["id", "comp", "n", *(["slack"] if sketched else [])]
     low, high = hot_components(rows, hot) if tiles else (divided, divided)
     slots = np.cumsum(divided) - divided
     squares = divided * divided if tiles else divided
@@ -217,7 +240,10 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str, hot: tuple[np.nda
             cuts = np.flatnonzero(np.diff(part)) + 1
             if not len(part):
                 continue
-            columns = {k: batch.column(k).to_numpy(zero_copy_only=False)[row[entry]] for k in ("id", "comp", "n")} | {"token": token[entry], "place": place[entry]}
+            columns = {k: batch.column(k).to_numpy(zero_copy_only=False)[row[entry]] for k in numbers} | {"token": token[entry], "place": place[entry]}
+            if sketched:
+                often = batch.column("often").flatten().to_numpy(zero_copy_only=False)
+                columns["sketch"] = batch.column("sketch").take(pa.array(row[entry], mask=~often[entry].astype(bool)))
             starts, stops = np.r_[0, cuts], np.r_[cuts, len(part)]
             blobs = [pack_arrays({k: v[a:b] for k, v in columns.items()}) for a, b in zip(starts, stops, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
@@ -225,9 +251,10 @@ def _in_ranges(rows: DataFrame, parts: int, work, schema: str, hot: tuple[np.nda
     def run(group: pa.Table) -> pa.Table:
         found = [pa.ipc.open_stream(b).read_all() for b in group.column("blob").to_pylist()]
         whole = pa.concat_tables(found)
-        return work(*(whole.column(k).to_numpy() for k in ("token", "id", "comp", "n", "place")))
+        more = (whole.column("slack").to_numpy(), whole.column("sketch")) if sketched else ()
+        return work(*(whole.column(k).to_numpy() for k in ("token", "id", "comp", "n", "place")), *more)
 
-    return spread(rows.select("id", "comp", "n", "tokens", "places").mapInArrow(trimmed(cut), "part int, blob binary"), ranges, "part").groupBy("part").applyInArrow(run, schema)
+    return spread(rows.select(*numbers, "tokens", "places", *(["often", "sketch"] if sketched else [])).mapInArrow(trimmed(cut), "part int, blob binary"), ranges, "part").groupBy("part").applyInArrow(run, schema)
 
 
 def leaders(percent: int):
@@ -246,29 +273,70 @@ def leaders(percent: int):
     return work
 
 
-def crossing(percent: int):
-    """Round two: group pairs of a posting in different components that pass the length and position filters."""
+def unpacked(sketches: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches as rows of uint64 words, row of each entry or -1 where it has none)."""
+    there = pc.is_valid(sketches).to_numpy()
+    words = np.frombuffer(b"".join(sketches.drop_null().to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    return words, np.where(there, np.cumsum(there) - 1, -1)
 
-    def work(token, ident, comp, n, place) -> pa.Table:
+
+def crossing(percent: int, nearest: bool):
+    """Round two: group pairs of a posting in different components that pass the length, position and sketch filters.
+
+    With ``nearest``, a posting of more than ``FEW`` such pairs an entry gives each entry's nearest by sketch only; its pairs
+    are not ``whole``. slack: what members of the group may be nearer to others than its head, in shingles.
+    """
+
+    def work(token, ident, comp, n, place, slack, sketches) -> pa.Table:
+        words, at = unpacked(sketches)
         order = np.lexsort((n, token))
-        token, ident, comp, n, place = token[order], ident[order], comp[order], n[order], place[order]
+        token, ident, comp, n, place, slack, at = (x[order] for x in (token, ident, comp, n, place, slack, at))
         cuts = np.flatnonzero(np.diff(token)) + 1
         found: list[np.ndarray] = []
+        partly: list[np.ndarray] = []
         for s, e in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(token)].tolist(), strict=True):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
+            crowded = e - s > CROWD and bool((at[s:e] >= 0).all())
+            marks = words[at[s:e]] if crowded else None
+            near, best = np.full(e - s, BITS + 1), np.full(e - s, -1)
+            mine: list[np.ndarray] = []
+            left = 0
             for i in range(s, e - 1):
                 stop = s + int(np.searchsorted(n[s:e], 100 * n[i] // percent, side="right"))
-                other = slice(i + 1, stop)
+                other = np.arange(i + 1, stop)
+                least = needed(n[i], n[other], percent)
                 most = 1 + np.minimum(n[i] - place[i], n[other] - place[other]) - 1
-                fit = (comp[other] != comp[i]) & (most >= needed(n[i], n[other], percent))
-                if fit.any():
-                    partner = ident[other][fit]
-                    found.append(np.stack([np.minimum(partner, ident[i]), np.maximum(partner, ident[i])], axis=1))
+                fit = (comp[other] != comp[i]) & (most >= least)
+                other, least = other[fit], least[fit]
+                if crowded and len(other):
+                    apart = np.bitwise_count(marks[other - s] ^ marks[i - s]).sum(axis=1, dtype=np.int64)
+                    fit = apart <= n[i] + n[other] - 2 * least + slack[i] + slack[other]
+                    other, apart = other[fit], apart[fit]
+                if not len(other):
+                    continue
+                left += len(other)
+                if crowded and nearest:
+                    nearer = apart < near[other - s]
+                    near[other[nearer] - s], best[other[nearer] - s] = apart[nearer], i
+                    k = int(np.argmin(apart))
+                    if apart[k] < near[i - s]:
+                        near[i - s], best[i - s] = apart[k], other[k]
+                    if left > FEW * (e - s):
+                        mine = []
+                        continue
+                mine.append(np.stack([np.minimum(ident[other], ident[i]), np.maximum(ident[other], ident[i])], axis=1))
+            if crowded and nearest and left > FEW * (e - s):
+                one = np.flatnonzero(best >= 0)
+                a, b = ident[s + one], ident[best[one]]
+                partly.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            found += mine
             if sum(map(len, found)) > 2_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        none = np.empty((0, 2), np.int64)
+        whole, part = (np.unique(np.concatenate(x), axis=0) if x else none for x in (found, partly))
+        pairs = np.concatenate([whole, part])
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "whole": pa.array(np.arange(len(pairs)) < len(whole))})
 
     return work
 
@@ -345,35 +413,49 @@ def link_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, key: str
     sets = shingle_sets(docs, key, text, shingle, percent)
     firsts = sets.where("first").select("block", "cls", "doc_id")  # a class is one row a block
     classes = firsts.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    leads = sets.where("lead").select("cls", "doc_id", "grp", "n", "tokens", "places")
-    own = save(leads.join(classes, (leads["cls"] == classes["cls"]) & (leads["doc_id"] == classes["rep"]), "left_semi").select("doc_id", "grp", "n", "tokens", "places"), "leads")
+    kept = ("doc_id", "grp", "n", "tokens", "places", "often", "sketch")
+    leads = sets.where("lead").select("cls", *kept)
+    own = save(leads.join(classes, (leads["cls"] == classes["cls"]) & (leads["doc_id"] == classes["rep"]), "left_semi").select(*kept), "leads")
     groups = own.groupBy("grp").agg(F.min("doc_id").alias("id"))
     heads = own.join(groups, (own["grp"] == groups["grp"]) & (own["doc_id"] == groups["id"]), "left_semi").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("comp"), "n", "tokens", "places")
-    parts = parts_for(int(own.agg(F.sum(F.size("tokens"))).first()[0] or 0), POSTINGS)
+    weight = F.size("tokens") + BITS // 256 * F.size(F.filter("often", lambda x: x))  # a sketch weighs as much as so many entries
+    parts = parts_for(int(own.agg(F.sum(weight)).first()[0] or 0), POSTINGS)
     hot = hot_postings(own)
     met = _in_ranges(heads, parts, leaders(percent), "a long, b long, shared long", hot, tiles=False).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     inside = own.select(F.col("doc_id").alias("a"), "grp").join(groups, "grp").where("a <> id").select("a", F.col("id").alias("b"))
-    first = save(verified(best.unionByName(inside), sets, percent), "links")
-    let_go(spark)
-
-    nodes = save(components(first), "components")
-    placed = own.join(nodes, own["doc_id"] == nodes["node"], "left").select("doc_id", "grp", "n", "tokens", "places", F.coalesce("comp", "doc_id").alias("comp"))
-    # one entry for each group and component; its members are met only where its head meets another component's
-    entries = placed.groupBy("grp", "comp").agg(F.min("doc_id").alias("id"))
-    placed = placed.join(entries, ["grp", "comp"])
-    heads = placed.where("doc_id = id").select("id", "comp", "n", "tokens", "places")
-    pairs = save(_in_ranges(heads, parts, crossing(percent), "a long, b long", hot, tiles=True).distinct(), "pairs")
-    second = save(verified(pairs, sets, percent), "links")
+    close = save(measured(best.unionByName(inside), sets), "measured")
+    first = close.where(linked(percent)).select("a", "b")
+    away = close.join(inside.distinct(), ["a", "b"], "left_semi").groupBy(F.col("a").alias("doc_id")).agg(F.max(F.col("n") + F.col("m") - 2 * F.col("common")).alias("away"))
+    far = save(own.join(away, "doc_id", "left").withColumn("away", F.coalesce("away", F.lit(0).cast("long"))), "leads")
+    let_go(spark, own)
+
+    links, nearest, passes = first, True, 0
+    while True:
+        nodes = save(components(links), "components")
+        placed = far.join(nodes, far["doc_id"] == nodes["node"], "left").select(*kept, "away", F.coalesce("comp", "doc_id").alias("comp"))
+        # one entry for each group and component; its members are met only where its head meets another component's
+        slack = F.when(F.count("*") > 1, F.max("away") + F.min_by("away", "doc_id")).otherwise(0).cast("long")
+        placed = placed.join(placed.groupBy("grp", "comp").agg(F.min("doc_id").alias("id"), slack.alias("slack")), ["grp", "comp"])
+        heads = placed.where("doc_id = id").select("id", "comp", "n", "slack", "tokens", "places", "often", "sketch")
+        met = _in_ranges(heads, parts, crossing(percent, nearest), "a long, b long, whole boolean", hot, tiles=True)
+        pairs = save(met.groupBy("a", "b").agg(F.min("whole").alias("whole")), "pairs")
+        second = save(verified(pairs.select("a", "b"), sets, percent), "links")
+        if not nearest or not pairs.where("NOT whole").head(1):
+            break
+        passes, links = passes + 1, links.unionByName(second)
+        nearest = passes < PASSES and bool(second.head(1))
+        let_go(spark, nodes, pairs)
+    pairs = pairs.select("a", "b")
     third = save(between_members(pairs, placed.where("doc_id <> id").select("id", "doc_id"), sets, percent), "links")
     # an id that several classes have is one document
     several = sets.where("n > 0").groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("doc_id")
     held = sets.where("n > 0").select("doc_id", "cls").join(several, "doc_id").distinct().join(classes, "cls").select("doc_id", "rep").distinct()
     least = held.groupBy("doc_id").agg(F.min("rep").alias("low"))
     same_id = held.join(least, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    everything = first.unionByName(second).unionByName(third).unionByName(same_id)
+    everything = links.unionByName(second).unionByName(third).unionByName(same_id)
     final = save(components(everything), "components")
-    let_go(spark, pairs, own, nodes)
+    let_go(spark, pairs, far, nodes, close)
 
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
     of_block = firsts.select("block", "cls").join(of_class, "cls")

@@ -159,6 +159,51 @@ def test_members_of_entries_whose_heads_dont_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == comp
 
 
+def edited(base: list[str], name: str, edits: int, at: int) -> str:
+    """``base`` with words of its own at ``edits`` places that lie apart."""
+    words = list(base)
+    for k in range(edits):
+        words[(at + k * (len(base) // edits)) % len(base)] = f"{name}_{k}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("order", ["far first", "far last"])
+def test_near_copies_without_a_text_that_all_are_near_to(spark, monkeypatch, order):
+    """Copies three words from a text that is not there: none links with another, some with copies one word from it.
+
+    Their pairs pass the length and position filters; no more than a few for each entry may be formed.
+    """
+    met = []
+    verified = groupjoin.verified
+    monkeypatch.setattr(groupjoin, "verified", lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a))
+    base = [f"w{i}" for i in range(150)]
+    texts = [edited(base, f"far{i}", 3, i) for i in range(150)] + [edited(base, f"near{i}", 1, i) for i in range(60)]
+    texts += [edited([f"v{i}" for i in range(150)], f"lone{i}", 3, i) for i in range(100)]
+    rows = list(enumerate(texts if order == "far first" else texts[::-1]))
+    got = groupjoin.link_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_classes(rows)
+    assert max(met) <= groupjoin.FEW * len(rows)
+
+
+@pytest.mark.parametrize("crowd, few, bits", [(2, 0, 256), (2, 1, 64), (2, 1000, 2048)])
+def test_sketches_lose_no_link(docs, rows, monkeypatch, crowd, few, bits):
+    for name, value in (("CROWD", crowd), ("FEW", few), ("BITS", bits)):
+        monkeypatch.setattr(groupjoin, name, value)
+    assert sorted(map(tuple, groupjoin.link_classes(docs, 5, 40).collect()), key=str) == brute_classes(rows, 40)
+    draw = random.Random(2)
+    pool = [f"s{i}" for i in range(24)]
+    members = [(i, " ".join(draw.sample(pool, 14))) for i in range(60)]
+    got = groupjoin.link_classes(docs.sparkSession.createDataFrame(members, "doc_id long, text string"), shingle=1, percent=60)
+    sets = {i: set(t.split()) for i, t in members}
+    comp = {i: i for i in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == comp
+
+
 def test_many_near_copies_of_one_text(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[:k], f"edit{i}", *base[k + 1 :]])) for i, k in enumerate(j * 7 % 60 for j in range(150))]
