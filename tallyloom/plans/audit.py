@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import AUDIT, AuditRules
 from tallyloom.operators import control, severity
+from tallyloom.session import cut
 from tallyloom.sources.files import numbered
 
 
@@ -42,15 +43,21 @@ def lineage(flags: DataFrame, links: DataFrame, transactions: DataFrame) -> Data
 
 
 def lineage_edges(flags: DataFrame, links: DataFrame, transactions: DataFrame) -> DataFrame:
-    """(from_id, to_id, kind): the graph around every flag, each edge once; flags are read once.
+    """(from_id, to_id, kind): the graph around every flag, each edge once; flags are computed once and written.
 
     A source recorded the transaction, a tier matched it with a record, an audit flagged it, and the flag has its severity.
+    Kinds are freed of repeated edges one by one, so that no task holds a transaction's edges for each of its links.
     """
-    live = links.where("is_current").select(F.col("source_id").alias("txn_id"), "target_id", "match_tier")
-    rows = flags.select("flag_id", "txn_id", "severity").join(transactions.select("txn_id", "source"), "txn_id", "left").join(live, "txn_id", "left")
-    edges = [("source", "txn_id", F.lit("recorded")), ("txn_id", "target_id", F.concat(F.lit("matched by "), F.col("match_tier"))), ("txn_id", "flag_id", F.lit("flagged")), ("flag_id", "severity", F.lit("classified"))]
-    each = F.explode(F.array(*[F.struct(F.col(a).alias("from_id"), F.col(b).alias("to_id"), kind.alias("kind")) for a, b, kind in edges]))
-    return rows.select(each.alias("e")).select("e.*").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+    flagged = cut(flags.select("flag_id", "txn_id", "severity"))
+    live = links.where("is_current").select(F.col("source_id").alias("txn_id"), "target_id", F.concat(F.lit("matched by "), F.col("match_tier")).alias("kind"))
+    known = flagged.select("txn_id")
+
+    def edges(rows: DataFrame, start: str, end: str, kind: Column) -> DataFrame:
+        return rows.select(F.col(start).alias("from_id"), F.col(end).alias("to_id"), kind.alias("kind")).where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+
+    recorded = edges(transactions.select("txn_id", "source").join(known, "txn_id", "left_semi"), "source", "txn_id", F.lit("recorded"))
+    matched = edges(live.join(known, "txn_id", "left_semi"), "txn_id", "target_id", F.col("kind"))
+    return recorded.unionByName(matched).unionByName(edges(flagged, "txn_id", "flag_id", F.lit("flagged"))).unionByName(edges(flagged, "flag_id", "severity", F.lit("classified")))
 
 
 def logged(scored: DataFrame, run_id: str, at: Column) -> DataFrame:

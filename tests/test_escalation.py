@@ -87,3 +87,14 @@ def test_graph_around_flags(spark):
     txns = spark.createDataFrame([("t1", "bank"), ("t3", "bank")], "txn_id string, source string")
     got = sorted(tuple(r) for r in audit.lineage_edges(flags, links, txns).collect())
     assert got == sorted([("bank", "t1", "recorded"), ("t1", "m1", "matched by tier1"), ("t1", "m2", "matched by tier2"), ("t1", "f1", "flagged"), ("t1", "f2", "flagged"), ("t2", "f3", "flagged"), ("f1", "INFO", "classified"), ("f2", "CRITICAL", "classified"), ("f3", "INFO", "classified")])
+
+
+def test_graph_of_repeated_rows_is_freed_of_repeats_by_kind(spark):
+    """Each edge once, also of links, transactions and flags that repeat; no row is multiplied before repeats go."""
+    flags = spark.createDataFrame([("f1", "t1", "INFO"), ("f1", "t1", "INFO"), ("f1", "t2", "INFO"), ("f2", None, "INFO"), ("f3", "gone", None)], "flag_id string, txn_id string, severity string")
+    links = spark.createDataFrame([("t1", "m1", "tier1", True), ("t1", "m1", "tier1", True), ("t2", "m1", None, True), ("gone", "m2", "tier1", True), ("t9", "m9", "tier1", True)], "source_id string, target_id string, match_tier string, is_current boolean")
+    txns = spark.createDataFrame([("t1", "bank"), ("t1", "bank"), ("t1", "card"), ("t2", None), ("t9", "bank")], "txn_id string, source string")
+    out = audit.lineage_edges(flags, links, txns)
+    want = [("bank", "t1", "recorded"), ("card", "t1", "recorded"), ("t1", "m1", "matched by tier1"), ("t2", "m1", None), ("gone", "m2", "matched by tier1"), ("t1", "f1", "flagged"), ("t2", "f1", "flagged"), ("gone", "f3", "flagged"), ("f1", "INFO", "classified"), ("f2", "INFO", "classified")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
