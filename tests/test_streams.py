@@ -3,10 +3,12 @@
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import feedback
+from tallyloom.plans import extended
 from tallyloom.streaming import feedback_stream, incremental, pages
 
 T0 = datetime(2026, 1, 1)
@@ -82,6 +84,95 @@ def test_feedback_with_state_over_a_restart(spark, tmp_path):
     assert {r["link_id"] for r in done.links.where("NOT is_current").collect()} == {c[0] for c in closed} | {"L3"}
 
 
+class _State:
+    """A value or map of one slot that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            _State.calls += 1
+            if name in ("exists", "get", "getValue"):
+                return bool(self.held) if name == "exists" else self.held.get(a[0] if a else None)
+            if name in ("update", "updateValue"):
+                self.held[a[0] if name == "updateValue" else None] = a[-1]
+            else:
+                self.held.pop(a[0] if a else None, None)
+
+        return call
+
+
+class _Slot:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, _State())
+
+    getMapState = getValueState
+
+    def registerTimer(self, due):
+        self.timers.append(due)
+
+
+class _Now:
+    def __init__(self, now=0, due=0):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: now, lambda: due
+
+
+def test_calls_of_the_state_grow_with_slots_and_not_with_links():
+    """1,000 links and notes of one slot in two batches: each reads and writes its state once."""
+    work, slot, calls = feedback_stream.Feedback(1000), _Slot(), []
+    work.init(slot)
+    out = []
+    for what in ("rejected", '["s","transaction",null]'):
+        _State.calls = 0
+        frames = [pd.DataFrame({"link_id": [f"L{i}" for i in range(k, k + 500)], "what": what, "ms": 5}) for k in (0, 500)]
+        out += list(work.handleInputRows((1,), iter(frames), _Now()))
+        calls.append(_State.calls)
+    got = pd.concat(out)
+    assert max(calls) <= 6
+    assert got["action"].value_counts().to_dict() == {"handled": 1000, "closed": 1000} and slot.timers == [1005]
+    assert set(map(tuple, got[got["action"] == "closed"][["entity_id", "entity_type", "target_type"]].values)) == {("s", "transaction", None)}
+
+
+def test_what_waits_keeps_its_first_time():
+    """Rows of one batch count by their latest time, later batches leave it; what is not due yet stays and is timed anew."""
+    work, slot = feedback_stream.Feedback(1000), _Slot()
+    work.init(slot)
+    give = lambda *rows, now=0: list(work.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["link_id", "what", "ms"])]), _Now(now)))
+    give(("a", "noted", 5), ("a", "rejected", 9), ("a", "noted", 7))
+    give(("a", "noted", 800), ("b", "rejected", 2000))
+    assert slot.timers == [1009]
+    assert list(work.handleExpiredTimer((1,), _Now(1009), _Now(due=1008))) == []
+    (out,) = work.handleExpiredTimer((1,), _Now(1010), _Now(due=1009))
+    assert out["link_id"].tolist() == ["a"] and out["action"].tolist() == ["unknown"] and slot.timers == [1009, 3000]
+    closed = [tuple(r) for f in give(("a", '["x","t","e"]', 1), ("b", '["y","t","e"]', 1), ("b", '["z","t","e"]', 1)) for r in f.values]
+    assert closed == [("b", "closed", "y", "t", "e")]
+    assert give(("b", "rejected", 1), ("c", "shut", 1), ("c", "rejected", 1))[0]["action"].tolist() == ["handled", "handled"]
+
+
+def test_odd_rows_of_links_and_feedback(spark, tmp_path):
+    """Parts that are null, quotes, and times that pandas cannot hold."""
+    far = "CAST('9000-01-01' AS timestamp)"
+    rows = spark.sql(f"""SELECT * FROM VALUES ('q"', 'link', {far}, 's"\\\\', CAST(NULL AS string), 't', true, CAST(NULL AS string)), ('q"', 'feedback', {far}, NULL, NULL, NULL, NULL, 'rejected'),
+        ('n', 'link', NULL, 's', 'x', 't', NULL, NULL), ('n', 'feedback', CAST('0200-01-01' AS timestamp), NULL, NULL, NULL, NULL, 'rejected'), ('m', 'feedback', NULL, NULL, NULL, NULL, NULL, NULL) AS t({", ".join(c.split()[0] for c in feedback_stream.INPUT.split(", "))})""")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    got = sorted((tuple(r) for r in run(spark, tmp_path, feedback_stream.INPUT, feedback_stream.actions)), key=str)
+    assert [r for r in got if r[1] == "closed"] == [('q"', "closed", 's"\\', None, "t")]
+    assert sorted(r[0] for r in got if r[1] == "handled") == ["m", 'q"']  # what is older than the first watermark is late
+
+
+def test_rows_of_one_time_are_dealt_to_several_files(spark):
+    rows = spark.range(4000).selectExpr("id", "TIMESTAMP'2024-01-01' AS at")
+    out = extended._streamed(spark, "", lambda s: s.select("id", "at", F.col("_metadata.file_path").alias("file")), "files", rows, "at").where("id IS NOT NULL")
+    assert out.select("id").distinct().count() == out.count() == 4000
+    assert max(r["count"] for r in out.groupBy("file").count().collect()) <= 2000
+
+
 @pytest.mark.parametrize(("most", "want"), [(None, 23), (5, 5)])
 def test_pages_come_once_over_restarts(spark, tmp_path, most, want):
     """A service as files, which grows between the runs; ``max_pages`` holds over all runs."""
